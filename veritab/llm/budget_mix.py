@@ -112,3 +112,19 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     taken = F.col("size") * (F.col("passes") + (F.col("_rank") < F.col("extra")).cast("long"))
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it.
+
+    Rows with equal id, source and size share their passes evenly; they are equal to the mix.
+    """
+    decided = mixed(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    times = decided.groupBy("doc_id", "source", "size").agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).alias("_times"), F.count("*").alias("_rows"))
+    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times", "_rows")
+    columns = docs.columns
+    sized = word_counts(docs, {f"c{i}": docs[c] for i, c in enumerate(columns)} | {"id_": docs[id_col].cast("long"), "source_": docs[source_col].cast("string")}, text_col)
+    joined = sized.join(times, F.col("id_").eqNullSafe(F.col("_id")) & F.col("source_").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    place = F.row_number().over(Window.partitionBy("id_", "source_", "size").orderBy("id_")) - 1
+    each = F.expr("_times div _rows") + (place < F.col("_times") % F.col("_rows")).cast("long")
+    return joined.withColumn("_n", each).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

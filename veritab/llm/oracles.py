@@ -1,0 +1,64 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express over whole tables."""
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: Bytes as hexadecimal digits; windows of 50 bytes are 100 digits.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS k FROM d, unnest(range(0, greatest(0, length(h) // 2 - 49))) t(i)),
+seen AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN seen USING (k) WHERE win.doc_id > seen.first),
+gone AS (SELECT DISTINCT doc_id, j FROM hit, unnest(range(i, i + 50)) t(j)),
+runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < j - 1) AS spans
+         FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, j, substring(h, 2 * j + 1, 2) AS b FROM d, unnest(range(0, length(h) // 2)) t(j) WHERE doc_id IN (SELECT doc_id FROM runs)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY j) AS h FROM bytes ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(runs.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN runs.n IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+THRESHOLD_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_COMPONENTS = """
+reach(node, at) AS (SELECT DISTINCT u, u FROM links UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.at),
+classes AS (SELECT node, min(at) AS component FROM reach GROUP BY node)
+"""
+
+PARITY_JOIN = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(2, len(ws) - 3))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM both_ JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+{_COMPONENTS}
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN classes ON node = w.doc_id
+"""
+
+MULTI_INDEX = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+{_COMPONENTS}
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN classes ON node = vec_id
+"""
+
+TREE_DEDUP = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM w, unnest(range(1, greatest(1, len(ws) - 18))) t(i)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM hit, unnest(range(i, i + 20)) t(j)),
+words AS (SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) t(j)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritab.llm import best_fit_packing, budget_mix, suffix_dedup, tree_dedup, uniform_shards
+from veritab.llm import best_fit_packing, budget_mix, feistel_pseudonyms, multi_index, oracles, parity_join, positive_unlabelled, suffix_dedup, threshold_topk, tree_dedup, uniform_shards
 
 TOKENIZER = os.environ.get("VERITAB_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -19,14 +20,34 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_substrings(_read(spark, sf_dir, "documents"))
 
 
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards.shuffled_shards(_read(spark, sf_dir, "documents"))
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mixed(_read(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positive_unlabelled.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_pseudonyms.pseudonymised(_read(spark, sf_dir, "documents"))
+
+
 def op9_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_dedup.removed_passages(_read(spark, sf_dir, "documents"))
 
@@ -35,5 +56,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_uniform_shards, op5_budget_mix, op9_tree_dedup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_threshold_topk, op3_uniform_shards, op4_parity_join, op5_budget_mix, op6_multi_index, op7_positive_unlabelled, op8_feistel_pseudonyms, op9_tree_dedup, op10_best_fit_packing)
+}
+ORACLE_SQL = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op2_threshold_topk": oracles.THRESHOLD_TOPK,
+    "op4_parity_join": oracles.PARITY_JOIN,
+    "op6_multi_index": oracles.MULTI_INDEX,
+    "op9_tree_dedup": oracles.TREE_DEDUP,
+}
