@@ -1,9 +1,55 @@
-"""A corpus pipeline of five stages; filled in below as its operators are built."""
+"""A corpus pipeline of five stages over ``documents``: toxicity, near-duplicates, personal data, source mix, packing.
 
+Each stage is a function of (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the
+columns of ``documents``. Stages may be written and read again between calls, as the check tool does; ``run`` composes them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritab.llm import best_fit_packing, budget_mix, feistel_pseudonyms, parity_join, positive_unlabelled
+from veritab.llm.queries import TOKENIZER
+
+#: SQL can express neither the learnt scores nor the seeded choices.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold stay."""
+    model = positive_unlabelled.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(positive_unlabelled.score(model)(docs["text"]) < positive_unlabelled.THRESHOLD)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    kept = parity_join.linked_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Valid numbers, dates and addresses in texts become pseudonyms."""
+    changed = docs.withColumn("text", feistel_pseudonyms.replaced()(docs["text"])["text"])
+    return changed.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return budget_mix.mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return best_fit_packing.packed(docs, TOKENIZER)
+
+
+STAGES = [("toxicity", toxicity), ("jaccard_join", jaccard_join), ("personal_data", personal_data), ("source_mix", source_mix), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
