@@ -2,22 +2,6 @@
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
-#: Bytes as hexadecimal digits; windows of 50 bytes are 100 digits.
-SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS k FROM d, unnest(range(0, greatest(0, length(h) // 2 - 49))) t(i)),
-seen AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
-hit AS (SELECT win.doc_id, win.i FROM win JOIN seen USING (k) WHERE win.doc_id > seen.first),
-gone AS (SELECT DISTINCT doc_id, j FROM hit, unnest(range(i, i + 50)) t(j)),
-runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < j - 1) AS spans
-         FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM gone) GROUP BY doc_id),
-bytes AS (SELECT doc_id, j, substring(h, 2 * j + 1, 2) AS b FROM d, unnest(range(0, length(h) // 2)) t(j) WHERE doc_id IN (SELECT doc_id FROM runs)),
-kept AS (SELECT doc_id, string_agg(b, '' ORDER BY j) AS h FROM bytes ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(runs.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs.spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN runs.n IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
-FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
-"""
-
 THRESHOLD_TOPK = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -27,8 +11,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 _COMPONENTS = """
-reach(node, at) AS (SELECT DISTINCT u, u FROM links UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.at),
-classes AS (SELECT node, min(at) AS component FROM reach GROUP BY node)
+reach(node, other) AS (SELECT DISTINCT u, u FROM links UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.other),
+classes AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 """
 
 PARITY_JOIN = f"""

@@ -61,7 +61,6 @@ QUERIES = {
     for f in (op1_suffix_dedup, op2_threshold_topk, op3_uniform_shards, op4_parity_join, op5_budget_mix, op6_multi_index, op7_positive_unlabelled, op8_feistel_pseudonyms, op9_tree_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL = {
-    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op2_threshold_topk": oracles.THRESHOLD_TOPK,
     "op4_parity_join": oracles.PARITY_JOIN,
     "op6_multi_index": oracles.MULTI_INDEX,
