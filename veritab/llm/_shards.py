@@ -50,7 +50,7 @@ class Shard:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
-    def runs(self, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    def runs(self, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
         """Ranges of documents of about ``size`` bytes, which stay in a CPU's cache."""
         first = 0
         while first < len(self.ids):

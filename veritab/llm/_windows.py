@@ -16,6 +16,7 @@ costs work, never a result. Repeats of whole runs within a shard are told by 64-
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,26 +56,33 @@ class Scan:
     codes: np.ndarray | None
 
 
+@functools.lru_cache(8)
+def _counts(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.uint64)
+
+
+def _count(n: int) -> np.ndarray:
+    return _counts(1 << max(16, n.bit_length()))[:n]
+
+
 def _runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
     n = len(codes) - w.length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     sums = W.prefix(codes)
     grams = W.sliding(sums, w.gram)
-    least = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
+    least = grams & ~LOW
+    least |= _count(len(grams))
     width, done = w.length - w.gram + 1, 1
     while done < width:
         step = min(done, width - done)
         least = np.minimum(least[:-step], least[step:])
         done += step
-    place = least & LOW
+    place = (least & LOW).astype(np.uint32)
     # Windows that would cross the end of a document are none.
-    marks = np.zeros(len(codes) + 1, np.int32)
-    begin, end = bounds[:-1], bounds[1:]
-    full = end > begin
-    np.add.at(marks, np.maximum(begin, end - w.length + 1)[full], 1)
-    np.add.at(marks, end[full], -1)
-    valid = np.cumsum(marks[:n]) == 0
+    valid = np.ones(n, bool)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        valid[max(a, b - w.length + 1) : b] = False
     same = (place[1:] == place[:-1]) & valid[1:] & valid[:-1]
     opens, closes = valid.copy(), valid.copy()
     opens[1:] &= ~same
@@ -171,30 +179,48 @@ def _send(shards: pd.DataFrame, grams: pd.DataFrame, w: Windows, n: int, buckets
 
 def _resolve(pdf: pd.DataFrame, w: Windows, classes: Callable) -> pd.DataFrame:
     """``classes`` gives equal windows of the joined symbols equal numbers: ``classes(symbols, starts, owned, length)``."""
-    each = [unpack(x) for x in pdf.runs]
-    sizes = [len(x[0]) for x in each]
-    keys, ids, docs, at, owned = (np.concatenate([x[k] for x in each]) for k in range(5))
-    owned = owned.astype(np.int64)
+    metas, symbols, owns, known = [], [], [], np.zeros(0, np.uint64)
+    for blob in pdf.runs:
+        keys, ids, docs, at, owned, content, codes = unpack(blob)
+        metas.append((keys, ids, docs, at))
+        where = np.searchsorted(known, keys)
+        fresh = known[np.minimum(where, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
+        # Of runs that are equal as a whole, one stands for all.
+        fresh = np.flatnonzero(fresh)
+        fresh = fresh[np.unique(keys[fresh], return_index=True)[1]]
+        if len(fresh):
+            sizes = owned.astype(np.int64) + w.length - 1
+            content = content[codes] if w.words else np.frombuffer(content, np.uint8)
+            symbols.append(content[ranges((np.cumsum(sizes) - sizes)[fresh], sizes[fresh])])
+            owns.append((keys[fresh], owned[fresh].astype(np.int64)))
+            known = np.insert(known, np.searchsorted(known, keys[fresh]), keys[fresh])
+    sizes = [len(x[0]) for x in metas]
+    keys, ids, docs, at = (np.concatenate([x[k] for x in metas]) for k in range(4))
     shard = np.repeat(pdf.shard_id.to_numpy(np.int64), sizes)
-    symbols = np.concatenate([x[5][x[6]] if w.words else np.frombuffer(x[5], np.uint8) for x in each])
-    del each
-    spans = owned + w.length - 1
-    starts = np.cumsum(spans) - spans
-    if w.words:
-        symbols = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
-    found = classes(symbols, starts, owned, w.length)
-    # A run's rank among all runs by document, then place; equal ids rank alike where only smaller ids count.
+    # A run's rank by document, then place; runs of equal ids rank alike where only smaller ids count.
     order = np.lexsort((at, docs, shard, ids)) if w.within else np.argsort(ids, kind="stable")
     fresh = np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if not w.within else np.ones(len(order), bool)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    run = np.repeat(np.arange(len(owned)), owned)
+    of = np.searchsorted(known, keys)
+    best = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(best, of, rank)
+    held, owned = (np.concatenate([x[k] for x in owns]) for k in range(2))
+    symbols = np.concatenate(symbols)
+    if w.words:
+        symbols = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
+    spans = owned + w.length - 1
+    found = classes(symbols, np.cumsum(spans) - spans, owned, w.length)
+    del symbols
+    run = np.repeat(np.searchsorted(known, held), owned)
     offset = ranges(np.zeros(len(owned), np.int64), owned)
-    rank = rank[run] * (1 << 16) + offset if w.within else rank[run]
+    place = best[run] * (1 << 16) + offset if w.within else best[run]
     first = np.full(int(found.max(initial=0)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, found, rank)
-    bits = np.where(first[found] < rank, np.uint64(1) << offset.astype(np.uint64), np.uint64(0))
-    masks = np.bitwise_or.reduceat(bits, np.cumsum(owned) - owned)
+    np.minimum.at(first, found, place)
+    bits = np.where(first[found] < place, np.uint64(1) << offset.astype(np.uint64), np.uint64(0))
+    masks = np.zeros(len(known), np.uint64)
+    masks[np.searchsorted(known, held)] = np.bitwise_or.reduceat(bits, np.cumsum(owned) - owned)
+    masks = np.where(rank > best[of], ~np.uint64(0), masks[of])
     rows, begin = [], 0
     for shard_id, size in zip(pdf.shard_id, sizes, strict=True):
         some = begin + np.flatnonzero(masks[begin : begin + size])
@@ -223,10 +249,14 @@ def removed(shard: Shard, found: Scan, masks: list[bytes], w: Windows) -> np.nda
     run = np.repeat(some, found.owned[some])
     offset = ranges(np.zeros(len(some), np.int64), found.owned[some])
     start = (found.at[run] + offset)[(hit[run] >> offset.astype(np.uint64) & np.uint64(1)).astype(bool)]
-    marks = np.zeros(total + 1, np.int32)
-    np.add.at(marks, start, 1)
-    np.add.at(marks, start + w.length, -1)
-    return np.cumsum(marks[:-1]) > 0
+    if not len(start):
+        return np.zeros(total, bool)
+    flag = np.zeros(total, np.int8)
+    flag[start] = 1
+    so_far = np.cumsum(flag, dtype=np.int32)
+    gone = so_far.copy()
+    gone[w.length :] -= so_far[: -w.length]
+    return gone > 0
 
 
 def repeated(shards: DataFrame, n_symbols: int, w: Windows, classes: Callable, report: Callable, schema: str, bucket_symbols: int) -> DataFrame:

@@ -21,7 +21,7 @@ from veritab.llm._shards import NULL_ID, staged
 from veritab.llm._windows import Windows, ranges, repeated
 
 LENGTH = 50
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = (2 << 20) - 4096
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -37,70 +37,78 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` in the order of their suffixes, as far as ``depth`` bytes: Larsson-Sadakane refinement.
 
     Groups of equal prefixes carry the number of their last member. A round sorts only within groups that have several
-    members, by the group number that stands as far on as the prefix is long, and so doubles it.
+    members, by the group number that stands as far on as the prefix is long, and so doubles it. Sort keys are packed
+    with the place into 64 bits, which numpy sorts several times faster than it finds an order.
     """
-    n, key = len(text), words_at(text)
-    sa = np.argsort(key)
-    key = key[sa]
-    last = np.concatenate([key[1:] != key[:-1], [True]]) if n else np.zeros(0, bool)
-    ends = np.flatnonzero(last)
-    number = np.empty(n, np.int64)
+    n = len(text)
+    bits = np.uint64((n + 1).bit_length())
+    if 3 * int(bits) > 64:
+        raise ValueError(f"a shard holds fewer than 2**21 bytes, not {n}")
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    h = (64 - int(bits)) // 8
+    both = words_at(text) >> np.uint64(64 - 8 * h) << bits | np.arange(n, dtype=np.uint64)
+    both.sort()
+    sa, both = (both & low).astype(np.int64), both >> bits
+    ends = np.flatnonzero(np.concatenate([both[1:] != both[:-1], [True]])) if n else np.zeros(0, np.int64)
     sizes = np.diff(ends, prepend=-1)
-    number[sa] = np.repeat(ends, sizes)
+    number = np.zeros(n + 1, np.uint64)  # what follows the end has number 0, all else 1 and more
+    number[sa] = np.repeat(ends + 1, sizes)
     open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    h = 8
     while h < depth and len(open_):
         own = sa[open_]
-        ahead = own + h
-        second = np.where(ahead < n, number[np.minimum(ahead, n - 1)] + 1, 0)
-        both = number[own] << 32 | second
-        order = np.argsort(both)
-        both, own = both[order], own[order]
+        both = number[own] << (bits + bits) | number[np.minimum(own + h, n)] << bits | own.astype(np.uint64)
+        both.sort()
+        own, both = (both & low).astype(np.int64), both >> bits
         sa[open_] = own
         ends = np.flatnonzero(np.concatenate([both[1:] != both[:-1], [True]]))
         sizes = np.diff(ends, prepend=-1)
-        number[own] = np.repeat(open_[ends], sizes)
+        number[own] = np.repeat(open_[ends] + 1, sizes)
         open_ = open_[np.repeat(sizes > 1, sizes)]
         h *= 2
     return sa
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int, lane: int = 256) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in ``sa``, ``depth`` at most: Kasai's rule.
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, longest: int = 256) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in ``order``, ``depth`` at most: Kasai's rule.
 
-    The text is cut into lanes that advance together. Along a lane a prefix shrinks by one at most from place to place,
-    so comparing goes on where it stood, eight bytes at a time. The rule needs the order of the suffixes before; where they
-    share ``depth`` bytes or more, ``sa`` leaves their order open, and comparing starts anew.
+    ``order``: places of some or all suffixes, sorted as far as ``depth`` bytes at least. From place to place a common
+    prefix shrinks by one at most, so comparing goes on where it stood, eight bytes at a time; this holds where the place after the
+    one compared with is in ``order`` too, and where less than ``depth`` was shared, else comparing starts anew. Chains of
+    neighbouring places advance together.
     """
     n, key = len(text), words_at(text)
-    before = np.empty(n, np.int64)
-    before[sa[1:]] = sa[:-1]
-    if n:
-        before[sa[0]] = -1
-    out = np.zeros(n, np.int64)
-    base = np.arange(0, n, lane)
-    h = np.zeros(len(base), np.int64)
-    for t in range(min(lane, n)):
-        if t and base[-1] + t >= n:
-            base, h = base[:-1], h[:-1]
-            if not len(base):
-                break
-        i = base + t
+    before, mine = np.full(n, -1), np.zeros(n + 1, bool)
+    before[order[1:]] = order[:-1]
+    mine[order] = True
+    place = np.flatnonzero(mine)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1])) if len(place) else place
+    step = np.arange(len(place)) - np.repeat(begins, np.diff(np.append(begins, len(place))))
+    heads = np.flatnonzero(step % longest == 0)
+    sizes = np.diff(np.append(heads, len(place)))
+    by = np.argsort(-sizes, kind="stable")
+    heads, sizes = place[heads[by]], sizes[by]
+    out, h, held = np.zeros(n, np.int64), np.zeros(len(heads), np.int64), np.zeros(len(heads), bool)
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        m = int(np.searchsorted(-sizes, -t, "left"))
+        i = heads[:m] + t
         p = before[i]
-        h = np.where((h < depth) & (p >= 0), np.maximum(h - 1, 0), 0)
-        go = np.flatnonzero((p >= 0) & (h < depth))
+        h = np.where(held[:m] & (h[:m] < depth), np.maximum(h[:m] - 1, 0), 0)
+        go = np.flatnonzero(p >= 0)
         while len(go):
             x, y = i[go] + h[go], p[go] + h[go]
-            go, x, y = (v[(x < n) & (y < n)] for v in (go, x, y))
+            inside = (x < n) & (y < n)
+            if not inside.all():
+                go, x, y = go[inside], x[inside], y[inside]
             diff = key[x] ^ key[y]
             same = diff == 0
-            h[go[same]] += 8
             rest = diff[~same]
             h[go[~same]] += sum((rest < np.uint64(1 << s)).astype(np.int64) for s in range(8, 64, 8))
             go = go[same]
+            h[go] += 8
             go = go[h[go] < depth]
         out[i] = np.minimum(h, depth)
-    return out[sa]
+        held = (p >= 0) & mine[p + 1]
+    return out[order]
 
 
 def classes(text: np.ndarray, starts: np.ndarray, owned: np.ndarray, length: int) -> np.ndarray:
@@ -117,28 +125,23 @@ def classes(text: np.ndarray, starts: np.ndarray, owned: np.ndarray, length: int
         place = ranges(starts[first:last] - begin, owned[first:last])
         mine = np.zeros(len(part), bool)
         mine[place] = True
-        sa = suffix_array(part, length)
-        lcp = common_prefixes(part, sa, length)
-        at = np.flatnonzero(mine[sa])
-        shared = np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
-        heads = np.concatenate([[True], shared < length])
+        order = suffix_array(part, length)
+        order = order[mine[order]]
+        heads = common_prefixes(part, order, length) < length
         group = np.cumsum(heads) - 1
-        # The distinct windows of this shard, in order, are searched among those of the shards before.
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, length)[sa[at[heads]]]).view(f"S{length}").ravel()
-        where = np.searchsorted(known, strings)
-        if len(known):
-            old = known[np.minimum(where, len(known) - 1)] == strings
-        else:
-            old = np.zeros(len(strings), bool)
-        got = np.empty(len(strings), np.int64)
-        got[old] = number[where[old]]
-        got[~old] = made + np.arange(int((~old).sum()))
-        made += int((~old).sum())
-        if last < len(owned):
-            known = np.insert(known, where[~old], strings[~old])
-            number = np.insert(number, where[~old], got[~old])
+        got = made + np.arange(int(heads.sum()))
+        made += len(got)
+        if first or last < len(owned):
+            # The distinct windows of this shard, in order, are searched among those of the shards before.
+            strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, length)[order[heads]]).view(f"S{length}").ravel()
+            where = np.searchsorted(known, strings)
+            old = known[np.minimum(where, len(known) - 1)] == strings if len(known) else np.zeros(len(strings), bool)
+            got[old] = number[where[old]]
+            if last < len(owned):
+                known = np.insert(known, where[~old], strings[~old])
+                number = np.insert(number, where[~old], got[~old])
         of_place = np.empty(len(part), np.int64)
-        of_place[sa[at]] = got[group]
+        of_place[order] = got[group]
         out[before[first] : before[last - 1] + owned[last - 1]] = of_place[place]
         first = last
     return out
@@ -164,4 +167,4 @@ def removed_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per document: its bytes, how many are covered by a ``length``-byte string that a document with a smaller id also has, in how many spans, and the SHA-256 of the rest."""
     w = Windows(length=length, gram=max(1, length // 2 - 1), words=False, within=False)
     shards, total = staged(docs, id_col, text_col)
-    return repeated(shards, total, w, classes, _report, SCHEMA, bucket_symbols=16 << 20)
+    return repeated(shards, total, w, classes, _report, SCHEMA, bucket_symbols=8 << 20)
