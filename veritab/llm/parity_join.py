@@ -28,9 +28,8 @@ from veritab.llm._components import components
 from veritab.llm._session import checkpointed, shuffle_partitions
 from veritab.llm._shards import NULL_ID, Shard, pack, staged, unpack
 
-SHINGLE, PERCENT = 5, 75
-MOST_HOT, HOT_IN_SHARD, MOST_IN_SHARD, TILE = 200_000, 3, 5000, 1024
-IDX = np.uint64(24)
+SHINGLE, PERCENT, TILE = 5, 75, 1024
+IDX, LOW, HALF = np.uint64(24), np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def shingle_sets(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -76,21 +75,17 @@ def sketch_keys(shingles: np.ndarray, band: int) -> np.ndarray:
     return W.mix(np.bitwise_xor.reduceat(shingles, heads) ^ W.mix(word[heads] + np.uint64(band << 40)))
 
 
-def chosen_keys(shingles: np.ndarray, band: int, percent: int, hot: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
-    """The D + 1 keys that come first in the common order: by value, then hot ones from rare to frequent."""
-    keys = sketch_keys(shingles, band)
-    many = most_different(len(shingles), percent) + 1
-    if many >= len(keys):
-        return keys
-    order = keys >> np.uint64(1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        order = np.where(hot[at] == keys, (np.uint64(1) << np.uint64(63)) + hot_rank[at], order)
-    return keys[np.argpartition(order, many - 1)[:many]]
+def chosen_keys(keys: np.ndarray, documents: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The D + 1 keys of a set of ``n`` that come first in the common order, by how many documents have them and then by value; without those that one has."""
+    many = most_different(n, percent) + 1
+    if many < len(keys):
+        first = np.argpartition(documents.astype(np.uint64) << np.uint64(48) | keys >> np.uint64(16), many - 1)[:many]
+        keys, documents = keys[first], documents[first]
+    return keys[documents > 1]
 
 
-def _describe(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
-    """A row for each document, with two sums that tell its set; and a row (idx -1) for each key that recurs in the shard."""
+def _describe(pdf: pd.DataFrame, shingle: int) -> pd.DataFrame:
+    """A row for each document, with two sums that tell its set."""
     out = []
     for shard_id, payload in zip(pdf.shard_id, pdf.payload, strict=True):
         shard = Shard.of(shard_id, payload)
@@ -99,29 +94,91 @@ def _describe(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
         s1 = np.array([W.mix(x).sum() if len(x) else 0 for x in sets], np.uint64)
         s2 = np.array([np.bitwise_xor.reduce(W.mix(x ^ np.uint64(0x5851F42D4C957F2D))) if len(x) else 0 for x in sets], np.uint64)
         out.append(pd.DataFrame({"shard_id": shard_id, "idx": np.arange(len(n)), "doc_id": shard.ids, "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64)}))
-        fresh = np.unique(s1 ^ s2, return_index=True)[1]
-        keys = [sketch_keys(sets[i], b) for i in fresh for b in bands(len(sets[i]), percent) if len(sets[i])]
-        if keys:
-            keys, many = np.unique(np.concatenate(keys), return_counts=True)
-            hot = np.flatnonzero(many >= HOT_IN_SHARD)
-            hot = hot[np.argsort(-many[hot], kind="stable")[:MOST_IN_SHARD]]
-            out.append(pd.DataFrame({"shard_id": shard_id, "idx": -1, "doc_id": 0, "n": many[hot], "s1": keys[hot].view(np.int64), "s2": 0}))
     return pd.concat(out) if out else pd.DataFrame(columns=["shard_id", "idx", "doc_id", "n", "s1", "s2"], dtype="int64")
 
 
-def _keys(shards: pd.DataFrame, reps: pd.DataFrame, shingle: int, percent: int, hot: np.ndarray, hot_rank: np.ndarray, buckets: int) -> pd.DataFrame:
+def _all_keys(shard: Shard, idx: np.ndarray, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of some documents in all their bands; for each such pair the document's place, how many keys it has, and how many shingles."""
+    sets = sets_of(shard, shingle)
+    found = [(i, sketch_keys(sets[i], b)) for i in idx.tolist() for b in bands(len(sets[i]), percent)]
+    if not found:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return np.concatenate([k for _, k in found]), np.array([i for i, _ in found]), np.array([len(k) for _, k in found]), np.array([len(sets[i]) for i, _ in found])
+
+
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys >> HALF) % np.uint64(n)).astype(np.int64)
+
+
+def _offer(shards: pd.DataFrame, reps: pd.DataFrame, shingle: int, percent: int, n: int) -> pd.DataFrame:
+    """For each bucket the shard's keys: 32 bits of each, and how many documents have those that several have. The representatives travel in a row of their own, bucket -1 and below."""
     rows = []
     for shard_id, payload in zip(shards.shard_id, shards.payload, strict=True):
-        sets = sets_of(Shard.of(shard_id, payload), shingle)
-        found = [(i, chosen_keys(sets[i], b, percent, hot, hot_rank)) for i in reps.idx.tolist() for b in bands(len(sets[i]), percent)]
-        if not found:
+        idx = np.sort(reps.idx.to_numpy(np.int64))
+        keys, many = np.unique(_all_keys(Shard.of(shard_id, payload), idx, shingle, percent)[0], return_counts=True)
+        to, low = _bucket(keys, n), (keys & LOW).astype(np.uint32)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(n + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[b] : cuts[b + 1]]
+            one = many[own] == 1
+            rows.append((int(b), int(shard_id), low[own[one]].tobytes(), pack(low[own[~one]], many[own[~one]].astype(np.uint16))))
+        rows.append((-1 - int(shard_id) % n, int(shard_id), idx.tobytes(), b""))
+    return pd.DataFrame(rows, columns=["bucket", "shard_id", "keys", "several"])
+
+
+def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each shard those of its keys that several documents have, over all shards, and how many."""
+    if pdf.bucket.iloc[0] < 0:
+        return pdf
+    one = [np.frombuffer(x, np.uint32) for x in pdf["keys"]]
+    more = [unpack(x) for x in pdf.several]
+    keys, many = np.unique(np.concatenate(one), return_counts=True)
+    extra, at = np.unique(np.concatenate([x for x, _ in more]), return_inverse=True)
+    added = np.bincount(at, np.concatenate([x for _, x in more]), len(extra)).astype(np.int64)
+    every = np.concatenate([keys[many > 1], extra])
+    every, at = np.unique(every, return_inverse=True)
+    total = np.bincount(at, np.concatenate([many[many > 1], added]), len(every)).astype(np.int64)
+    # a key that one shard has several times and others once
+    i = np.minimum(np.searchsorted(keys, every), max(0, len(keys) - 1))
+    if len(keys):
+        total += np.where((keys[i] == every) & (many[i] == 1), 1, 0)
+    total = np.minimum(total, 0xFFFF).astype(np.uint16)
+    rows = []
+    for shard_id, x, (y, _) in zip(pdf.shard_id, one, more, strict=True):
+        if len(every):
+            own = np.unique(np.concatenate([x, y]))
+            at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+            good = every[at] == own
+            rows.append((int(pdf.bucket.iloc[0]), int(shard_id), own[good].tobytes(), pack(total[at[good]])))
+    return pd.DataFrame(rows, columns=["bucket", "shard_id", "keys", "several"])
+
+
+def _keys(shards: pd.DataFrame, known: pd.DataFrame, shingle: int, percent: int, n: int, buckets: int) -> pd.DataFrame:
+    """For each bucket the keys by which the shard's documents join, with the document's place in the lowest bits."""
+    rows = []
+    for shard_id, payload in zip(shards.shard_id, shards.payload, strict=True):
+        own = known[known.bucket >= 0]
+        if own.empty:
+            continue
+        idx = np.frombuffer(known["keys"][known.bucket < 0].iloc[0], np.int64)
+        keys, doc, sizes, n_shingles = _all_keys(Shard.of(shard_id, payload), idx, shingle, percent)
+        shared = np.concatenate([np.uint64(b) << HALF | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(own.bucket, own["keys"], strict=True)])
+        many = np.concatenate([unpack(x)[0] for x in own.several])
+        order = np.argsort(shared)
+        shared, many = shared[order], many[order]
+        mine = _bucket(keys, n).astype(np.uint64) << HALF | keys & LOW
+        at = np.minimum(np.searchsorted(shared, mine), max(0, len(shared) - 1))
+        documents = np.where(shared[at] == mine, many[at], 1) if len(shared) else np.ones(len(keys), np.int64)
+        if not (documents > 1).any():
             continue
-        keys = np.concatenate([k for _, k in found])
-        idx = np.repeat(np.array([i for i, _ in found], np.uint64), [len(k) for _, k in found])
-        to = (keys & np.uint64(0xFFFFFF)) % np.uint64(buckets)
+        ends = np.cumsum(sizes)
+        found = [chosen_keys(keys[b - m : b], documents[b - m : b], k, percent) for b, m, k in zip(ends.tolist(), sizes.tolist(), n_shingles.tolist(), strict=True)]
+        chosen, place = np.concatenate(found), np.repeat(doc.astype(np.uint64), [len(k) for k in found])
+        to = ((chosen & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        packed = (keys >> IDX << IDX | idx)[order]
+        packed = (chosen >> IDX << IDX | place)[order]
         rows += [(int(b), int(shard_id), np.sort(packed[cuts[b] : cuts[b + 1]]).tobytes()) for b in np.flatnonzero(np.diff(cuts))]
     return pd.DataFrame(rows, columns=["bucket", "shard_id", "keys"])
 
@@ -231,7 +288,7 @@ def _verify(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64").drop_duplicates()
 
 
-def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", most_hot: int = MOST_HOT, tile: int = TILE) -> DataFrame:
+def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     shards, total = staged(docs, id_col, text_col)
@@ -240,17 +297,14 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
     def describe(it):
         for pdf in it:
-            yield _describe(pdf, shingle, percent)
-
-    described = checkpointed(flat.mapInPandas(describe, "shard_id long, idx long, doc_id long, n long, s1 long, s2 long"))
-    rows = described.where("idx >= 0")
-    found = described.where("idx < 0").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "s1").limit(most_hot).toPandas()  # most_hot rows at most
-    hot = found.s1.to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(hot)
-    hot, hot_rank = hot[by], (len(hot) - 1 - by).astype(np.uint64)
+            yield _describe(pdf, shingle)
+
+    rows = checkpointed(flat.mapInPandas(describe, "shard_id long, idx long, doc_id long, n long, s1 long, s2 long"))
     reps = checkpointed(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "shard_id", "idx")).alias("rep")))
-    reached = flat.groupBy("shard_id").cogroup(reps.select("rep.shard_id", "rep.idx").groupBy("shard_id"))
-    keys = reached.applyInPandas(lambda key, a, b: _keys(a, b, shingle, percent, hot, hot_rank, buckets), "bucket long, shard_id long, keys binary")
+    schema = "bucket long, shard_id long, keys binary, several binary"
+    offered = flat.groupBy("shard_id").cogroup(reps.select("rep.shard_id", "rep.idx").groupBy("shard_id")).applyInPandas(lambda key, a, b: _offer(a, b, shingle, percent, buckets), schema)
+    known = offered.groupBy("bucket").applyInPandas(_frequencies, schema)
+    keys = flat.groupBy("shard_id").cogroup(known.groupBy("shard_id")).applyInPandas(lambda key, a, b: _keys(a, b, shingle, percent, buckets, buckets), "bucket long, shard_id long, keys binary")
     members = keys.groupBy("bucket").applyInPandas(lambda pdf: _groups(pdf, tile), "shard_id long, members binary")
     sent = flat.groupBy("shard_id").cogroup(members.groupBy("shard_id")).applyInPandas(lambda key, a, b: _send(a, b, buckets), "bucket long, texts binary")
     links = sent.groupBy("bucket").applyInPandas(lambda pdf: _verify(pdf, shingle, percent), "u long, v long")
