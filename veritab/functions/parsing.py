@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritab.functions.textnorm import plain_norm, trimmed
 
@@ -27,7 +28,7 @@ def balanced(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def balanced_blocks(text: pd.Series) -> pd.Series:
     """All outermost {...}, with objects inside."""
     return text.map(lambda x: [] if x is None else balanced(x))

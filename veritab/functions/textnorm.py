@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Symbols, words and contractions of the consensus metric's answer normalisation.
 PUNCTUATION = [";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!"]
@@ -106,7 +107,7 @@ def uses_exact_match(eval_metric: Column, *names: Column) -> Column:
     return F.coalesce(F.lower(eval_metric).isin("normalized_em", "nem"), F.lit(False)) | text.rlike("|".join(EXACT_MATCH_TAGS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode's compatibility form, which Spark lacks."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -143,7 +144,7 @@ def _longest_common(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest substring that both have."""
     return pd.Series([0 if x is None or y is None else _longest_common(x, y) for x, y in zip(a, b, strict=True)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.geometry import area, union_box, valid
 from veritab.functions.textnorm import keywords, longest_common, numbers_in, robust_norm, token_similarity
+from veritab.operators.checkpoints import cut
 
 #: The cascade's defaults.
 MOST_GRAM, LEAST_CHARS, LEAST_SCORE, COMMON_WEIGHT, NUMBER_BONUS, LEAST_TOKEN = 5, 2, 0.40, 0.6, 0.15, 0.6
@@ -71,18 +72,24 @@ def _by_similarity(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
 def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str = "tokens", question: str | None = None) -> DataFrame:
     """``df`` with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
     what the question names; the most similar phrase whatever its score; the largest box; none."""
-    own = exact_and_numeric(df, answer, tokens)
+    own = cut(exact_and_numeric(df, answer, tokens))  # else every use of the phrases below would compute them anew
     own = own.join(_by_similarity(own, answer, keys), keys, "left")
     best = F.col("_best")
-    words = keywords(F.col(answer))
+    words = F.transform(keywords(F.col(answer)), lambda w: F.struct(w.alias("w"), numbers_in(w).alias("numbers")))
 
     def hits(word: Column) -> Column:
-        like = F.filter("_tokens", lambda t: (t["norm"] == word) | F.arrays_overlap(t["numbers"], numbers_in(word)))
-        near = F.filter("_tokens", lambda t: token_similarity(word, t["norm"]) >= LEAST_TOKEN)
+        like = F.filter("_tokens", lambda t: (t["norm"] == word["w"]) | F.arrays_overlap(t["numbers"], word["numbers"]))
+        near = F.filter("_tokens", lambda t: token_similarity(word["w"], t["norm"]) >= LEAST_TOKEN)
         return F.transform(F.when(F.size(like) > 0, like).otherwise(near), lambda t: t["rect"])
 
-    by_word = union_box(F.flatten(F.transform(words, hits)))
-    asked = union_box(support_rects(F.col("_tokens"), F.col(question))) if question else F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>")
+    none = F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    if question:
+        own = own.withColumn("_asked_words", keywords(F.col(question))).withColumn("_asked_numbers", numbers_in(F.col(question)))
+    own = own.withColumn("_words", F.when(F.col("match").isNull(), words))
+    own = cut(own)
+    own = own.withColumn("_found", F.coalesce(F.flatten(F.transform("_words", hits)), none)).withColumn("_asked", support_rects(F.col("_tokens"), F.col("_asked_words"), F.col("_asked_numbers")) if question else none)
+    own = cut(own)
+    by_word, asked = union_box(F.col("_found")), union_box(F.col("_asked"))
     boxes = F.filter(F.transform("_tokens", lambda t: t["rect"]), valid)
     largest = F.array_max(F.transform(boxes, lambda r, i: F.struct(area(r).alias("a"), (-i).alias("i"), r.alias("r"))))["r"]
     similar = lambda why: _match(best["g"]["rect"], why, best["_score"], best["g"]["at"] - 1, best["g"]["n"])
@@ -94,11 +101,10 @@ def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str
         .when(best.isNotNull(), similar("forced_best"))
         .when(largest.isNotNull(), _match(largest, "largest_box", F.lit(0.0), F.lit(None), F.lit(None)))
     )
-    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_equal", "_phrases", "_best")
+    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_equal", "_phrases", "_best", "_words", "_found", "_asked", "_asked_words", "_asked_numbers")
 
 
-def support_rects(tokens: Column, question: Column, least: float = 0.75) -> Column:
-    """The distinct boxes of tokens that a question's words name: equal, sharing a number, or similar."""
-    words, numbers = keywords(question), numbers_in(question)
+def support_rects(tokens: Column, words: Column, numbers: Column, least: float = 0.75) -> Column:
+    """The distinct boxes of normalised tokens that a question's words or numbers name: equal, sharing a number, or similar."""
     named = F.filter(tokens, lambda t: F.arrays_overlap(t["numbers"], numbers) | F.exists(words, lambda w: (t["norm"] == w) | (token_similarity(w, t["norm"]) >= least)))
     return F.array_distinct(F.filter(F.transform(named, lambda t: t["rect"]), valid))

@@ -18,7 +18,8 @@ NODES = "node_id long, parent_id long, name string"
 
 def nodes_of(spark: SparkSession, trees: str) -> DataFrame:
     """The nodes of nested JSON {name, children}, one tree or a list (S04, H01). A node without a name as text is left out with what is below it."""
-    found, todo = [], [(t, None) for t in (t if isinstance(t := json.loads(trees), list) else [t])]
+    top = json.loads(trees)
+    found, todo = [], [(t, None) for t in (top if isinstance(top, list) else [top])]
     while todo:
         node, parent = todo.pop(0)
         if isinstance(node, dict) and isinstance(node.get("name"), str):

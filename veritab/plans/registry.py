@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veritab.plans import assembly, hierarchies, placing, scoring
+
 FLAGSHIP = "embedding_match_metrics"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = scoring.QUERIES | hierarchies.QUERIES | assembly.QUERIES | placing.QUERIES
+ORACLE_SQL = scoring.ORACLE_SQL | hierarchies.ORACLE_SQL | assembly.ORACLE_SQL | placing.ORACLE_SQL
