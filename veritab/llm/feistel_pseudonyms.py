@@ -182,7 +182,7 @@ def email(text: str, key: bytes, back: bool) -> str | None:
 KINDS = {"phone": phone, "date": date, "ip": ip, "ssn": ssn, "card": card, "iban": iban, "key": key_, "email": email}
 NUMBERS = re.compile(
     r"(?<![\w.])(?:(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[1-9]\d{0,2}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})"
-    r"|(?P<date>\d{4}([-/.])\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<card>\d(?:[ -]?\d){12,18})"
+    r"|(?P<date>\d{4}([-/.])\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<card>\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ -])\d{6}\8\d{5})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)|(?P<key>AKIA[A-Z0-9]{16}))(?!\w)",
     re.ASCII,
 )
@@ -191,7 +191,9 @@ EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,
 
 @functools.lru_cache(100_000)
 def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str | None:
-    """What takes the place of ``text``, or None where it isn't valid. ``back`` inverts."""
+    """What takes the place of ``text``, or None where it isn't a whole valid value. ``back`` inverts."""
+    if kind != "email" and not ((m := NUMBERS.fullmatch(text)) and m.lastgroup == kind):
+        return None
     return KINDS[kind](text, key, back)
 
 
@@ -199,21 +201,20 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Count
     """The text with its valid values replaced, and how many of each kind."""
     found: Counter = Counter()
 
-    def number(m: re.Match) -> str:
-        kind, own = m.lastgroup, m[0]
-        new = pseudonym(kind, own, key, back)
-        if new is None and kind in ("card", "phone"):
-            # Numbers that stand side by side look like one; the longest valid head counts, then the rest.
-            for cut in sorted((i for i, c in enumerate(own) if c in " -"), reverse=True):
-                if (new := pseudonym(kind, own[:cut], key, back)) is not None:
-                    found[kind] += 1
-                    return new + NUMBERS.sub(number, own[cut:])
-            cut = min((i for i, c in enumerate(own) if c == " "), default=0)
-            return own[:cut] + NUMBERS.sub(number, own[cut:]) if cut else own
-        found[kind] += new is not None
-        return own if new is None else new
-
-    out = NUMBERS.sub(number, text)
+    parts, at = [], 0
+    while m := NUMBERS.search(text, at):
+        kind, own, begin = m.lastgroup, m[0], m.start()
+        # Numbers that stand side by side can look like one: the longest valid head counts, and the search goes on behind it.
+        cuts = [len(own), *sorted((i for i, c in enumerate(own) if c in " -"), reverse=True)]
+        cut, new = next(((i, x) for i in cuts if (x := pseudonym(kind, own[:i], key, back)) is not None), (0, None))
+        if new is None:
+            cut = own.index(" ") if " " in own else len(own)
+            new = own[:cut]
+        else:
+            found[kind] += 1
+        parts += [text[at:begin], new]
+        at = begin + cut
+    out = "".join([*parts, text[at:]])
     if "@" in out:
 
         def mail(m: re.Match) -> str:
