@@ -139,22 +139,33 @@ def any_rect(x: Column, y: Column, u: Column, v: Column, w: Column, h: Column) -
     return clipped(r, w.cast("double"), h.cast("double"), origin_inside=True)
 
 
-def text_region(r: Column, tw: Column, th: Column) -> Column:
-    """The largest centred part of a rectangle with the proportions of a text of tw by th."""
-    width, height = r["x1"] - r["x0"], r["y1"] - r["y0"]
-    scale = F.least(width / tw, height / th)
-    w, h = F.floor(tw * scale).cast("int"), F.floor(th * scale).cast("int")
-    x, y = r["x0"] + F.floor((width - w) / 2).cast("int"), r["y0"] + F.floor((height - h) / 2).cast("int")
-    return F.when((tw > 0) & (th > 0), rect(x, y, x + w, y + h))
-
-
-def square_region(r: Column, w: Column, h: Column, scale: float = 1.5) -> Column:
-    """A square around a rectangle, ``scale`` times its longer side, moved and cut to stay in the image."""
-    side = F.least(F.rint(F.greatest(r["x1"] - r["x0"], r["y1"] - r["y0"]) * scale).cast("int"), w, h)
+def text_region(r: Column, tw: Column, th: Column, tolerance: float = 0.1) -> Column:
+    """A rectangle as it is where its height to width is within a tolerance of a text's, else its largest centred part with the text's proportions, cut to whole pixels."""
+    w, h, aspect = (r["x1"] - r["x0"]).cast("double"), (r["y1"] - r["y0"]).cast("double"), th / tw
+    tall = aspect > h / w
+    sw, sh = F.when(tall, h / aspect).otherwise(w), F.when(tall, h).otherwise(w * aspect)
+    x, y = r["x0"] + (w - sw) / 2, r["y0"] + (h - sh) / 2
+    whole = lambda v: v.cast("int")
+    part = rect(whole(x), whole(y), whole(x + sw), whole(y + sh))
+    return F.when((tw > 0) & (w > 0), F.when(F.abs(h / w - aspect) > tolerance, part).otherwise(rect(*[whole(r[c]) for c in ("x0", "y0", "x1", "y1")])))
+
+
+def square_region(r: Column, w: Column, h: Column, scale: float = 2.0) -> Column:
+    """A square around a rectangle's middle, ``scale`` times its longer side, cut at the image's edges; the longer side that is left sets the other, which moves inside."""
+    half = F.floor(F.greatest(r["x1"] - r["x0"], r["y1"] - r["y0"]) * scale / 2)
     cx, cy = centre(r)
-    x = F.least(F.greatest(F.lit(0), cx - F.floor(side / 2).cast("int")), w - side)
-    y = F.least(F.greatest(F.lit(0), cy - F.floor(side / 2).cast("int")), h - side)
-    return rect(x, y, x + side, y + side)
+    left, right = F.greatest(cx - half, F.lit(0)), F.least(cx + half, w)
+    top, bottom = F.greatest(cy - half, F.lit(0)), F.least(cy + half, h)
+
+    def widened(low: Column, high: Column, side: Column, most: Column) -> tuple[Column, Column]:
+        more = (side - (high - low)) / 2
+        at = F.when(low - more < 0, F.lit(0.0)).when(high + more > most, most - side).otherwise(low - more)
+        return at, at + side
+
+    side = F.greatest(right - left, bottom - top)
+    x, u = widened(left, right, side, w)
+    y, v = widened(top, bottom, side, h)
+    return rect(x.cast("int"), y.cast("int"), u.cast("int"), v.cast("int"))
 
 
 def tile_ratio(w: Column, h: Column, least: int = 1, most: int = 12, tile: int = 448) -> Column:
@@ -192,7 +203,7 @@ def canvas_rect(r: Column, region: Column, side: int = 512, unit: int = 4) -> Co
     return rect(on(r["x0"], region["x0"], sx), on(r["y0"], region["y0"], sy), on(r["x1"], region["x0"], sx), on(r["y1"], region["y0"], sy))
 
 
-def layout_prompt(r: Column, text: Column) -> Column:
-    """Layout tokens: left, top, right and bottom, then each character in brackets."""
+def layout_prompt(r: Column, text: Column, end: str = " <|endoftext|>") -> Column:
+    """Layout tokens: left, top, right and bottom, then each character in brackets, and an end mark."""
     letters = F.array_join(F.transform(F.split(text, ""), lambda c: F.concat(F.lit("["), c, F.lit("]"))), " ")
-    return F.concat(F.lit(" l"), r["x0"], F.lit(" t"), r["y0"], F.lit(" r"), r["x1"], F.lit(" b"), r["y1"], F.lit(" "), letters)
+    return F.concat(F.lit(" l"), r["x0"], F.lit(" t"), r["y0"], F.lit(" r"), r["x1"], F.lit(" b"), r["y1"], F.lit(" "), letters, F.lit(end))

@@ -65,11 +65,18 @@ def word_validity(candidate: Column, answers: Column) -> Column:
     return F.when(candidate.isNull(), "json_parse_failed").when(overlaps(candidate, answers), "answer_overlap").otherwise("ok")
 
 
-def judged(response: Column, rule: Column, answer: Column, score: Column | None = None) -> Column:
-    """Whether a response is right, by a rule's name: ``option_a``/``option_b`` look for the option in brackets, ``contains`` for the answer, ``classifier`` for a score over a half; null for rules unknown."""
-    low = F.lower(response)
-    out = F.when(rule == "option_a", F.contains(low, F.lit("(a)"))).when(rule == "option_b", F.contains(low, F.lit("(b)"))).when(rule == "contains", F.contains(low, F.lower(answer)))
-    return out if score is None else out.when(rule == "classifier", score > 0.5)
+def judged(answer: Column, correct: Column, question: Column, dataset: Column, score: Column | None = None) -> Column:
+    """Whether an answer is right, as its dataset judges (N21); null for datasets without a rule.
+
+    ``typo_base``: the option's letter, alone or in brackets, or its text, which stands in the question between "(a) " and " (b) ";
+    ``vqav2``: the right answer is in it; ``LingoQA``: a classifier's score is over a half.
+    """
+    options = F.split(F.element_at(F.split(question, r"\(a\) "), 2), r" \(b\) ")
+    a, b = F.lower(options[0]), F.lower(F.regexp_replace(options[1], r"[ (c)]+$", ""))
+    named = lambda letter, text: (answer == letter) | F.contains(answer, F.lit(f"{letter})")) | F.contains(answer, text)
+    choice = F.when(correct == "a", named("a", a)).when(correct == "b", named("b", b)).otherwise(False)
+    out = F.when(F.contains(dataset, F.lit("typo_base")), choice).when(F.contains(dataset, F.lit("vqav2")), F.contains(F.lower(answer), F.lower(correct)))
+    return out if score is None else out.when(dataset == "LingoQA", score > 0.5)
 
 
 def response_text(whole: Column, parts: Column) -> Column:

@@ -52,5 +52,5 @@ def min_max(v: Column) -> Column:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Component by component, what an attention map has over another."""
-    return F.zip_with(min_max(a), min_max(b), lambda x, y: x / (y + F.lit(1e-8)))
+    """Component by component, an attention map over another (V04); null where the other is 0."""
+    return F.zip_with(a, b, lambda x, y: F.try_divide(x, y))
