@@ -6,8 +6,6 @@ step; equal strings have equal hashes, and different strings do so with a chance
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -18,18 +16,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n + 1, np.uint64(BASE))
-    up[0] = 1
-    down = np.full(n + 1, np.uint64(pow(BASE, -1, 1 << 64)))
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS = [np.zeros(0, np.uint64)] * 2
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n at least."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    """Powers of the base and of its inverse, 0 to n at least. One pair of arrays is kept, for the largest n so far."""
+    if len(_POWERS[0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            every = np.full(size + 1, np.uint64(base))
+            every[0] = 1
+            _POWERS[i] = np.multiply.accumulate(every)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

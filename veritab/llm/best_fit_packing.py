@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from veritab.llm._session import attach, checkpointed, places
 
 CAPACITY, END_ID = 1024, 2
-MOST_CACHED = 1_000_000
+MOST_CACHED = 200_000
 SPECIAL = "<|endoftext|>"
 #: Fixed value: the public pattern by which the byte-level BPE vocabulary cuts texts into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

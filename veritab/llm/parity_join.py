@@ -278,8 +278,7 @@ def _verify(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
         groups.append(group)
         members.append(member + len(ids))
         ids += own.tolist()
-        ends = np.asarray(ends, np.int64)
-        sets += shingle_sets(np.frombuffer(text, np.uint8), np.concatenate([[0], ends[:-1]]), ends, shingle)
+        sets += sets_of(Shard(0, own, np.asarray(ends, np.int64), np.frombuffer(text, np.uint8)), shingle)
     group, member = np.concatenate(groups), np.concatenate(members)
     order = np.argsort(group, kind="stable")
     out = []
