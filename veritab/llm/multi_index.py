@@ -7,7 +7,8 @@ bounds of the halves add up, and a multi-sequence traversal takes cells in the o
 it ends where the sum passes the distance that the threshold allows, so no link is lost; below 1 it ends at the bound that
 finds that share of the sample's links. Cells' members are then verified by cosine in double precision.
 
-Equal vectors are one representative with a weight. Cells that hold many are cut into tiles. Defined results: vectors that
+Equal vectors are one representative with a weight. Neighbouring cells form groups; a vector is sent once to each group, with
+the cells that it visits there, and groups that hold many vectors are cut into tiles. Defined results: vectors that
 are null, zero or hold null or non-finite components, and those with a null label, link with nothing; vectors of different
 lengths don't link. Rows that share a vec_id are separate vectors with one component. An empty table gives no rows.
 """
@@ -25,7 +26,7 @@ from veritab.llm._components import components
 from veritab.llm._session import attach, checkpointed, shuffle_partitions
 from veritab.llm.threshold_topk import finite
 
-SAMPLE, ROWS_PER_CELL, MOST_WORDS, TILE = 20_000, 50, 256, 1024
+SAMPLE, ROWS_PER_CELL, MOST_WORDS, TILE, ROWS_PER_GROUP = 20_000, 50, 256, 1024, 4096
 
 
 def normalised(rows: np.ndarray) -> np.ndarray:
@@ -107,13 +108,18 @@ def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
 def _tile(rows: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of each tile of a bucket: how many rows link to each asking vector, and edges that join what the tile's links join."""
     out = []
-    at = {k: v for k, v in rows.groupby(["label", "dims", "cell", "r", "q"]).indices.items()} if len(rows) else {}
-    for k, own in asked.groupby(["label", "dims", "cell", "r", "q"]).indices.items() if len(asked) else ():
+    at = {k: v for k, v in rows.groupby(["label", "dims", "g", "r", "q"]).indices.items()} if len(rows) else {}
+    for k, own in asked.groupby(["label", "dims", "g", "r", "q"]).indices.items() if len(asked) else ():
         if k not in at:
             continue
         x, y = asked.iloc[own], rows.iloc[at[k]]
         a, b = x.gid.to_numpy(), y.gid.to_numpy()
-        same = linked(np.stack(x.vector.to_numpy()).astype(np.float64), np.stack(y.vector.to_numpy()).astype(np.float64), threshold) & (a[:, None] != b)
+        cells, of = np.unique(y.cell.to_numpy(np.int64), return_inverse=True)
+        visited = np.zeros((len(x), len(cells)), bool)
+        for i, own in enumerate(x.cells):
+            visited[i] = np.isin(cells, own)
+        same = visited[:, of] & (a[:, None] != b)
+        same &= linked(np.stack(x.vector.to_numpy()).astype(np.float64), np.stack(y.vector.to_numpy()).astype(np.float64), threshold)
         if not same.any():
             continue
         n = same @ y.weight.to_numpy(np.int64)
@@ -147,26 +153,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, target_recall:
     sample = reps.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(seed), "gid"), "gid").limit(SAMPLE).select("vector").toPandas()
     index = MultiIndex(np.stack(sample.vector.to_numpy()).astype(np.float64), total, threshold, target_recall, seed) if len(sample) and dims > 1 else None
 
+    n_cells = len(index.books[0]) * len(index.books[1]) if index else 1
+    n_groups = min(n_cells, max(1, -(-total // ROWS_PER_GROUP)))
+
     def file(batches):
         for pdf in batches:
             cell, visits = np.zeros(len(pdf), np.int64), [[0]] * len(pdf)
             own = np.flatnonzero(pdf.dims == dims) if index else np.zeros(0, np.int64)
             if len(own):
                 cell[own], seen = index.cells(np.stack(pdf.vector.iloc[own].to_numpy()).astype(np.float64))
-                visits = [seen[k] if k >= 0 else [0] for k in np.where(pdf.dims == dims, np.cumsum(pdf.dims == dims) - 1, -1)]
-            yield pdf.assign(cell=cell, visits=visits)
+                for i, cells in zip(own.tolist(), seen, strict=True):
+                    visits[i] = cells
+            asks = []
+            for cells in visits:
+                by = {}
+                for c in cells:
+                    by.setdefault(c * n_groups // n_cells, []).append(c)
+                asks.append([{"g": g, "cells": own} for g, own in by.items()])
+            yield pdf.assign(cell=cell, g=cell * n_groups // n_cells, asks=asks)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields)
-    filed = checkpointed(reps.mapInPandas(file, f"{schema}, cell long, visits array<long>"))
-    place = ["label", "dims", "cell"]
-    asking = filed.select(*[c for c in filed.columns if c not in ("cell", "visits")], F.explode("visits").alias("cell"))
-    # A cell's rows are cut into tiles, and so are those who visit it; every tile of the ones meets every tile of the others.
+    filed = checkpointed(reps.mapInPandas(file, f"{schema}, cell long, g long, asks array<struct<g:long,cells:array<long>>>"))
+    place = ["label", "dims", "g"]
+    asking = filed.select(*reps.columns, F.inline("asks"))
+    # A group's rows are cut into tiles, and so are those who visit it; every tile of the ones meets every tile of the others.
     held = filed.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("rs")).join(asking.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("qs")), place)
     buckets = max(shuffle_partitions(spark), total // 5000)
     salt = lambda seed, many: F.pmod(F.xxhash64(F.lit(seed), "gid"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     bucket = F.pmod(F.xxhash64(*place, "r", "q"), F.lit(buckets))
-    mine = filed.drop("visits").join(held, place).withColumn("r", salt(1, "rs")).withColumn("q", every("qs")).withColumn("bucket", bucket)
+    mine = filed.drop("asks").join(held, place).withColumn("r", salt(1, "rs")).withColumn("q", every("qs")).withColumn("bucket", bucket)
     asked = asking.join(held, place).withColumn("q", salt(2, "qs")).withColumn("r", every("rs")).withColumn("bucket", bucket)
     asked = asked.toDF(*asked.columns)  # both sides come from one table
     found = checkpointed(mine.toDF(*mine.columns).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(lambda a, b: _tile(a, b, threshold), "gid long, u long, v long, n long"))
