@@ -1,4 +1,5 @@
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -183,6 +184,17 @@ def test_what_is_invalid_stays(text):
     assert feistel_pseudonyms.replace(text) == (text, {})
 
 
+@pytest.mark.parametrize("number", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (988) 055-2485", "+1 202 155 0100", "+1-000-000-0000", "+10175557713"])
+def test_numbers_outside_the_plan_change_among_such(number):
+    text = f"call {number}, or {number}."
+    new, found = feistel_pseudonyms.replace(text)
+    a, b = new[5:].split(", or ")
+    digits = re.sub(r"\D", "", a)
+    assert dict(found) == {"phone": 2} and a == b[:-1] != number and re.sub(r"\d", "0", a).replace("+0", "+1", 1) == re.sub(r"\d", "0", number).replace("+0", "+1", 1)
+    assert len(digits) == 11 and digits[0] == "1" and (digits[1] in "01" or digits[4] in "01")
+    assert feistel_pseudonyms.replace(new, back=True)[0] == text
+
+
 def test_values_side_by_side():
     new, found = feistel_pseudonyms.replace("+1 (456) 555-2186 4337166598464399 42.1.2.3")
     assert found == {"phone": 1, "card": 1, "ip": 1} and "4337166598464399" not in new

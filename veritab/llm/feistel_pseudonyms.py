@@ -4,7 +4,7 @@ Numbers and dates that pass their format's validation are permuted, under a key,
 payment card becomes another card with a right check digit, a date another date in the same layout, a phone number one of the
 same country. The permutation is a balanced Feistel network over the number of values of the format, walked on until it
 falls inside; so equal values have equal pseudonyms in all documents, different ones different, and whoever holds the key
-can invert them. Kinds: card (Luhn), phone, date, ip (IPv4), ssn, iban (mod 97), email (its local part), key (access keys).
+can invert them. Kinds: card (Luhn), phone (+1 numbers outside their plan, as written in texts, among such), date, ip (IPv4), ssn, iban (mod 97), email (its local part), key (access keys).
 
 Defined results: null stays null, empty stays empty; text outside matches is unchanged, as is what fails validation. Length
 in characters changes only for ip.
@@ -98,13 +98,23 @@ def card(text: str, key: bytes, back: bool) -> str | None:
     return _refill(text, moved + str(luhn(moved)))
 
 
+def _in_plan(digits: str) -> bool:
+    """Whether area code and exchange of a +1 number begin with 2 to 9, as its plan asks."""
+    return digits[1] not in "01" and digits[4] not in "01"
+
+
 def phone(text: str, key: bytes, back: bool) -> str | None:
     digits = _only(text)
     if not 8 <= len(digits) <= 15 or digits[0] == "0":
         return None
     if digits[0] == "1":
-        if len(digits) != 11 or digits[1] in "01" or digits[4] in "01":
+        if len(digits) != 11:
             return None
+        if not _in_plan(digits):  # a second domain: the walk goes on until it is outside the plan again
+            while True:
+                digits = "1" + str(permute(int(digits[1:]), 10**10, "phone1 outside the plan", key, back)).zfill(10)
+                if not _in_plan(digits):
+                    return _refill(text, digits)
         radices, low = [8, 10, 10, 8] + [10] * 6, [2, 0, 0, 2] + [0] * 6
         moved = mixed_radix([int(c) - b for c, b in zip(digits[1:], low, strict=True)], radices, "phone1", key, back)
         return _refill(text, "1" + "".join(str(d + b) for d, b in zip(moved, low, strict=True)))
