@@ -1,5 +1,6 @@
 """Queries whose SQL reads a part of its table, against that SQL over the whole table and against plain Python."""
 
+import pytest
 from oracle import same
 
 from veritab.plans import registry
@@ -12,3 +13,10 @@ def without(sql, part):
 
 def test_every_order_has_distractors(spark):
     same(spark, registry.QUERIES["sample_negatives_md5"], without(registry.ORACLE_SQL["sample_negatives_md5"], " WHERE o_orderkey % 10 = 0"))
+
+
+@pytest.mark.parametrize("name", ["soft_accuracy", "textual_accuracy", "majority_answer", "combined_answers", "prompt_top_answer"])
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_every_answer_counts(spark, monkeypatch, name, block):
+    monkeypatch.setattr("veritab.plans.scoring.BLOCK", block)
+    same(spark, registry.QUERIES[name], without(registry.ORACLE_SQL[name], " WHERE k <= 10"))

@@ -14,6 +14,12 @@ def matches(answers: Column, prediction: Column) -> Column:
     return F.size(F.filter(F.transform(answers, consensus_norm), lambda a: a == said))
 
 
+def counted_matches(kinds: Column, prediction: Column) -> Column:
+    """The same for an array of (a, n), where n of the answers are a."""
+    said = consensus_norm(prediction)
+    return F.aggregate(F.filter(kinds, lambda k: consensus_norm(k["a"]) == said), F.lit(0).cast("long"), lambda m, k: m + k["n"])
+
+
 def soft_score(n: Column, m: Column) -> Column:
     """The consensus score of a prediction that m of n answers equal: the mean, over each answer left out, of min(1, equal others / 3).
 

@@ -82,6 +82,13 @@ def majority_of(answers: Column, otherwise: str = "unknown") -> Column:
     return F.coalesce(F.array_min(kinds)["a"], F.lit(otherwise))
 
 
+def majority_counted(kinds: Column, otherwise: str = "unknown") -> Column:
+    """The same for an array of (a, n), where n of the answers are a; equal elements count together."""
+    total = lambda a: F.aggregate(F.filter(kinds, lambda k: k["a"] == a), F.lit(0).cast("long"), lambda m, k: m + k["n"])
+    words = F.array_sort(F.array_distinct(F.transform(kinds, lambda k: k["a"])))
+    return F.coalesce(F.array_min(F.transform(words, lambda a: F.struct((-total(a)).alias("n"), a.alias("a"))))["a"], F.lit(otherwise))
+
+
 def combined(answers: Column, otherwise: str = "unknown") -> Column:
     """The distinct elements of an array by name, with commas (A10)."""
     kept = F.array_sort(F.array_distinct(F.filter(answers, lambda a: a != "")))
@@ -94,6 +101,12 @@ def top_answer(answers: Column, stop: list[str]) -> Column:
     return F.when(F.size(kept) > 0, majority_of(kept))
 
 
+def top_counted(kinds: Column, stop: list[str]) -> Column:
+    """The same for an array of (a, n), where n of the answers are a."""
+    kept = F.filter(kinds, lambda k: ~k["a"].isin(stop))
+    return F.when(F.size(kept) > 0, majority_counted(kept))
+
+
 def highest(scores: Column) -> Column:
     """The answer with the highest score of an array of (answer, score), the first of equals (A11); null scores don't count."""
     known = F.filter(scores, lambda s: s["score"].isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import choice, metrics, parsing, textnorm, vectors
@@ -138,14 +138,25 @@ WITH a AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'The ' ELSE
 """
 
 
+#: Events whose numbers share all but their lowest bits are counted in one task.
+BLOCK = 65_536
+
+
+def _said() -> Column:
+    return F.concat(F.when(F.col("event_id") % 2 == 0, "The ").otherwise(""), "event_type", F.when(F.col("event_id") % 3 == 0, ".").when(F.col("event_id") % 3 == 1, "!").otherwise(""))
+
+
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, answers, prediction): ten answers at most of each user; the first one's plain word is the prediction."""
-    from pyspark.sql import Window
+    """(user_id, answers, n_answers, prediction): all answers of each user as structs (a, n) of distinct ones and their counts; the first one's plain word is the prediction.
+
+    Answers are counted before they meet in a row, so a frequent user stays small. The SQL still has each user's first ten.
+    """
+    kinds = read(spark, sf, "events").groupBy("user_id", _said().alias("a")).agg(F.count("*").alias("n"), F.min(F.struct("event_id", "event_type")).alias("first"))
+    return kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("answers"), F.sum("n").cast("int").alias("n_answers"), F.min("first")["event_type"].alias("prediction"))
+
 
-    e = read(spark, sf, "events")
-    text = F.concat(F.when(F.col("event_id") % 2 == 0, "The ").otherwise(""), "event_type", F.when(F.col("event_id") % 3 == 0, ".").when(F.col("event_id") % 3 == 1, "!").otherwise(""))
-    first = e.select("user_id", "event_id", "event_type", text.alias("answer"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k")).where("k <= 10")
-    return first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "answer", "event_type"))).alias("x")).select("user_id", F.col("x.answer").alias("answers"), F.col("x.event_type")[0].alias("prediction"))
+def _short(answers: str) -> Column:
+    return F.transform(answers, lambda k: F.struct(textnorm.short_norm(k["a"]).alias("a"), k["n"].alias("n")))
 
 
 _SOFT_SQL = (
@@ -161,9 +172,8 @@ r AS (SELECT user_id, CAST(n AS INTEGER) AS n_answers, CAST(m AS INTEGER) AS n_s
 @R.query(_SOFT_SQL + "SELECT user_id, n_answers, n_same, soft, exact FROM r")
 def soft_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Consensus score and exact match of a prediction for each user."""
-    a = _answers(spark, sf)
-    m = metrics.matches(F.col("answers"), F.col("prediction"))
-    return a.withColumn("m", m).select("user_id", F.size("answers").alias("n_answers"), F.col("m").alias("n_same"), F.round(metrics.soft_score(F.size("answers"), F.col("m")), 9).alias("soft"), (F.col("m") > 0).cast("double").alias("exact"))
+    a = _answers(spark, sf).withColumn("m", metrics.counted_matches(F.col("answers"), F.col("prediction")))
+    return a.select("user_id", "n_answers", F.col("m").cast("int").alias("n_same"), F.round(metrics.soft_score(F.col("n_answers"), F.col("m")), 9).alias("soft"), (F.col("m") > 0).cast("double").alias("exact"))
 
 
 @R.query(
@@ -173,8 +183,9 @@ def soft_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 def textual_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Users with even ids are scored by exact match, as their set's name asks."""
     name = F.when(F.col("user_id") % 2 == 0, "val/obj_attack_read").otherwise("val/txt_clean")
-    score = metrics.response_score(F.col("answers"), F.col("prediction"), textnorm.uses_exact_match(F.lit(""), name))
-    s = _answers(spark, sf).select(F.round(score, 9).alias("score"))
+    m = metrics.counted_matches(F.col("answers"), F.col("prediction"))
+    score = F.when(textnorm.uses_exact_match(F.lit(""), name), (F.col("m") > 0).cast("double")).otherwise(metrics.soft_score(F.col("n_answers"), F.col("m")))
+    s = _answers(spark, sf).withColumn("m", m).select(F.round(score, 9).alias("score"))
     return s.agg(F.round(metrics.percent(F.col("score")), 6).alias("accuracy"), F.count("*").alias("total"), F.round(F.sum("score"), 6).alias("score_sum"))
 
 
@@ -268,13 +279,13 @@ _KINDS_SQL = (
 @R.query(_KINDS_SQL + "SELECT user_id, norm AS answer FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, norm) = 1")
 def majority_answer(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent normalised answer."""
-    return _answers(spark, sf).select("user_id", L.majority_of(F.transform("answers", textnorm.short_norm)).alias("answer"))
+    return _answers(spark, sf).select("user_id", L.majority_counted(_short("answers")).alias("answer"))
 
 
 @R.query(_KINDS_SQL + "SELECT user_id, string_agg(norm, ', ' ORDER BY norm) AS answers FROM c GROUP BY user_id")
 def combined_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A10."""
-    return _answers(spark, sf).select("user_id", L.combined(F.transform("answers", textnorm.short_norm)).alias("answers"))
+    return _answers(spark, sf).select("user_id", L.combined(F.transform("answers", lambda k: textnorm.short_norm(k["a"]))).alias("answers"))
 
 
 @R.query(
@@ -283,8 +294,13 @@ def combined_answers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prompt_top_answer(spark: SparkSession, sf: str) -> DataFrame:
     """Every fourth answer is a stop answer."""
-    words = F.transform("answers", lambda a, i: F.when((i + 1) % 4 == 0, F.lit("unknown")).otherwise(textnorm.plain_norm(a)))
-    return _answers(spark, sf).select("user_id", L.top_answer(words, STOP_ANSWERS).alias("answer")).where("answer IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("user_id", "block").orderBy("event_id"))
+    e = read(spark, sf, "events").withColumn("block", F.floor(F.col("event_id") / BLOCK)).withColumn("place", place % 4)
+    kinds = e.groupBy("user_id", "block", "place", _said().alias("a")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    word = F.when((F.col("place") + before) % 4 == 0, "unknown").otherwise(textnorm.plain_norm(F.col("a")))
+    words = kinds.select("user_id", word.alias("a"), "n").groupBy("user_id", "a").agg(F.sum("n").alias("n")).groupBy("user_id").agg(F.collect_list(F.struct("a", "n")).alias("answers"))
+    return words.select("user_id", L.top_counted(F.col("answers"), STOP_ANSWERS).alias("answer")).where("answer IS NOT NULL")
 
 
 _GENERATED_SQL = """
