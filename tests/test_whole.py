@@ -2,8 +2,10 @@
 
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
-from veritab.plans import registry
+from veritab.operators import grounding
+from veritab.plans import placing, registry
 
 
 def without(sql, part):
@@ -20,3 +22,22 @@ def test_every_order_has_distractors(spark):
 def test_every_answer_counts(spark, monkeypatch, name, block):
     monkeypatch.setattr("veritab.plans.scoring.BLOCK", block)
     same(spark, registry.QUERIES[name], without(registry.ORACLE_SQL[name], " WHERE k <= 10"))
+
+
+def test_words_behind_the_fortieth_are_found(spark, tmp_path):
+    """Answers are words 2 and 3; after the fortieth they stand again, so boxes reach down to where they do."""
+    words = ["w0", "alpha", "beta", *[f"f{i}" for i in range(60)]]
+    texts = [(3, " ".join([*words, "beta", "end"])), (4, " ".join([*words, "gamma", "alphabeta"])), (6, " ".join(words))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.QUERIES["ground_answer"](spark, str(tmp_path)).collect()}
+    assert [(got[i].why, got[i].x0, got[i].y0, got[i].x1, got[i].y1) for i in (3, 4, 6)] == [("exact_token", 20, 0, 38, 132), ("exact_token", 40, 120, 48, 132), ("exact_token", 20, 0, 28, 12)]
+    every = {r.doc_id: r for r in registry.QUERIES["ground_answer_all"](spark, str(tmp_path)).collect()}
+    assert (every[3].why, every[3].y1) == ("exact_token", 132) and (every[4].why, every[4].y0) == ("exact_token", 120)
+    tokens = placing._tokens(spark, str(tmp_path)).withColumn("answer", F.lit("end gama"))
+    late = {r.doc_id: r.match for r in grounding.grounded(tokens, ["doc_id"]).collect()}
+    assert late[3].rect.y1 == 132
+
+
+def test_all_words_are_tokens(spark, tables):
+    got = placing._tokens(spark, "/root/testdata/sf0.001").agg(F.sum(F.size("tokens"))).first()[0]
+    assert got == sum(len(w) for r in tables("documents").select("text").collect() if r.text and len(w := r.text.split()) >= 3)

@@ -1,11 +1,13 @@
 """Where an answer's text stands among an image's OCR tokens.
 
-Tokens are an array of structs (word, rect) in reading order, some tens an image. All n-grams of an image are one array, and
+Tokens are an array of structs (word, rect) in reading order. All n-grams of an image are one array, and
 each tier of the cascade is a fold over it, so an image stays one row and nothing is exchanged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,29 +42,43 @@ def _match(rect: Column, why: str, score: Column, at: Column, n: Column) -> Colu
     return F.struct(rect.alias("rect"), F.lit(why).alias("why"), score.cast("double").alias("score"), at.cast("int").alias("at"), n.cast("int").alias("n"))
 
 
+def _phrases() -> Column:
+    """All phrases, from long to short."""
+    return F.flatten(F.array(*[grams(F.col("_tokens"), n) for n in range(MOST_GRAM, 1, -1)]))
+
+
+def _runs(n: int, test: Callable[[Column, int], Column]) -> Column:
+    """The runs of n tokens that pass a test of their first one's place, as structs at, n and rect; only for those is a box made."""
+    starts = F.when(F.size("_tokens") >= n, F.sequence(F.lit(1), F.size("_tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    boxed = F.transform(F.filter(starts, lambda i: test(i, n)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), union_box(F.transform(F.slice("_tokens", i, n), lambda t: t["rect"])).alias("rect")))
+    return F.filter(boxed, lambda g: valid(g["rect"]))
+
+
 def exact_and_numeric(df: DataFrame, answer: str = "answer", tokens: str = "tokens") -> DataFrame:
     """``df`` with ``match``: short answers are rejected; else all tokens equal to the answer, the first equal phrase from long to short, the last phrase that shares a number of two digits or more (M05, tiers 0 to 3)."""
     said, numbers = robust_norm(F.col(answer), False), numbers_in(F.col(answer))
     own = df.withColumn("_said", said).withColumn("_numbers", F.filter(numbers, lambda x: F.length(x) >= 2)).withColumn("_tokens", normalised_tokens(F.col(tokens)))
-    equal = F.filter("_tokens", lambda t: t["norm"] == F.col("_said"))
-    phrases = F.flatten(F.array(*[grams(F.col("_tokens"), n) for n in range(MOST_GRAM, 1, -1)]))
-    own = own.withColumn("_equal", equal).withColumn("_phrases", phrases)
-    same = F.filter("_phrases", lambda g: (g["norm"] == F.col("_said")) & valid(g["rect"]))
-    numeric = F.filter("_phrases", lambda g: F.arrays_overlap(g["numbers"], F.col("_numbers")) & valid(g["rect"]))
-    first, last = F.try_element_at(same, F.lit(1)), F.try_element_at(numeric, F.lit(-1))
-    box = union_box(F.transform("_equal", lambda t: t["rect"]))
+    own = own.withColumn("_equal", F.filter("_tokens", lambda t: t["norm"] == F.col("_said")))
+    own = own.withColumn("_box", union_box(F.transform("_equal", lambda t: t["rect"])))
+    own = own.withColumn("_norms", F.transform("_tokens", lambda t: F.coalesce(t["norm"], F.lit("")))).withColumn("_hits", F.when(F.size("_numbers") > 0, F.transform("_tokens", lambda t: F.arrays_overlap(t["numbers"], F.col("_numbers")))))
+    equal = lambda i, n: F.startswith(F.col("_said"), F.element_at("_norms", i)) & (F.array_join(F.slice("_norms", i, n), "") == F.col("_said"))
+    shares = lambda i, n: F.exists(F.slice("_hits", i, n), lambda hit: hit)
+    sought = F.col("_box").isNull() & (F.length("_said") >= LEAST_CHARS)
+    own = own.withColumn("_first", F.when(sought, F.coalesce(*[F.try_element_at(_runs(n, equal), F.lit(1)) for n in range(MOST_GRAM, 1, -1)])))
+    own = own.withColumn("_last", F.when(sought & F.col("_first").isNull() & F.col("_hits").isNotNull(), F.coalesce(*[F.try_element_at(_runs(n, shares), F.lit(-1)) for n in range(2, MOST_GRAM + 1)])))
+    first, last, box = F.col("_first"), F.col("_last"), F.col("_box")
     match = (
         F.when(F.length("_said") < LEAST_CHARS, _match(F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>"), "reject_short_answer", F.lit(None), F.lit(None), F.lit(None)))
         .when(box.isNotNull(), _match(box, "exact_token", F.lit(1.0), F.try_element_at("_equal", F.lit(1))["i"], F.lit(1)))
         .when(first.isNotNull(), _match(first["rect"], "exact_phrase", F.lit(1.0), first["at"] - 1, first["n"]))
         .when(last.isNotNull(), _match(last["rect"], "numeric_phrase", F.lit(1.0), last["at"] - 1, last["n"]))
     )
-    return own.withColumn("match", match)
+    return own.withColumn("match", match).drop("_box", "_norms", "_hits", "_first", "_last")
 
 
 def _by_similarity(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
     """(keys, best): the phrase most like the answer; the first of equals. Longest common substrings are the one Python step, over exploded phrases."""
-    flat = df.where("match IS NULL").select(*keys, "_said", "_numbers", F.posexplode("_phrases").alias("_p", "g")).where(F.length("g.norm") > 0)
+    flat = df.where("match IS NULL").select(*keys, "_said", "_numbers", F.posexplode(_phrases()).alias("_p", "g")).where(F.length("g.norm") > 0)
     common = longest_common(F.col("_said"), F.col("g.norm")) / F.length("_said")
     score = COMMON_WEIGHT * common + (1 - COMMON_WEIGHT) * token_similarity(F.col("_said"), F.col("g.norm"))
     score = F.least(F.lit(1.0), score + F.when(F.arrays_overlap("g.numbers", "_numbers"), F.lit(NUMBER_BONUS)).otherwise(0.0))
@@ -70,9 +86,11 @@ def _by_similarity(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
 
 
 def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str = "tokens", question: str | None = None) -> DataFrame:
-    """``df`` with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
+    """``df`` without its tokens, with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
     what the question names; the most similar phrase whatever its score; the largest box; none."""
-    own = cut(exact_and_numeric(df, answer, tokens))  # else every use of the phrases below would compute them anew
+    # Else every use below would compute them anew. Phrases take many times the room of tokens, and only answers not found yet need those.
+    own = exact_and_numeric(df, answer, tokens).withColumn("_tokens", F.when(F.col("match").isNull(), F.col("_tokens")))
+    own = cut(own.drop(tokens, "_equal"))
     own = own.join(_by_similarity(own, answer, keys), keys, "left")
     best = F.col("_best")
     words = F.transform(keywords(F.col(answer)), lambda w: F.struct(w.alias("w"), numbers_in(w).alias("numbers")))
@@ -101,7 +119,7 @@ def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str
         .when(best.isNotNull(), similar("forced_best"))
         .when(largest.isNotNull(), _match(largest, "largest_box", F.lit(0.0), F.lit(None), F.lit(None)))
     )
-    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_equal", "_phrases", "_best", "_words", "_found", "_asked", "_asked_words", "_asked_numbers")
+    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_best", "_words", "_found", "_asked", "_asked_words", "_asked_numbers")
 
 
 def support_rects(tokens: Column, words: Column, numbers: Column, least: float = 0.75) -> Column:

@@ -117,7 +117,7 @@ def tile_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("p_size", G.tile_ratio(300 + 37 * (F.col("p_size") % 20), 200 + 23 * (F.col("p_size") % 13)).alias("t")).select("p_size", "t.across", "t.down")
 
 
-# The first 40 words of a document stand for an image's tokens, ten a line. That is what the stand-in image holds, not a limit on its text.
+# A document's words stand for an image's tokens, ten a line. The queries take all of them, this SQL the first 40.
 _TOKENS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+')[1:40] AS ws FROM documents),
 a AS (SELECT doc_id, ws, CASE doc_id % 3 WHEN 0 THEN ws[3] WHEN 1 THEN ws[2] || ' ' || ws[3] ELSE 'zz 42 qq' END AS answer FROM w WHERE len(ws) >= 3),
 t AS (SELECT doc_id, i, CASE WHEN doc_id % 3 = 2 AND i = 2 THEN 'room' WHEN doc_id % 3 = 2 AND i = 3 THEN '42' ELSE ws[i] END AS word FROM a, unnest(range(1, len(ws) + 1)) t(i)),
@@ -134,7 +134,7 @@ _TOKENS += ",".join(f"CAST(CASE WHEN length(said) >= 2 THEN coalesce(exact.{c},
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").select("doc_id", F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 40).alias("ws")).where(F.size("ws") >= 3)
+    d = read(spark, sf, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ws")).where(F.size("ws") >= 3)
     k = F.col("doc_id") % 3
     d = d.withColumn("answer", F.when(k == 0, F.col("ws")[2]).when(k == 1, F.concat(F.col("ws")[1], F.lit(" "), F.col("ws")[2])).otherwise("zz 42 qq"))
 
