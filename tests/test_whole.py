@@ -4,7 +4,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from veritab.operators import grounding
+from veritab.operators import grounding, placement
 from veritab.plans import placing, registry
 
 
@@ -41,3 +41,30 @@ def test_words_behind_the_fortieth_are_found(spark, tmp_path):
 def test_all_words_are_tokens(spark, tables):
     got = placing._tokens(spark, "/root/testdata/sf0.001").agg(F.sum(F.size("tokens"))).first()[0]
     assert got == sum(len(w) for r in tables("documents").select("text").collect() if r.text and len(w := r.text.split()) >= 3)
+
+
+IMAGE = "seed int, mode string, w int, h int, tw int, th int, px int, min_px int, max_retry int, margin int, forbidden array<struct<x0:int,y0:int,x1:int,y1:int>>, answer_rect struct<x0:int,y0:int,x1:int,y1:int>"
+
+
+def put(spark, rows):
+    return placement.placed(spark.createDataFrame(rows, IMAGE), F.col("mode")).select("seed", "placement.*").collect()
+
+
+def test_fonts_shrink_to_the_least_size(spark):
+    wall = [(0, 0, 100, 70), (0, 70, 70, 100)]  # leaves 30 by 30 pixels, and cells begin at 72
+    rows = [(1, mode, 100, 100, 56, 28, 28, least, 200, 0, wall, (0, 0, 10, 10)) for mode in ("near", "mid", "far") for least in (14, 16)]
+    got = put(spark, rows)
+    assert sorted((r.reason, r.used_px) for r in got) == [("far", 14), ("forced", 16), ("forced", 16), ("forced", 16), ("mid", 14), ("near", 14)]
+    assert all(r.rect.x0 >= 70 and r.rect.y0 >= 70 and r.rect.x1 <= 100 and r.rect.y1 <= 100 for r in got if r.reason != "forced")
+
+
+def test_random_places_are_tried_max_retry_times(spark):
+    wall = [(0, 0, 100, 75), (0, 75, 75, 100)]
+    found = lambda tries: sum(r.reason == "random" for r in put(spark, [(i, "random", 100, 100, 10, 10, 28, 14, tries, 0, wall, (0, 0, 10, 10)) for i in range(12)]))
+    assert found(0) == 0 and found(20) < 12 and found(400) == 12
+
+
+def test_texts_stand_anywhere_in_their_cell(spark):
+    got = put(spark, [(i, "far", 640, 480, 10, 10, 28, 14, 200, 8, [], (300, 200, 310, 210)) for i in range(12)])
+    at = [((r.rect.x0 - 8) % 56, (r.rect.y0 - 8) % 42) for r in got]
+    assert len(set(at)) > 6 and all(x <= 46 and y <= 32 for x, y in at)

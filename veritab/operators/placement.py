@@ -12,8 +12,8 @@ from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, g
 from veritab.functions.textnorm import hash_unit, seed_of
 from veritab.operators.sampling import from_bucket, tertile_cuts
 
-#: Cells a side, tries of random places, and how much a font shrinks when nothing fits.
-GRID, TRIES, SHRINK = 11, 20, 2
+#: Cells a side, tries inside a cell, how much a font shrinks when nothing fits, and the least font of a forced text.
+GRID, CELL_TRIES, SHRINK, LEAST_PX = 11, 20, 2, 8
 
 
 def pattern_seed(image_id: Column, subset: Column, pattern: Column, rule: Column) -> Column:
@@ -40,7 +40,7 @@ def fill_colour(rule: Column, fixed: Column, palette: Column, luminance: Column,
     return F.when(rule == "fixed", fixed).when(rule == "palette", F.get(palette, F.floor(hash_unit(seed, F.lit("fill")) * F.size(palette)).cast("int"))).otherwise(F.when(luminance < 128, white).otherwise(black))
 
 
-def random_places(w: Column, h: Column, tw: Column, th: Column, margin: Column, seed: Column, tries: int = TRIES) -> Column:
+def random_places(w: Column, h: Column, tw: Column, th: Column, margin: Column, seed: Column, tries: Column) -> Column:
     """Candidate rectangles at hashed places inside the margins."""
 
     def one(k: Column) -> Column:
@@ -48,60 +48,83 @@ def random_places(w: Column, h: Column, tw: Column, th: Column, margin: Column,
         y = margin + F.floor(hash_unit(seed, F.lit("y"), k) * F.greatest(F.lit(1), h - 2 * margin - th + 1)).cast("int")
         return rect(x, y, x + tw, y + th)
 
-    return F.transform(F.sequence(F.lit(1), F.lit(tries)), one)
+    return F.transform(F.when(tries >= 1, F.sequence(F.lit(1), tries)).otherwise(F.array().cast("array<int>")), one)
 
 
-def placed_anywhere(w: Column, h: Column, tw: Column, th: Column, margin: Column, forbidden: Column, seed: Column, tries: int = TRIES) -> Column:
-    """The first candidate that fits, else the top left corner; with whether it was forced."""
+def placed_anywhere(w: Column, h: Column, tw: Column, th: Column, margin: Column, forbidden: Column, seed: Column, tries: Column) -> Column:
+    """The first of so many candidates that fits, else the top left corner; with whether it was forced."""
     free = F.try_element_at(F.filter(random_places(w, h, tw, th, margin, seed, tries), lambda r: fits(r, forbidden, w, h, margin)), F.lit(1))
     corner = rect(margin, margin, margin + tw, margin + th)
     return F.struct(F.coalesce(free, corner).alias("rect"), free.isNull().alias("forced"))
 
 
-def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID) -> DataFrame:
-    """``df`` (w, h, tw, th, margin, forbidden, answer_rect, seed) with ``placement`` (rect, code, distance, reason).
+_RECT = "struct<x0:int,y0:int,x1:int,y1:int>"
+_FIT = f"struct<px:int,free:array<struct<value:double,code:string,rect:{_RECT},cell:{_RECT}>>>"
 
-    Of the grid's cells but the answer's those count whose anchored text fits; their distances from the answer fall into three
-    buckets, and a cell of the wanted one, or of the next that has any, is taken by hash. Without any, the top left corner is forced.
+
+def _scaled(side: str, px: Column) -> Column:
+    """A text's side, given at the font size ``px`` of its row, at another one."""
+    return F.ceil(F.col(side) * px / F.col("px")).cast("int")
+
+
+def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: bool = True) -> DataFrame:
+    """``df`` (w, h, tw, th, px, min_px, margin, forbidden, answer_rect, seed) with ``placement`` (rect, code, distance, reason, used_px).
+
+    tw and th hold at the font size px. Of the grid's cells but the answer's those count whose anchored text fits; where there are none the font
+    shrinks, down to min_px. Their distances from the answer fall into three buckets, and a cell of the wanted one, or of the next that has any, is
+    taken by hash; the text goes to the first hashed place inside it that fits, else to its anchor. Without any cell the top left corner is forced.
     """
     cells = grid_cells(F.col("w"), F.col("h"), F.col("margin"), n)
     own = df.withColumn("_cells", cells).withColumn("_home", cell_of(F.col("_cells"), F.col("answer_rect")))
+    own = own.withColumn("_cells", F.filter("_cells", lambda c: ~F.coalesce(c["code"] == F.col("_home"), F.lit(False))))
+    ok = lambda r: fits(r, F.col("forbidden"), F.col("w"), F.col("h"), F.col("margin"))
 
-    def candidate(c: Column) -> Column:
-        a = anchor(c["r"], F.col("tw"), F.col("th"))
-        r = rect(a["x"], a["y"], a["x"] + F.col("tw"), a["y"] + F.col("th"))
-        return F.struct(corner_distance(r, F.col("answer_rect"), F.col("w"), F.col("h")).alias("value"), c["code"].alias("code"), r.alias("rect"))
+    def free(px: Column) -> Column:
+        tw, th = _scaled("tw", px), _scaled("th", px)
 
-    own = own.withColumn("_free", F.filter(F.transform(F.filter("_cells", lambda c: ~F.coalesce(c["code"] == F.col("_home"), F.lit(False))), candidate), lambda c: fits(c["rect"], F.col("forbidden"), F.col("w"), F.col("h"), F.col("margin"))))
-    own = own.withColumn("_cuts", tertile_cuts(F.transform("_free", lambda c: c["value"])))
-    chosen = from_bucket(F.col("_free"), F.col("_cuts"), bucket)
-    best = F.array_min(F.transform(chosen, lambda c: F.struct(F.md5(F.concat_ws("-", F.col("seed").cast("string"), c["code"])).alias("k"), c.alias("c"))))["c"]
-    corner = rect(F.col("margin"), F.col("margin"), F.col("margin") + F.col("tw"), F.col("margin") + F.col("th"))
-    placement = F.when(
-        best.isNotNull(), F.struct(best["rect"].alias("rect"), best["code"].alias("code"), best["value"].alias("distance"), F.lit(bucket).alias("reason"))
-    ).otherwise(F.struct(corner.alias("rect"), F.lit("TL").alias("code"), corner_distance(corner, F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"), F.lit("forced").alias("reason")))
-    return own.withColumn("placement", placement).drop("_cells", "_home", "_free", "_cuts")
+        def at(c: Column) -> Column:
+            a = anchor(c["r"], tw, th)
+            return F.struct(c["code"].alias("code"), rect(a["x"], a["y"], a["x"] + tw, a["y"] + th).alias("rect"), c["r"].alias("cell"))
 
+        open_ = F.filter(F.transform("_cells", at), lambda c: ok(c["rect"]))
+        return F.transform(open_, lambda c: F.struct(corner_distance(c["rect"], F.col("answer_rect"), F.col("w"), F.col("h")).alias("value"), c["code"].alias("code"), c["rect"].alias("rect"), c["cell"].alias("cell")))
 
-def with_shrinking_font(df: DataFrame, bucket: str, sizes: int = 4, n: int = GRID) -> DataFrame:
-    """The same for up to ``sizes`` font sizes, each SHRINK smaller; the first that fits counts (G19). ``px``, and ``tw`` and ``th`` per font pixel as ``tw_px`` and ``th_px``."""
-    keys = df.columns
-    tried = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(sizes - 1)))).withColumn("used_px", F.col("px") - SHRINK * F.col("_k")).where("used_px > 0")
-    tried = tried.withColumn("tw", F.ceil(F.col("tw_px") * F.col("used_px")).cast("int")).withColumn("th", F.ceil(F.col("th_px") * F.col("used_px")).cast("int"))
-    done = placed_by_distance(tried, bucket, n)
-    first = F.min(F.struct((F.col("placement.reason") == "forced").alias("f"), "_k", "used_px", "placement"))
-    return done.groupBy(*[k for k in keys if k not in ("forbidden", "answer_rect")]).agg(first.alias("_b"), F.first("forbidden").alias("forbidden"), F.first("answer_rect").alias("answer_rect")).select(*keys, "_b.used_px", "_b.placement")
+    sizes = F.when(F.col("px") >= F.col("min_px"), F.sequence(F.col("px"), F.col("min_px"), F.lit(-SHRINK))).otherwise(F.array().cast("array<int>"))
+    smaller = lambda fit, px: F.when(F.size(fit["free"]) > 0, fit).otherwise(F.struct(px.alias("px"), free(px).alias("free")).cast(_FIT))
+    own = own.withColumn("_fit", F.aggregate(sizes, F.lit(None).cast(_FIT), smaller))
+    own = own.withColumn("_free", F.coalesce(F.col("_fit.free"), F.array().cast(_FIT[_FIT.index("array") : -1])))
+    own = own.withColumn("_cuts", tertile_cuts(F.transform("_free", lambda c: c["value"])))
+    chosen = from_bucket(F.col("_free"), F.col("_cuts"), bucket)
+    own = own.withColumn("_best", F.array_min(F.transform(chosen, lambda c: F.struct(F.md5(F.concat_ws("-", F.col("seed").cast("string"), c["code"])).alias("k"), c.alias("c"))))["c"])
+    own = own.withColumn("_px", F.when(F.col("_best").isNotNull(), F.col("_fit.px")).otherwise(F.greatest("min_px", F.lit(LEAST_PX))))
+    own = own.withColumn("_tw", _scaled("tw", F.col("_px"))).withColumn("_th", _scaled("th", F.col("_px")))
+
+    def inside(k: Column) -> Column:
+        unit = lambda axis: hash_unit(F.col("seed"), F.lit(f"cell {axis}"), F.col("_best.code"), k)
+        begin = lambda axis, side: F.col(f"_best.cell.{axis}0") + F.floor(unit(axis) * (F.greatest(F.lit(0), F.col(f"_best.cell.{axis}1") - F.col(side) - F.col(f"_best.cell.{axis}0")) + 1)).cast("int")
+        x, y = begin("x", "_tw"), begin("y", "_th")
+        return rect(x, y, x + F.col("_tw"), y + F.col("_th"))
+
+    places = F.filter(F.transform(F.sequence(F.lit(1), F.lit(CELL_TRIES)), inside), ok)
+    corner = rect(F.col("margin"), F.col("margin"), F.col("margin") + F.col("_tw"), F.col("margin") + F.col("_th"))
+    spot = F.coalesce(F.try_element_at(places, F.lit(1)), F.col("_best.rect")) if within_cell else F.col("_best.rect")
+    own = own.withColumn("_spot", F.when(F.col("_best").isNotNull(), spot).otherwise(corner))
+    placement = F.struct(
+        F.col("_spot").alias("rect"), F.coalesce(F.col("_best.code"), F.lit("TL")).alias("code"), corner_distance(F.col("_spot"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"),
+        F.when(F.col("_best").isNotNull(), bucket).otherwise("forced").alias("reason"), F.col("_px").alias("used_px"),
+    )
+    return own.withColumn("placement", placement).drop("_cells", "_home", "_fit", "_free", "_cuts", "_best", "_px", "_tw", "_th", "_spot")
 
 
 def placed(df: DataFrame, mode: Column) -> DataFrame:
-    """``df`` with ``placement`` by mode: ``random`` or a distance bucket; an unknown mode is an error."""
+    """``df`` (as above, with max_retry) with ``placement`` by mode: ``random``, with max_retry places and no smaller font, or a distance bucket; an unknown mode is an error."""
     near, mid, far = (placed_by_distance(df.where(mode == b), b) for b in ("near", "mid", "far"))
-    anywhere = placed_anywhere(F.col("w"), F.col("h"), F.col("tw"), F.col("th"), F.col("margin"), F.col("forbidden"), F.col("seed"))
+    anywhere = placed_anywhere(F.col("w"), F.col("h"), F.col("tw"), F.col("th"), F.col("margin"), F.col("forbidden"), F.col("seed"), F.col("max_retry"))
     loose = df.where(mode == "random").withColumn("_p", anywhere)
     loose = loose.withColumn(
         "placement",
         F.struct(
-            F.col("_p.rect").alias("rect"), F.lit("random").alias("code"), corner_distance(F.col("_p.rect"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"), F.when(F.col("_p.forced"), "forced").otherwise("random").alias("reason")
+            F.col("_p.rect").alias("rect"), F.lit("random").alias("code"), corner_distance(F.col("_p.rect"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"), F.when(F.col("_p.forced"), "forced").otherwise("random").alias("reason"), F.col("px").alias("used_px")
         ),
     ).drop("_p")
     known = mode.isin("near", "mid", "far", "random")
@@ -110,6 +133,6 @@ def placed(df: DataFrame, mode: Column) -> DataFrame:
 
 
 def first_fit(candidates: DataFrame, keys: list[str], ok: Column, tiers: list[str]) -> DataFrame:
-    """Of each key the first candidate that is ok, in the order of the tier columns (staged search, G21)."""
+    """Of each key the first candidate that is ok, in the order of the tier columns. The stages of G21 are not built."""
     rest = [c for c in candidates.columns if c not in {*keys, *tiers}]
     return candidates.where(ok).groupBy(*keys).agg(F.min(F.struct(*tiers, *rest)).alias("_b")).select(*keys, "_b.*")

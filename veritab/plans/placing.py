@@ -163,15 +163,15 @@ def ground_answer_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
     b = _boxes(spark, sf).groupBy(F.floor(F.col("p_partkey") / 10).alias("image")).agg(F.array_sort(F.collect_list("r")).alias("forbidden"))
-    fixed = {"w": 640, "h": 480, "tw": 60, "th": 20, "margin": 8}
+    fixed = {"w": 640, "h": 480, "tw": 60, "th": 20, "px": 28, "min_px": 14, "max_retry": 200, "margin": 8}
     return b.select("image", *[F.lit(v).alias(k) for k, v in fixed.items()], "forbidden", F.col("forbidden")[0].alias("answer_rect"), placement.pattern_seed(F.col("image").cast("string"), F.lit("val"), F.lit("p"), F.lit("r")).alias("seed"))
 
 
 @R.query()
 def placements(spark: SparkSession, sf: str) -> DataFrame:
-    """A text's place by distance from the answer, or anywhere. Tests check its invariants."""
+    """A text's place by distance from the answer, or anywhere. Tests check its invariants."""
     i = _images(spark, sf).withColumn("mode", F.element_at(F.array(*map(F.lit, ["near", "mid", "far", "random"])), (F.col("image") % 4 + 1).cast("int")))
-    return placement.placed(i, F.col("mode")).select("image", "mode", "placement.code", "placement.reason", F.round("placement.distance", 9).alias("distance"), "placement.rect.*")
+    return placement.placed(i, F.col("mode")).select("image", "mode", "placement.code", "placement.reason", F.round("placement.distance", 9).alias("distance"), "placement.used_px", "placement.rect.*")
 
 
 @R.query(
