@@ -45,13 +45,41 @@ def test_top_k_of_few_rows(spark):
     assert threshold_topk.top_k(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def brute_top(ids, rows, query_id, query, k=5):
+    score = rows @ query
+    own = [(-int(x), int(i)) for i, x in zip(ids, score, strict=True) if i != query_id]
+    return [(i, -x) for x, i in sorted(own)[:k]]
+
+
 def test_reading_stops_early():
+    """Vectors without any structure, the hardest: reading ends after 65 % of the entries, and after half with a bound carried from five times as many rows."""
     rng = np.random.default_rng(1)
-    rows = rng.integers(-50, 50, (4000, 8))
-    rows[7] = 200
+    rows = rng.normal(size=(24_000, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+    ids = np.arange(len(rows))
+    lists, carried = (threshold_topk.SortedLists(ids[:4800], rows[:4800]) for _ in range(2))
+    for q in range(0, 24_000, 800):
+        assert lists.top(q, rows[q], 5) == brute_top(ids[:4800], rows[:4800], q, rows[q])
+        every = brute_top(ids, rows, q, rows[q])
+        assert carried.top(q, rows[q], 5, every[-1][1]) == [x for x in every if x[0] < 4800]
+    assert lists.read < 0.65 * lists.held and carried.read < 0.5 * carried.held
+
+
+def test_reading_stops_very_early_where_few_components_matter():
+    rng = np.random.default_rng(2)
+    rows = np.floor(256 * rng.normal(size=(4000, 64)) * 0.7 ** np.arange(64)).astype(np.int64)
     lists = threshold_topk.SortedLists(np.arange(4000), rows)
-    want = np.lexsort((np.arange(4000), -(rows @ rows[7])))
-    assert [i for i, _ in lists.top(-1, rows[7], 5)] == want[:5].tolist()
+    for q in range(0, 4000, 100):
+        assert lists.top(q, rows[q], 5) == brute_top(np.arange(4000), rows, q, rows[q])
+    assert lists.read < 0.2 * lists.held
+
+
+def test_top_k_of_ties_zeros_and_large_components():
+    ids = np.arange(600)
+    for rows in (np.ones((600, 4), np.int64), np.zeros((600, 4), np.int64), np.arange(2400).reshape(600, 4) * 10**6 - 10**9):
+        lists = threshold_topk.SortedLists(ids, rows)
+        for q in (0, 7, 599):
+            assert lists.top(q, rows[q], 5) == brute_top(ids, rows.astype(object), q, rows[q].astype(object))
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -80,7 +108,7 @@ def test_recall_of_the_index():
     assert len(i) > 500 and all(cell[y] in visits[x] for x, y in zip(i, j, strict=True))
     loose = multi_index.MultiIndex(rows, 20_000, 0.98, target_recall=0.9)
     cell, less = loose.cells(rows)
-    assert np.mean([cell[y] in less[x] for x, y in zip(i, j, strict=True)]) >= 0.85
+    assert np.mean([cell[y] in less[x] for x, y in zip(i, j, strict=True)]) > 0.9
     assert sum(map(len, less)) <= sum(map(len, visits))
 
 
