@@ -97,19 +97,67 @@ def test_near_duplicates_equal_brute_force(spark):
     assert multi_index.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_odd_sizes_and_ids(spark):
+    """Tiny and huge components, null and repeated ids, ids that doubles can't hold."""
+    rows = [(1, [1e-200, 0.0, 0.0, 0.0], 1), (2, [1.0, 2.0, 3.0, 4.0], 1), (3, [1e200, 2e200, 3e200, 4e200], 1), (4, [2e-200, 0.0, 0.0, 0.0], 1), (6, [-0.0, 0.0, 1.0, 0.0], 2), (8, [0.0, 0.0, 2.0, 0.0], 2)]
+    rows += [(None, [1.0, 1.0, 1.0, 0.0], 3), (5, [1.0, 1.0, 1.0, 0.0], 3), (7, [1.0, 1.0, 1.0, 0.001], 3), (2**53 + 1, [1.0, 1.0, 1.0, 0.002], 3), (2**53 + 3, [1.0, 1.0, 1.0, 0.0], 3)]
+    rows += [(9, [1.0, 0.0, 0.0, 0.0], 4), (9, [0.0, 1.0, 0.0, 0.0], 4), (10, [0.0, 1.0, 0.01, 0.0], 4), (11, [1.0, 0.01, 0.0, 0.0], 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(frame).collect() if r.vec_id != 9}
+    last = {i: (3, 5, i == 5) for i in (5, 7, 2**53 + 1, 2**53 + 3)}
+    assert got == {1: (1, 1, True), 4: (1, 1, False), 2: (1, 2, True), 3: (1, 2, False), 6: (1, 6, True), 8: (1, 6, False), None: (0, None, True), 10: (1, 9, False), 11: (1, 9, False)} | last
+
+
+def test_groups_and_tiles_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 8))
+    rows = [(i, (base[i % 300] + rng.normal(size=8) * 0.08).tolist(), 1 if i % 3 else 2) for i in range(1500)]
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (v @ v.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    want = components(range(1500), list(zip(*np.nonzero(near), strict=True)))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for tile, group in ((2048, 4096), (40, 90)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(frame, tile=tile, rows_per_group=group).collect()}
+        assert got == {i: (int(near[i].sum()), want[i]) for i in range(1500)}
+
+
 def test_recall_of_the_index():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(2000, 16))
     rows = np.concatenate([base, base[:1000] + rng.normal(size=(1000, 16)) * 0.04])
     index = multi_index.MultiIndex(rows, 20_000, 0.98)
-    cell, visits = index.cells(rows)
+    cell, row, to = index.cells(rows)
+    visits = set(zip(row.tolist(), to.tolist(), strict=True))
     a = multi_index.normalised(rows)
     i, j = np.nonzero(np.triu(a @ a.T >= 0.98, 1))
-    assert len(i) > 500 and all(cell[y] in visits[x] for x, y in zip(i, j, strict=True))
+    assert len(i) > 500 and all((x, cell[y]) in visits and (y, cell[x]) in visits for x, y in zip(i, j, strict=True))
     loose = multi_index.MultiIndex(rows, 20_000, 0.98, target_recall=0.9)
-    cell, less = loose.cells(rows)
-    assert np.mean([cell[y] in less[x] for x, y in zip(i, j, strict=True)]) > 0.9
-    assert sum(map(len, less)) <= sum(map(len, visits))
+    cell, row, to = loose.cells(rows)
+    less = set(zip(row.tolist(), to.tolist(), strict=True))
+    assert np.mean([(x, cell[y]) in less for x, y in zip(i, j, strict=True)]) >= 0.9
+    assert len(less) < len(visits) < len(rows) * index.n_cells
+
+
+def test_fronts_are_what_the_traversal_visits():
+    rng = np.random.default_rng(9)
+    a, b = rng.random((40, 9)), rng.random((40, 7))
+    row, cell = multi_index.fronts(a, b, 0.8)
+    assert list(zip(row.tolist(), cell.tolist(), strict=True)) == [(r, c) for r in range(40) for c in sorted(i * 7 + j for i, j in multi_index.traverse(a[r], b[r], 0.8))]
+
+
+def test_components_of_hubs_and_chains(spark):
+    import random
+
+    from veritab.llm._components import components as classes
+
+    rng, links = random.Random(6), [(0, i) for i in range(1, 9000)] + [(i, i + 1) for i in range(20_000, 20_300)] + [(8999, 30_000)]
+    links += [(rng.randrange(40_000, 41_000), rng.randrange(40_000, 41_000)) for _ in range(900)]
+    nodes = {x for e in links for x in e if e[0] != e[1]}
+    got = {r.node: r.component for r in classes(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == components(nodes, [e for e in links if e[0] != e[1]])
 
 
 def test_traversal_is_in_order():

@@ -7,10 +7,16 @@ bounds of the halves add up, and a multi-sequence traversal takes cells in the o
 it ends where the sum passes the distance that the threshold allows, so no link is lost; below 1 it ends at the bound that
 finds that share of the sample's links. Cells' members are then verified by cosine in double precision.
 
-Equal vectors are one representative with a weight. Neighbouring cells form groups; a vector is sent once to each group, with
-the cells that it visits there, and groups that hold many vectors are cut into tiles. Defined results: vectors that
-are null, zero or hold null or non-finite components, and those with a null label, link with nothing; vectors of different
-lengths don't link. Rows that share a vec_id are separate vectors with one component. An empty table gives no rows.
+The index lies by label: a label's cells are cut into groups, in number by how many vectors the label has, and a vector is
+sent once to each group that it visits. As the bound holds both ways, it visits only cells from its own on. Groups that hold many
+vectors are cut into tiles. Codebooks grow with the largest label, up to a quarter of the sample (``SAMPLE`` vectors of a length,
+a documented bound). Equal vectors are one representative with a weight; they are told by value, not by hash.
+
+Defined results: vectors that are null, zero or hold null or non-finite components, those with a null label and rows with a
+null vec_id link with nothing (a null id is its own component, kept). Components may have any finite size: vectors are scaled by their
+largest before they are squared. Vectors of different lengths don't link; the ``MOST_LENGTHS`` most common lengths have an index, vectors of other
+lengths are compared within their label and length, in tiles. Rows that share a vec_id are separate vectors with one component,
+and count for each other in n_links if linked. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ from veritab.llm._components import components
 from veritab.llm._session import attach, checkpointed, shuffle_partitions
 from veritab.llm.threshold_topk import finite
 
-SAMPLE, ROWS_PER_CELL, MOST_WORDS, TILE, ROWS_PER_GROUP = 20_000, 50, 256, 1024, 4096
+SAMPLE, ROWS_PER_CELL, TILE, ROWS_PER_GROUP, MOST_LENGTHS = 20_000, 50, 2048, 4096, 4
 
 
 def normalised(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -77,11 +84,33 @@ def traverse(first: np.ndarray, second: np.ndarray, most: float) -> list[tuple[i
     return out
 
 
+def fronts(first: np.ndarray, second: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that ``traverse`` visits, for many rows at once: (row, cell), cells by number. Both sequences are ascending, so for each of the first
+    the second is read up to a front, which falls as the first rises; rows whose first sequence has ended take no further step."""
+    a, b = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
+    x, y = np.take_along_axis(first, a, axis=1), np.take_along_axis(second, b, axis=1)
+    rows, cells = [], []
+    live = np.arange(len(first))
+    for i in range(first.shape[1]):
+        live = live[x[live, i] + y[live, 0] <= most]
+        if not len(live):
+            break
+        reached = y[live] <= (most - x[live, i])[:, None]
+        r, j = np.nonzero(reached)
+        rows.append(live[r])
+        cells.append(a[live[r], i] * second.shape[1] + b[live[r], j])
+    row, cell = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*cells, np.zeros(0, np.int64)])
+    order = np.lexsort((cell, row))
+    return row[order], cell[order]
+
+
 class MultiIndex:
+    """``n_rows``: vectors that the index will hold under one label at most."""
+
     def __init__(self, sample: np.ndarray, n_rows: int, threshold: float, target_recall: float = 1.0, seed: int = 3):
         rows = normalised(sample)
         self.dims, self.half = rows.shape[1], rows.shape[1] // 2
-        words = int(min(MOST_WORDS, max(1, (n_rows / ROWS_PER_CELL) ** 0.5)))
+        words = int(max(1, min(len(rows) / 4, (n_rows / ROWS_PER_CELL) ** 0.5)))
         self.books = codebook(rows[:, : self.half], words, seed), codebook(rows[:, self.half :], words, seed + 1)
         self.most = 2 - 2 * threshold + 1e-9
         if target_recall < 1:
@@ -92,102 +121,135 @@ class MultiIndex:
                 need = bound[0][i, own[0][j]] + bound[1][i, own[1][j]]
                 self.most = min(self.most, float(np.quantile(need, target_recall, method="higher")))
 
-    def cells(self, rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-        """Each row's cell, and the cells that it visits."""
+    @property
+    def n_cells(self) -> int:
+        return len(self.books[0]) * len(self.books[1])
+
+    def cells(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's cell; and the cells that rows visit, as pairs (row, cell) in ascending order."""
         rows = normalised(rows)
         (u, x), (v, y) = bounds(rows[:, : self.half], self.books[0]), bounds(rows[:, self.half :], self.books[1])
-        wide = len(self.books[1])
-        return u * wide + v, [[i * wide + j for i, j in traverse(a, b, self.most)] for a, b in zip(x, y, strict=True)]
+        return u * len(self.books[1]) + v, *fronts(x, y, self.most)
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    a, b = np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1))
-    return left @ right.T / (a[:, None] * b) >= threshold
+    return normalised(left) @ normalised(right).T >= threshold
+
+
+def _least_reached(p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that pairs (x, y) of places reach, for both sides."""
+    low_p, low_q = p.copy(), q.copy()
+    while True:
+        before = low_p.copy(), low_q.copy()
+        np.minimum.at(low_p, x, low_q[y])
+        np.minimum.at(low_q, y, low_p[x])
+        if (before[0] == low_p).all() and (before[1] == low_q).all():
+            return low_p, low_q
+
+
+PLACE = ["label", "dims", "g", "r", "q"]
 
 
 def _tile(rows: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Of each tile of a bucket: how many rows link to each asking vector, and edges that join what the tile's links join."""
+    """Of each tile of a bucket, cell by cell: how many rows link to each vector, and edges that join what the tile's links join. Each link is found once, from the vector whose (cell, gid) comes first."""
     out = []
-    at = {k: v for k, v in rows.groupby(["label", "dims", "g", "r", "q"]).indices.items()} if len(rows) else {}
-    for k, own in asked.groupby(["label", "dims", "g", "r", "q"]).indices.items() if len(asked) else ():
+    at = rows.groupby(PLACE).indices if len(rows) else {}
+    for k, own in asked.groupby(PLACE).indices.items() if len(asked) else ():
         if k not in at:
             continue
         x, y = asked.iloc[own], rows.iloc[at[k]]
-        a, b = x.gid.to_numpy(), y.gid.to_numpy()
-        cells, of = np.unique(y.cell.to_numpy(np.int64), return_inverse=True)
-        visited = np.zeros((len(x), len(cells)), bool)
-        for i, own in enumerate(x.cells):
-            visited[i] = np.isin(cells, own)
-        same = visited[:, of] & (a[:, None] != b)
-        same &= linked(np.stack(x.vector.to_numpy()).astype(np.float64), np.stack(y.vector.to_numpy()).astype(np.float64), threshold)
-        if not same.any():
+        y = y.iloc[np.argsort(y.cell.to_numpy(), kind="stable")]
+        left, right = (normalised(np.stack(z.vector.to_numpy()).astype(np.float64)) for z in (x, y))
+        a, b, home, cell = x.gid.to_numpy(), y.gid.to_numpy(), x.cell.to_numpy(), y.cell.to_numpy()
+        visits = np.concatenate(x.cells.to_numpy())
+        who = np.repeat(np.arange(len(x)), x.cells.map(len))
+        order = np.argsort(visits, kind="stable")
+        visits, who = visits[order], who[order]
+        heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        pairs = []
+        for i, j in zip(heads, np.append(heads[1:], len(cell)), strict=True):
+            asks = who[np.searchsorted(visits, cell[i]) : np.searchsorted(visits, cell[i], "right")]
+            if len(asks):
+                m, n = np.nonzero(left[asks] @ right[i:j].T >= threshold)
+                m, n = asks[m], n + i
+                good = (home[m] < cell[i]) | (a[m] < b[n])
+                pairs.append((m[good], n[good]))
+        m, n = (np.concatenate([z[k] for z in pairs]) for k in (0, 1)) if pairs else (np.zeros(0, np.int64),) * 2
+        if not len(m):
             continue
-        n = same @ y.weight.to_numpy(np.int64)
         p, q = x.rep.to_numpy(np.int64), y.rep.to_numpy(np.int64)
-        big = np.iinfo(np.int64).max
-        low_p, low_q = p.copy(), q.copy()
-        while True:  # the least id that the tile's links reach
-            new_p = np.minimum(low_p, np.where(same, low_q, big).min(axis=1))
-            new_q = np.minimum(low_q, np.where(same, new_p[:, None], big).min(axis=0))
-            if (new_p == low_p).all() and (new_q == low_q).all():
-                break
-            low_p, low_q = new_p, new_q
-        out.append(pd.DataFrame({"gid": a[n > 0], "u": p[n > 0], "v": low_p[n > 0], "n": n[n > 0]}))
-        own = same.any(axis=0)
-        out.append(pd.DataFrame({"gid": b[own], "u": q[own], "v": low_q[own], "n": 0}))
+        low_p, low_q = _least_reached(p, q, m, n)
+        for ids, reps, low, mine, theirs in ((a, p, low_p, m, y.weight.to_numpy()[n]), (b, q, low_q, n, x.weight.to_numpy()[m])):
+            many = np.bincount(mine, theirs, len(ids)).astype(np.int64)
+            out.append(pd.DataFrame({"gid": ids, "u": reps, "v": low, "n": many})[many > 0])
     return pd.concat(out) if out else pd.DataFrame({"gid": [], "u": [], "v": [], "n": []}, dtype="int64")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, target_recall: float = 1.0, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, target_recall: float = 1.0, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     attach(spark)
     vector = vectors[vector_col].cast("array<double>")
-    able = finite(vector) & (F.size(vector) > 0) & F.exists(vector, lambda x: x != 0) & vectors[label_col].isNotNull()
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), F.coalesce(able, F.lit(False)).alias("able"), vectors[vector_col].alias("vector"))
-    rows = checkpointed(rows.withColumn("gid", F.when(F.col("able"), F.xxhash64("label", "vector"))))
-    reps = checkpointed(rows.where("able").groupBy("gid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("dims", F.size("vector")))
-    total = reps.count()
-    common = reps.groupBy("dims").count().orderBy(F.col("count").desc(), "dims").first()
-    dims = common.dims if common else 0
-    sample = reps.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(seed), "gid"), "gid").limit(SAMPLE).select("vector").toPandas()
-    index = MultiIndex(np.stack(sample.vector.to_numpy()).astype(np.float64), total, threshold, target_recall, seed) if len(sample) and dims > 1 else None
-
-    n_cells = len(index.books[0]) * len(index.books[1]) if index else 1
-    n_groups = min(n_cells, max(1, -(-total // ROWS_PER_GROUP)))
+    able = finite(vector) & (F.size(vector) > 0) & F.exists(vector, lambda x: x != 0) & vectors[label_col].isNotNull() & vectors[id_col].isNotNull()
+    able = F.coalesce(able, F.lit(False))
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), F.when(able, vectors[label_col].cast("string")).alias("label"), F.when(able, vectors[vector_col]).alias("vector"))
+    rows = checkpointed(rows)
+    able = rows.where("label IS NOT NULL")
+    reps = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dims", F.size("vector"))
+    reps = checkpointed(reps.withColumn("gid", F.monotonically_increasing_id()))
+    largest = reps.groupBy("dims", "label").count().groupBy("dims").agg(F.max("count").alias("largest"), F.sum("count").alias("total")).orderBy(F.col("total").desc(), "dims").limit(MOST_LENGTHS).collect()
+    total, indexes = reps.count(), {}
+    for r in largest:
+        if r.dims > 1:
+            sample = reps.where(F.col("dims") == r.dims).orderBy(F.xxhash64(F.lit(seed), "vector"), "label").limit(SAMPLE).select("vector").toPandas()
+            indexes[r.dims] = MultiIndex(np.stack(sample.vector.to_numpy()).astype(np.float64), r.largest, threshold, target_recall, seed)
+    held = reps.groupBy("label", "dims").agg(F.ceil(F.count("*") / rows_per_group).cast("long").alias("groups"))
+    reps = reps.join(held, ["label", "dims"]).select("label", "dims", "gid", "rep", "weight", "vector", "groups")
 
     def file(batches):
         for pdf in batches:
-            cell, visits = np.zeros(len(pdf), np.int64), [[0]] * len(pdf)
-            own = np.flatnonzero(pdf.dims == dims) if index else np.zeros(0, np.int64)
-            if len(own):
-                cell[own], seen = index.cells(np.stack(pdf.vector.iloc[own].to_numpy()).astype(np.float64))
-                for i, cells in zip(own.tolist(), seen, strict=True):
-                    visits[i] = cells
-            asks = []
-            for cells in visits:
-                by = {}
-                for c in cells:
-                    by.setdefault(c * n_groups // n_cells, []).append(c)
-                asks.append([{"g": g, "cells": own} for g, own in by.items()])
-            yield pdf.assign(cell=cell, g=cell * n_groups // n_cells, asks=asks)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields)
+            pdf = pdf.reset_index(drop=True)
+            cell, asks, g = np.zeros(len(pdf), np.int64), np.empty(len(pdf), object), np.zeros(len(pdf), np.int64)
+            for i in range(len(pdf)):
+                asks[i] = [{"g": 0, "cells": [0]}]
+            for dims, at in pdf.groupby("dims").indices.items():
+                if dims not in indexes:
+                    continue
+                index, groups = indexes[dims], pdf.groups.to_numpy()[at]
+                own, row, to = index.cells(np.stack(pdf.vector.iloc[at].to_numpy()).astype(np.float64))
+                groups = np.minimum(groups, index.n_cells)
+                cell[at], g[at] = own, own * groups // index.n_cells
+                later = to >= own[row]
+                row, to = row[later], to[later]
+                group = to * groups[row] // index.n_cells  # ascends with the cell
+                heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])]))
+                parts, of = np.split(to, heads[1:]), row[heads]
+                cuts = np.searchsorted(of, np.arange(len(at) + 1))
+                for i, a, b in zip(at.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    asks[i] = [{"g": int(group[h]), "cells": c} for h, c in zip(heads[a:b].tolist(), parts[a:b], strict=True)]
+            yield pdf.drop(columns="groups").assign(cell=cell, g=g, asks=asks)
+
+    schema = "label string, dims int, gid long, rep long, weight long, vector array<" + rows.schema["vector"].dataType.elementType.simpleString() + ">"
     filed = checkpointed(reps.mapInPandas(file, f"{schema}, cell long, g long, asks array<struct<g:long,cells:array<long>>>"))
+    mine = filed.drop("asks")
+    asked = filed.select("label", "dims", "gid", "rep", "weight", "vector", "cell", F.inline("asks"))
+    # A group with many vectors is cut into tiles, and so are those who visit it; every tile of the ones meets every tile of the others.
     place = ["label", "dims", "g"]
-    asking = filed.select(*reps.columns, F.inline("asks"))
-    # A group's rows are cut into tiles, and so are those who visit it; every tile of the ones meets every tile of the others.
-    held = filed.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("rs")).join(asking.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("qs")), place)
+    many = lambda side, out: side.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias(out))
+    tiles = checkpointed(many(mine, "rs").join(many(asked.select(*place), "qs"), place).where("rs > 1 OR qs > 1"))
     buckets = max(shuffle_partitions(spark), total // 5000)
     salt = lambda seed, many: F.pmod(F.xxhash64(F.lit(seed), "gid"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     bucket = F.pmod(F.xxhash64(*place, "r", "q"), F.lit(buckets))
-    mine = filed.drop("asks").join(held, place).withColumn("r", salt(1, "rs")).withColumn("q", every("qs")).withColumn("bucket", bucket)
-    asked = asking.join(held, place).withColumn("q", salt(2, "qs")).withColumn("r", every("rs")).withColumn("bucket", bucket)
+    tiled = lambda side: side.join(tiles, place, "left").withColumns({"rs": F.coalesce("rs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
+    mine = tiled(mine).withColumn("r", salt(1, "rs")).withColumn("q", every("qs")).withColumn("bucket", bucket).drop("rs", "qs")
+    asked = tiled(asked).withColumn("q", salt(2, "qs")).withColumn("r", every("rs")).withColumn("bucket", bucket).drop("rs", "qs")
     asked = asked.toDF(*asked.columns)  # both sides come from one table
     found = checkpointed(mine.toDF(*mine.columns).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(lambda a, b: _tile(a, b, threshold), "gid long, u long, v long, n long"))
     links = found.groupBy("gid").agg(F.sum("n").alias("far"))
-    classes = components(found.select("u", "v").unionByName(rows.where("able").join(reps.select("gid", "rep"), "gid").where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))))
-    joined = rows.select("vec_id", "gid").join(links, "gid", "left").join(reps.select("gid", "weight"), "gid", "left").join(classes, F.col("vec_id") == F.col("node"), "left")
+    known = filed.select("label", "vector", "gid", "rep", "weight").join(links, "gid", "left")
+    known = checkpointed(able.join(known, ["label", "vector"]).select("vec_id", "rep", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")))
+    classes = components(found.select("u", "v").unionByName(known.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))))
+    every_row = known.select("vec_id", "n_links").unionByName(rows.where("label IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links")))
     component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("far", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    return every_row.join(classes, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

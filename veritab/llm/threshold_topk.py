@@ -2,7 +2,7 @@
 
 Rows are dealt to blocks; a block holds its rows' components as one sorted list a dimension. For a query, lists are read
 from the end where products are largest, those of its largest components first and deepest: as many lists again are read
-down to where products stop being positive (what is left of them adds nothing to a score), lists before the window are
+down to where products stop being positive (what is left of them adds nothing to a score), lists before those are
 read to their end, lists behind it not at all. What was read of a row bounds its score from both sides: the unread
 rest is at most the product of the norms of what is unread of the query and of the row, and the latter is the row's norm
 without the components read. Reading stops when few enough rows can still reach the k-th lower bound, whatever the others
