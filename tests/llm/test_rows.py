@@ -236,6 +236,54 @@ def test_toxicity_is_learnt(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def test_risk_and_its_slope_equal_a_plain_restatement():
+    import math
+
+    rng = np.random.default_rng(4)
+    for offset in (-1.0, 2.0, -6.0):  # at the last the corrected clean risk is below zero where positives look clean and unlabelled ones cleaner
+        positive = rng.random(40) < 0.4
+        g = rng.normal(size=40) + offset + np.where(positive, 4.0, 0.0)
+        toxic = 0.3 * sum(math.log1p(math.exp(-x)) for x in g[positive]) / positive.sum()
+        clean = lambda g: sum(math.log1p(math.exp(x)) for x in g[~positive]) / (~positive).sum() - 0.3 * sum(math.log1p(math.exp(x)) for x in g[positive]) / positive.sum()  # noqa: E731, B023
+        whole = lambda g: (0.3 * sum(math.log1p(math.exp(-x)) for x in g[positive]) / positive.sum() if clean(g) >= 0 else 0) + (clean(g) if clean(g) >= 0 else -clean(g))  # noqa: E731, B023
+        a, b, slope = positive_unlabelled.non_negative_risk(g, positive, 0.3)
+        assert abs(a - toxic) < 1e-12 and abs(b - clean(g)) < 1e-12
+        for i in range(40):
+            near = np.eye(40)[i] * 1e-6
+            assert abs((whole(g + near) - whole(g - near)) / 2e-6 - slope[i]) < 1e-7
+
+
+def test_features_equal_a_plain_restatement():
+    import pyarrow as pa
+
+    from veritab.llm._shards import texts_of
+
+    def told(t):
+        words = t.lower().encode().split()
+        every = collections.Counter(words) + collections.Counter((n, w[:n]) for w in words for n in (4, 5, 6) if len(w) > n)
+        return len(every) + sum(k > 1 for k in every.values())
+
+    own = ["abcdefgh abcdefgx abcd ab ab", "", "Ünï ünï one", "a"]
+    pairs = positive_unlabelled.features(*texts_of(pa.array(own, pa.large_string())))
+    assert np.bincount(pairs >> positive_unlabelled.BITS, minlength=4).tolist() == [told(t) if "Ü" not in t else 5 for t in own]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_toxicity_of_held_out_labels(spark, sf):
+    """Few labels (25 toxic ones are held out at sf0.01 or fewer): clean documents are left alone, half of the toxic ones are caught. README has the figures of larger tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = positive_unlabelled.toxicity_scores(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
+    assert got.predicted[got.toxic == 1].mean() >= 0.5 and got.predicted[got.toxic == 0].mean() < 0.02
+
+
+def test_labels_of_unknown_documents_take_no_places(spark):
+    rows, marks = toxic_corpus()
+    far = [(10_000 + i, 1) for i in range(300)]
+    options = {"most_positive": 60}
+    a, b = (positive_unlabelled.fitted(documents(spark, rows), spark.createDataFrame(m, "doc_id long, toxic int"), **options) for m in (marks, marks + far))
+    assert a.feature.tolist() == b.feature.tolist()
+
+
 def test_toxicity_without_examples(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in positive_unlabelled.toxicity_scores(documents(spark), labels).collect()} == {0}

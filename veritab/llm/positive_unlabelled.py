@@ -3,10 +3,11 @@
 Confirmed toxic examples stand against unlabelled text, of which a share, the class prior, is toxic as well. The risk of
 a linear model is estimated as ``prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)])``: what unlabelled
 text says about the clean class, corrected for its toxic share, which must not become negative. Features are whether a
-text holds a word, or a word that begins with the same four, five or six bytes, hashed.
+text holds a word, or a word that begins with the same four, five or six bytes, once at least and twice at least, hashed.
 
-Fitting takes a bounded sample (``most_positive``, ``most_unlabelled``, ``most_features``: documented parameters); scoring
-takes every whole text. Labels are learnt only from documents whose crc32 of the id as text leaves no remainder of 1 by 3.
+Fitting takes a bounded sample (``most_positive``, ``most_unlabelled``, ``most_features``: documented parameters); features of both
+signs are taken, those first whose rates in the two samples differ most in standard deviations. There is no least difference: a ridge penalty whose weight
+falls with that difference keeps what differs by chance small, at every size of the sample. Scoring takes every whole text. Labels are learnt only from documents whose crc32 of the id as text leaves no remainder of 1 by 3.
 
 Defined results: null and empty texts score the bias alone; without positive examples every score is the prior. A null
 doc_id is never held out. Repeated labels count as toxic if any is. Labels of unknown documents are ignored.
@@ -31,8 +32,8 @@ THRESHOLD = 0.7
 LEADS = (4, 5, 6)
 
 
-def features(size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (document, hashed feature) of texts that lie end to end, with repeats."""
+def features(size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Distinct pairs of a document and a hashed feature, as document << BITS | feature, of texts that lie end to end."""
     ends = np.cumsum(size).astype(np.int64)
     text = W.LOWER[data]
     first, last, own = W.word_bounds(text, ends - size, ends)
@@ -43,7 +44,10 @@ def features(size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
         long = last - first > n
         found.append((doc[long], W.mix(W.span(sums, first[long], first[long] + n) ^ np.uint64(n))))
     mask = np.uint64((1 << BITS) - 1)
-    return np.concatenate([d for d, _ in found]), np.concatenate([h & mask for _, h in found]).astype(np.int64)
+    once, many = np.unique(np.concatenate([d << BITS | (h & mask).astype(np.int64) for d, h in found]), return_counts=True)
+    again = once[many > 1]
+    twice = (W.mix((again & int(mask)).astype(np.uint64) ^ np.uint64(2 << 40)) & mask).astype(np.int64)
+    return np.unique(np.concatenate([once, again >> BITS << BITS | twice]))
 
 
 def _blocks(size: np.ndarray, data: np.ndarray, block: int = 1 << 19):
@@ -69,53 +73,56 @@ class Model:
         size, data = texts_of(pa.array(texts, pa.large_string()))
         out = np.full(len(size), self.bias)
         for first, sizes, part in _blocks(size, data):
-            doc, feature = features(sizes, part)
-            hit = table[feature] != 0
-            pairs = np.unique(doc[hit] << BITS | feature[hit])
-            np.add.at(out, first + (pairs >> BITS), table[pairs & ((1 << BITS) - 1)])
+            pairs = features(sizes, part)
+            weight = table[pairs & ((1 << BITS) - 1)]
+            out[first : first + len(sizes)] += np.bincount(pairs >> BITS, weight, len(sizes))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def non_negative_fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, kept: float = 0.5, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam over all examples.
+def non_negative_risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The two parts of the risk of outputs ``g`` under the logistic loss, toxic and corrected clean, and the slope to descend along.
 
-    ``rows``, ``columns``: which example has which feature. Each step sees a seeded share ``kept`` of the pairs, so that a
-    text with few telling words is told as well as one with many. Where the corrected clean risk is below zero, a step goes
-    against its gradient alone, as the method prescribes.
+    Where the corrected clean risk is below zero, a step goes against its gradient alone, as the method prescribes.
     """
-    w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    rng, every = np.random.default_rng(seed), (rows, columns)
+    p = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+    toxic = prior * np.logaddexp(0, -g)[positive].sum() / n_p
+    loss = np.logaddexp(0, g)
+    clean = loss[~positive].sum() / n_u - prior * loss[positive].sum() / n_p
+    up, down = np.where(positive, prior * (p - 1) / n_p, 0.0), np.where(positive, -prior * p / n_p, p / n_u)
+    return float(toxic), float(clean), up + down if clean >= 0 else -down
+
+
+def non_negative_fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam over all examples. ``rows``, ``columns``: which example has which feature.
+
+    A feature's weight is ``scale`` times what the ridge penalty holds small, so features of small scale have little weight.
+    """
+    u, b = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, steps + 1):
-        seen = rng.random(len(every[0])) < kept
-        rows, columns = every[0][seen], every[1][seen]
-        g = b + np.bincount(rows, w[columns], len(positive))
-        p = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-        clean_loss = np.logaddexp(0, g)
-        clean = clean_loss[~positive].sum() / n_u - prior * clean_loss[positive].sum() / n_p
-        up, down = np.where(positive, prior * (p - 1) / n_p, 0.0), np.where(positive, -prior * p / n_p, p / n_u)
-        slope = up + down if clean >= 0 else -down
-        grad = np.append(np.bincount(columns, slope[rows], n_features) + decay * w, slope.sum())
+        slope = non_negative_risk(b + np.bincount(rows, (u * scale)[columns], len(positive)), positive, prior)[2]
+        grad = np.append(np.bincount(columns, slope[rows], len(scale)) * scale + ridge * u, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
+        u, b = u - step[:-1], b - step[-1]
+    return u * scale, b
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, seed: int = 5, most_positive: int = 4000, most_unlabelled: int = 12000, most_features: int = 20000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, seed: int = 5, most_positive: int = 4000, most_unlabelled: int = 12000, most_features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model learnt from documents that aren't held out. The samples are the documents first in a seeded order of ids."""
     attach(docs.sparkSession)
     known = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("id")).agg(F.max(labels[label_col].cast("int")).alias("toxic")).where(~held_out(F.col("id")))
     flat = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     prior = min(max(float(known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]), 1e-6), 0.5)
     order = [F.xxhash64(F.lit(seed), "id"), F.col("id")]
-    positive = known.where("toxic = 1").select("id", F.lit(1).alias("positive")).orderBy(*order).limit(most_positive)
-    unlabelled = flat.select("id").where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct().orderBy(*order).limit(most_unlabelled).withColumn("positive", F.lit(0))
+    there = flat.select("id").where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    positive = known.where("toxic = 1").join(there, "id", "left_semi").select("id", F.lit(1).alias("positive")).orderBy(*order).limit(most_positive)
+    unlabelled = there.orderBy(*order).limit(most_unlabelled).withColumn("positive", F.lit(0))
     chosen = positive.unionByName(unlabelled)  # bounded by the two parameters
     # A document may stand on both sides: what is unlabelled holds positives too. Of rows that share an id one is taken.
     sample = checkpointed(flat.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).join(F.broadcast(chosen), "id").repartition(8, "id"))
@@ -128,9 +135,8 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = 5, most_positive: int
                 own = pdf.text[pdf.positive == side]
                 many[side] += len(own)
                 for _, size, part in _blocks(*texts_of(pa.array(own, pa.large_string()))):
-                    doc, feature = features(size, part)
-                    seen[side] += np.bincount(np.unique(doc << BITS | feature) & ((1 << BITS) - 1), minlength=1 << BITS)
-        at = np.flatnonzero(seen[1])
+                    seen[side] += np.bincount(features(size, part) & ((1 << BITS) - 1), minlength=1 << BITS)
+        at = np.flatnonzero(seen.sum(axis=0))
         yield pd.DataFrame({"n": [many], "at": [at], "unlabelled": [seen[0][at]], "positive": [seen[1][at]]})
 
     total, many = np.zeros((2, 1 << BITS)), np.zeros(2)
@@ -141,27 +147,26 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = 5, most_positive: int
     if not many[1] or not many[0]:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     rate_p, rate_u = total[1] / many[1], total[0] / many[0]
-    lift = (rate_p - rate_u) / np.sqrt((rate_p + rate_u + 1 / many.sum()) / many[1])
-    # Features that tell: beyond chance, and toxic in two of five texts that have them, by the prior and cautious counts (1.5 deviations).
-    lower, upper = (total[1] - 1.5 * np.sqrt(total[1])) / many[1], (total[0] + 1.5 * np.sqrt(total[0]) + 1.5) / many[0]
-    kept = np.flatnonzero((total[1] >= 3) & (prior * lower > 0.4 * upper) & (lift > 4))
-    kept = np.sort(kept[np.argsort(-lift[kept], kind="stable")[:most_features]])
+    # How many standard deviations lie between the rates; counts are smoothed, so that rare features don't stand out by chance.
+    apart = np.abs(rate_p - rate_u) / np.sqrt((rate_p + rate_u + 1 / many.sum()) / many[1])
+    some = np.flatnonzero(total.sum(axis=0) >= 3)
+    kept = np.sort(some[np.argsort(-apart[some], kind="stable")[:most_features]])
+    scale = (apart[kept] / max(apart[kept].max(initial=0), 1e-12)) ** 2
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
 
     def gather(batches):
         for pdf in batches:
             for first, size, part in _blocks(*texts_of(pa.array(pdf.text, pa.large_string()))):
-                doc, feature = features(size, part)
-                hit = place[feature] >= 0
-                pairs = np.unique(doc[hit] << BITS | feature[hit])
+                pairs = features(size, part)
+                pairs = pairs[place[pairs & ((1 << BITS) - 1)] >= 0]
                 cuts = np.searchsorted(pairs >> BITS, np.arange(len(size) + 1))
                 own = pdf.iloc[first : first + len(size)]
                 yield pd.DataFrame({"id": own.id, "positive": own.positive, "own": [place[pairs[a:b] & ((1 << BITS) - 1)].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     got = sample.mapInPandas(gather, "id long, positive int, own array<int>").toPandas().sort_values(["positive", "id"])
     rows, columns = np.repeat(np.arange(len(got)), got.own.map(len)), np.concatenate([*got.own, np.zeros(0, np.int32)]).astype(np.int64)
-    w, b = non_negative_fit(rows, columns, got.positive.to_numpy() == 1, len(kept), prior)
+    w, b = non_negative_fit(rows, columns, got.positive.to_numpy() == 1, scale, prior)
     return Model(kept, w, b)
 
 
