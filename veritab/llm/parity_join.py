@@ -12,8 +12,9 @@ one-bit parity sketches and sizes exclude pairs, the rest is verified on whole s
 joined are kept, then connected components follow. Equal sets are one representative from the start.
 
 Defined results: null and empty texts, and such without words, have an empty set and link with nothing. Documents with fewer words
-than a shingle have one, the whole sequence. Rows that share a doc_id count as one document in components. Other columns
-are ignored. Two different shingles share a 64-bit hash with a chance of about 2**-50.
+than a shingle have one, the whole sequence. Rows that share a doc_id count as one document in components, each with its own
+n_shingles. Rows with a null doc_id link with nothing (component_id null). Repeated rows stay repeated. An empty table gives no
+rows. Other columns are ignored. Sets are told by 64-bit hashes of their shingles: two different shingles share one with a chance of about 2**-50.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ def _offer(shards: pd.DataFrame, reps: pd.DataFrame, shingle: int, percent: int,
         for b in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[b] : cuts[b + 1]]
             one = many[own] == 1
-            rows.append((int(b), int(shard_id), low[own[one]].tobytes(), pack(low[own[~one]], many[own[~one]].astype(np.uint16))))
+            rows.append((int(b), int(shard_id), low[own[one]].tobytes(), pack(low[own[~one]], many[own[~one]].astype(np.uint32))))
         rows.append((-1 - int(shard_id) % n, int(shard_id), idx.tobytes(), b""))
     return pd.DataFrame(rows, columns=["bucket", "shard_id", "keys", "several"])
 
@@ -299,7 +300,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
             yield _describe(pdf, shingle)
 
     rows = checkpointed(flat.mapInPandas(describe, "shard_id long, idx long, doc_id long, n long, s1 long, s2 long"))
-    reps = checkpointed(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "shard_id", "idx")).alias("rep")))
+    reps = checkpointed(rows.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "shard_id", "idx")).alias("rep")))
     schema = "bucket long, shard_id long, keys binary, several binary"
     offered = flat.groupBy("shard_id").cogroup(reps.select("rep.shard_id", "rep.idx").groupBy("shard_id")).applyInPandas(lambda key, a, b: _offer(a, b, shingle, percent, buckets), schema)
     known = offered.groupBy("bucket").applyInPandas(_frequencies, schema)
@@ -307,7 +308,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     members = keys.groupBy("bucket").applyInPandas(lambda pdf: _groups(pdf, tile), "shard_id long, members binary")
     sent = flat.groupBy("shard_id").cogroup(members.groupBy("shard_id")).applyInPandas(lambda key, a, b: _send(a, b, buckets), "bucket long, texts binary")
     links = sent.groupBy("bucket").applyInPandas(lambda pdf: _verify(pdf, shingle, percent), "u long, v long")
-    same = rows.where("n > 0").join(reps, ["n", "s1", "s2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v"))
+    same = rows.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).join(reps, ["n", "s1", "s2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v"))
     classes = components(links.unionByName(same))
     known = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     component = F.coalesce("component", "doc_id")
