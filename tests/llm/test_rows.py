@@ -31,6 +31,20 @@ def test_shards_are_exact(spark, per_partition):
     assert uniform_shards.shuffled_shards(documents(spark, [])).count() == 0
 
 
+def test_shards_are_uniform(spark):
+    """Chi-square of shard and place within it against the order and the hot groups of the input; one draw with a fixed seed."""
+    rows = [(i if i % 3 else None, f"t{i % 50}") for i in range(12_000)] + [(7, "same")] * 6000
+    got = uniform_shards.shuffled_shards(documents(spark, rows), rows_per_partition=1000).toPandas()
+    same = (got["size"] == 5).to_numpy()
+    third = np.where(same, 3, np.where(got.doc_id.isna(), 2, (got.doc_id.fillna(0) < 6000).astype(int)))
+    for place, many in ((got.shard.to_numpy(), 8), (got.slot.to_numpy() * 9 // got.slot.max() % 9, 9), (got.slot.to_numpy() % 8, 8)):
+        table = np.zeros((4, many))
+        np.add.at(table, (third, place), 1)
+        want = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+        free = 3 * (many - 1)
+        assert ((table - want) ** 2 / want).sum() < free + 4 * (2 * free) ** 0.5
+
+
 def test_communication_matrix_has_the_margins():
     m = np.array(uniform_shards.communication_matrix([5, 0, 17, 100], [41, 41, 40], 1))
     assert m.sum(0).tolist() == [41, 41, 40] and m.sum(1).tolist() == [5, 0, 17, 100]
@@ -42,15 +56,35 @@ def test_large_hypergeometric_draws():
     assert abs(np.mean(draws) - 300) < 2 and abs(np.var(draws) - 210) < 25
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=30), st.data())
-def test_fit_is_exact_where_a_subset_is(sizes, data):
-    chosen = data.draw(st.lists(st.booleans(), min_size=len(sizes), max_size=len(sizes)))
-    budget = sum(s for s, c in zip(sizes, chosen, strict=True) if c)
-    lengths, counts = np.unique(sizes, return_counts=True)
-    took = budget_mix.fit(lengths, counts, budget)
-    assert (took >= 0).all() and (took <= counts).all() and (took * lengths).sum() <= budget
-    assert budget - (took * lengths).sum() <= max(sizes)
+def nearest_sum(sizes, budget):
+    sums = {0}
+    for x in sizes:
+        sums |= {x + y for y in sums}
+    return min(sums, key=lambda y: (abs(y - budget), y))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=30), st.floats(0, 1))
+def test_fit_is_the_nearest_subset(sizes, share):
+    for budget in (share * sum(sizes), float(round(share * sum(sizes)))):
+        lengths, counts = np.unique(sizes, return_counts=True)
+        took = budget_mix.fit(lengths, counts, budget)
+        assert (took >= 0).all() and (took <= counts).all()
+        assert (took * lengths).sum() == nearest_sum(sizes, budget)
+
+
+def test_fit_gives_back_and_goes_above():
+    assert (budget_mix.fit(np.array([3, 4]), np.array([2, 2]), 8) * [3, 4]).sum() == 8
+    assert budget_mix.fit(np.array([13]), np.array([1]), 12.5).tolist() == [1]
+
+
+def test_fit_of_large_sources_is_exact_within_a_small_window():
+    rng = np.random.default_rng(5)
+    lengths, counts = np.arange(1, 4000, 3), rng.integers(1, 10**6, 1333)
+    for budget in (123_456_789_012.0, 10**9 + 7.0):
+        assert (budget_mix.fit(lengths, counts, budget, 5000) * lengths).sum() == budget
+    even = budget_mix.fit(lengths * 2, counts, 10**9 + 1.0, 9000)
+    assert (even * lengths * 2).sum() == 10**9
 
 
 def brute_targets(sizes):
@@ -80,8 +114,9 @@ def test_mix_meets_its_targets(spark, per_block):
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
         taken[r.source] += r.taken
-    longest = {s: max(r.size for r in got if r.source == s) for s in sizes}
-    assert all(0 <= want[s] - taken[s] <= longest[s] for s in sizes)
+    for s in sizes:
+        passes = int(want[s] // sizes[s])
+        assert taken[s] == passes * sizes[s] + nearest_sum([r.size for r in got if r.source == s], want[s] - passes * sizes[s])
     times = collections.Counter(r.doc_id for r in budget_mix.mixed_documents(docs, rows_per_block=per_block).collect())
     assert {r.doc_id: r.taken // r.size for r in got if r.taken} == dict(times)
     assert budget_mix.mixed_documents(docs).columns == docs.columns

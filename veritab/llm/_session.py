@@ -20,9 +20,11 @@ def attach(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in spark.checkpoint.dir; only where that is unset, as in tests, in a folder of its own."""
+    """Cut the lineage with a reliable checkpoint, in spark.checkpoint.dir. Only where that is unset on one machine, as in tests, in a folder of its own; a cluster must name one that its machines share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="veritab-checkpoint-"))
     return df.checkpoint()
 
@@ -36,23 +38,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def places(df: DataFrame, keys: list[str], order: list[Column], total: int, out: str, rows_per_block: int = 100_000) -> DataFrame:
+def places(df: DataFrame, keys: list[str], order: list[Column], out: str, rows_per_block: int = 100_000) -> DataFrame:
     """Gapless places from 0 within each group of ``keys``, in the order of ``order``, whose first column is a uniform 64-bit hash.
 
-    A group may hold any share of the rows: it is cut into blocks by the leading bits of the hash, rows are numbered
-    within blocks, and blocks are shifted by the summed counts of those before. ``total``: the rows of ``df``.
-    Block counts are small, at most one row for each group and block.
+    A group may hold any share of the rows: those with more than ``rows_per_block`` are cut into blocks by the leading bits of the
+    hash, rows are numbered within blocks, and blocks are shifted by the summed counts of those before. Such groups are at most one in
+    ``rows_per_block`` rows, and their blocks at most two, so both tables are broadcast.
     """
     from pyspark.sql import Window
 
-    blocks = max(1, -(-total // rows_per_block))
-    if blocks == 1:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    drop = [f"_k{i}" for i in range(len(keys))]
+    large = df.groupBy(*keys).count().where(F.col("count") > rows_per_block).select(*named, F.ceil(F.col("count") / rows_per_block).cast("long").alias("_blocks"))
     lead = F.shiftrightunsigned(order[0], 32)
-    cut = df.withColumn("_block", F.floor(lead * F.lit(blocks) / F.lit(float(1 << 32))).cast("long"))
-    counts = cut.groupBy(*keys, "_block").count()
+    cut = df.join(F.broadcast(large), same, "left").drop(*drop).withColumn("_block", F.coalesce(F.floor(lead * F.col("_blocks") / F.lit(float(1 << 32))).cast("long"), F.lit(0)))
+    counts = cut.where("_blocks IS NOT NULL").groupBy(*keys, "_block").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), before.alias("_before"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_block") == F.col("_b")]
+    shifts = counts.select(*named, F.col("_block").alias("_b"), before.alias("_before"))
     ranked = cut.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)).cast("long") - 1)
-    return ranked.join(shifts, same).withColumn(out, F.col("_place") + F.col("_before")).drop("_block", "_b", "_place", "_before", *[f"_k{i}" for i in range(len(keys))])
+    placed = ranked.join(F.broadcast(shifts), [*same, F.col("_block") == F.col("_b")], "left")
+    return placed.withColumn(out, F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_blocks", "_block", "_b", "_place", "_before", *drop)

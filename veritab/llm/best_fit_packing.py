@@ -201,7 +201,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     pieces = checkpointed(flat.mapInPandas(lambda it: _pieces(it, tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length up to the capacity
     plan = {k: tuple(np.array(v, np.int64).T) for k, v in best_fit_plan(counts, capacity).items()}
-    ranked = places(pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32")), ["length"], [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("start")], sum(counts.values()), "_rank", rows_per_block)
+    ranked = places(pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32")), ["length"], [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("start")], "_rank", rows_per_block)
 
     def place(batches):
         for pdf in batches:

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by subset-sum budget fitting (operator 5).
 
 Documents are counted by source and exact length. A source takes whole passes of itself while its target allows; for
-the rest of its budget a share of every length is taken, and bounded-knapsack dynamic programming over the remaining
-counts fits what is left to the word. Then as many documents of each length are picked, in seeded order.
+the rest of its budget an even share of every length is the start, and bounded-knapsack dynamic programming over
+documents to add and documents to give back finds the sum of lengths nearest to the target, on either side of it. Sums within
+``WINDOW`` words of the start are looked through; sources of fewer words are so decided exactly, and in larger ones the start is within a
+document's length of the target already. Then as many documents of each length are picked, in seeded order.
 
-Defined results: a null text has size 0 and a null source is a source of its own, after the others. Targets use 150 % of
+Defined results: of two sums that are equally near the lower is taken; a null text has size 0 and a null source is a source of its own, after the others. Targets use 150 % of
 all sizes by default; none is above twice its source's size. Documents of size 0 take nothing. Repeated rows are separate
 rows (equal ones may change places). Reruns agree. An empty table gives no rows.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from veritab.llm._session import attach, checkpointed, places
 
 WEIGHTS = (5, 2, 1)
-DP_BUDGET = 40_000
+WINDOW = 40_000
 
 
 def word_counts(docs: DataFrame, keys: dict, text_col: str = "text") -> DataFrame:
@@ -38,48 +40,66 @@ def word_counts(docs: DataFrame, keys: dict, text_col: str = "text") -> DataFram
     return flat.mapInArrow(count, schema)
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or as near below it as is found."""
+def _share(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
+    """An even share of every length, each rounded so that what was lost or gained before is made up for; long documents first."""
+    total, took = float((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
+    wished = given = 0.0
+    for i in np.argsort(-lengths, kind="stable"):
+        if lengths[i] > 0:
+            wished += budget * float(lengths[i]) * float(counts[i]) / total
+            took[i] = min(int(counts[i]), max(0, round((wished - given) / float(lengths[i]))))
+            given += float(took[i]) * float(lengths[i])
+    return took
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: float, window: int = WINDOW) -> np.ndarray:
+    """How many documents of each length to take, so that the sum of their lengths is as near to ``budget`` as sums within ``window`` of an even share come."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    took = counts * budget // total if total < 1 << 31 else np.array([int(c) * budget // total for c in counts])
-    left, rest = counts - took, budget - int((took * lengths).sum())
-    for i in np.argsort(-lengths):
-        if rest <= dp_budget:
-            break
-        if lengths[i] > 0:
-            k = min(int(left[i]), (rest - dp_budget) // int(lengths[i]))
-            took[i], left[i], rest = took[i] + k, left[i] - k, rest - k * int(lengths[i])
-    # Each length's count is split into powers of two; via[s] is the item by which the sum s was first reached.
-    via, reached, items = np.full(rest + 1, -1, np.int64), np.zeros(rest + 1, bool), []
-    reached[0] = True
-    for i in np.flatnonzero((lengths > 0) & (left > 0) & (lengths <= rest)):
-        many, k = min(int(left[i]), rest // int(lengths[i])), 1
-        while many and not reached[rest]:
-            k = min(k, many)
-            weight = k * int(lengths[i])
-            fresh = reached[:-weight] & ~reached[weight:] if weight <= rest else np.zeros(0, bool)
-            if fresh.any():
-                at = weight + np.flatnonzero(fresh)
-                reached[at], via[at] = True, len(items)
-            items.append((i, k, weight))
-            many, k = many - k, 2 * k
-        if reached[rest]:
-            break
-    s = int(np.flatnonzero(reached)[-1])
-    while s:
-        i, k, weight = items[via[s]]
+    took = _share(lengths, counts, budget)
+    start = int((took * lengths).sum())
+    # reached[low + s]: whether documents added and given back can change the start by s; by[low + s]: the item that did so first.
+    low, high = min(start, max(window, int(abs(budget - start)))), min(total - start, max(window, int(abs(budget - start)) + 1))
+    reached, by, items = np.zeros(low + high + 1, bool), np.full(low + high + 1, -1, np.int64), []
+    reached[low] = True
+    wanted = low + budget - start
+    # The nearest sums there can be: the lower of two that are equally near comes first.
+    best = [k for k in sorted({int(np.floor(wanted)), int(np.ceil(wanted))}, key=lambda k: (abs(k - wanted), k)) if 0 <= k <= low + high][:1]
+    for i in np.argsort(lengths, kind="stable")[::-1]:
+        for sign, many in ((1, int(counts[i] - took[i])), (-1, int(took[i]))):
+            k, weight = 1, 0
+            while many and lengths[i] > 0 and not (best and reached[best[0]]):
+                k = min(k, many)
+                weight = k * int(lengths[i])
+                if weight > low + high:
+                    break
+                # Each count is split into powers of two, and each such item is added once at most.
+                fresh = np.zeros(low + high + 1, bool)
+                if sign > 0:
+                    fresh[weight:] = reached[: len(reached) - weight]
+                else:
+                    fresh[: len(reached) - weight] = reached[weight:]
+                fresh &= ~reached
+                if fresh.any():
+                    reached |= fresh
+                    by[fresh] = len(items)
+                items.append((i, sign * k, sign * weight))
+                many, k = many - k, 2 * k
+    sums = np.flatnonzero(reached)
+    s = int(sums[np.argmin(np.abs(sums - wanted))])
+    while s != low:
+        i, k, weight = items[by[s]]
         took[i], s = took[i] + k, s - weight
     return took
 
 
-def _fit_source(pdf: pd.DataFrame, dp_budget: int) -> pd.DataFrame:
+def _fit_source(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
     passes = int(target // size) if size else 0
     order = np.argsort(pdf["size"].to_numpy(np.int64), kind="stable")
     lengths, counts = pdf["size"].to_numpy(np.int64)[order], pdf.n.to_numpy(np.int64)[order]
-    took = fit(lengths, counts, int(target) - passes * size, dp_budget) if size else np.zeros_like(counts)
+    took = fit(lengths, counts, target - passes * size, window) if size else np.zeros_like(counts)
     return pd.DataFrame({"source": pdf.source.iloc[0], "size": lengths, "passes": passes, "extra": np.where(lengths > 0, took, 0)})
 
 
@@ -99,16 +119,15 @@ def targets(histogram: DataFrame, share: float, most: float, weights: tuple[int,
     return rated.withColumn("level", level).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_block: int = 100_000, dp_budget: int = DP_BUDGET) -> DataFrame:
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_block: int = 100_000, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target (its source's), taken (words the mix takes: 0, 1 or 2 times size)."""
     sized = checkpointed(word_counts(docs, {"doc_id": docs[id_col].cast("long"), "source": docs[source_col].cast("string")}, text_col))
-    total = sized.count()
     histogram = checkpointed(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = checkpointed(targets(histogram, share, most, weights))
     known = histogram.join(goal, histogram["source"].eqNullSafe(goal["source"])).select(histogram["source"], "size", "n", "source_size", "target")
-    fitted = checkpointed(known.groupBy("source").applyInPandas(lambda pdf: _fit_source(pdf, dp_budget), "source string, size long, passes long, extra long"))
+    fitted = checkpointed(known.groupBy("source").applyInPandas(lambda pdf: _fit_source(pdf, window), "source string, size long, passes long, extra long"))
     plan = fitted.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "passes", "extra", "source_size", "target")
-    ranked = places(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), ["source", "size"], [F.col("_h"), F.col("doc_id")], total, "_rank", rows_per_block)
+    ranked = places(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), ["source", "size"], [F.col("_h"), F.col("doc_id")], "_rank", rows_per_block)
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     taken = F.col("size") * (F.col("passes") + (F.col("_rank") < F.col("extra")).cast("long"))
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))

@@ -1,12 +1,15 @@
 """Uniform shuffle into shards of exact size with a hypergeometric communication matrix (operator 3, native).
 
-Rows lie in partitions by a hash of their id. How many rows of each partition go to each shard is drawn exactly, as a
+Rows lie in partitions by a hash. How many rows of each partition go to each shard is drawn exactly, as a
 uniform shuffle of all rows would have it: a matrix of multivariate hypergeometric counts whose column sums are the shard
 sizes. Rows are permuted within their partition, dealt to shards by the cumulated counts, and permuted again within
 their shard. The law is ``rows``: shard sizes differ by one row at most. Texts never move; only ids, sizes and checksums do.
 
-Defined results: a null text has no bytes (size 1, checksum 0). Null ids share one partition. Repeated rows are separate
-rows. An empty table gives no rows. Equal rows may change places with each other from run to run, nothing else changes.
+The matrix has ``MOST_PARTITIONS`` rows at most, whatever the input: beyond, partitions hold more rows. So it is drawn on the driver and broadcast.
+
+Defined results: a null text has no bytes (size 1, checksum 0). Rows that are equal in id, size and checksum are counted and
+told apart by an ordinal, so they (and rows with a null id) spread like others. Repeated rows are separate
+rows. An empty table gives no rows. The result depends on the rows and the seed alone.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.llm._session import literal_rows, places
+from veritab.llm._session import checkpointed, literal_rows, places
 
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION, MOST_PARTITIONS = 50_000, 20_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -62,19 +65,22 @@ def shuffled_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_col:
     """Per row: doc_id, size (bytes of text plus 1), text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
     doc_id, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    total = docs.count()
-    n = max(1, -(-total // rows_per_partition))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(n)).alias("part")
-    counts = {r.part: r["count"] for r in docs.select(doc_id.alias("doc_id")).groupBy(part).count().collect()}  # a row for each partition
+    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").count().withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
+    hashed = lambda k: F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size", "ordinal")
+    rows = checkpointed(rows.withColumns({"h0": hashed(0), "h1": hashed(1), "h2": hashed(2)}))
+    total = rows.count()
+    n = max(1, min(MOST_PARTITIONS, -(-total // rows_per_partition)))
+    rows = rows.withColumn("part", F.pmod("h0", F.lit(n)))
+    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a row for each partition, MOST_PARTITIONS at most
     parts = sorted(counts)
     order = np.random.default_rng(seed).permutation(n_shards)
     sizes = [total // n_shards + int(order[s] < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
     bounds = [{"p": int(p), "cum": np.cumsum(row).tolist()} for p, row in zip(parts, matrix, strict=True)]
-    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumns({"part": part, "h1": F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "size"), "h2": F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32", "size")})
-    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("h1", "doc_id", "text_crc32", "size")).cast("long") - 1)
+    ties = [F.col(c) for c in ("doc_id", "text_crc32", "size", "ordinal")]
+    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("h1", *ties)).cast("long") - 1)
     table = literal_rows(spark, bounds, "p: bigint, cum: array<bigint>") if bounds else spark.range(0).select(F.col("id").alias("p"), F.array(F.lit(0).cast("long")).alias("cum"))
-    dealt = local.join(F.broadcast(table) if len(bounds) <= 10_000 else table, F.col("part") == F.col("p")).withColumn("shard", F.size(F.filter("cum", lambda c: c <= F.col("rank"))))
-    placed = places(dealt.select("doc_id", "size", "text_crc32", "shard", "h2"), ["shard"], [F.col("h2"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], total, "slot", rows_per_partition)
+    dealt = local.join(F.broadcast(table), F.col("part") == F.col("p")).withColumn("shard", F.size(F.filter("cum", lambda c: c <= F.col("rank"))))
+    placed = places(dealt.select("doc_id", "size", "text_crc32", "ordinal", "shard", "h2"), ["shard"], [F.col("h2"), *ties], "slot", rows_per_partition)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
