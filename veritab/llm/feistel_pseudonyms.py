@@ -4,10 +4,21 @@ Numbers and dates that pass their format's validation are permuted, under a key,
 payment card becomes another card with a right check digit, a date another date in the same layout, a phone number one of the
 same country. The permutation is a balanced Feistel network over the number of values of the format, walked on until it
 falls inside; so equal values have equal pseudonyms in all documents, different ones different, and whoever holds the key
-can invert them. Kinds: card (Luhn), phone (+1 numbers outside their plan, as written in texts, among such), date, ip (IPv4), ssn, iban (mod 97), email (its local part), key (access keys).
+can invert them. The key has no default.
+
+Formats, in ASCII digits and letters, not inside longer words or numbers:
+
+- card: 13 to 19 digits with a right Luhn digit, whole or in groups of four (or 4-6-5) between spaces or hyphens;
+- phone: ``+`` and 8 to 15 digits in groups between spaces, dots or hyphens, and ``(ddd) ddd-dddd``, ``ddd-ddd-dddd``, ``ddd.ddd.dddd`` whose area code
+  and exchange begin with 2 to 9, which have the pseudonym of the same +1 number (+1 numbers outside that plan are permuted among such);
+- date: ``2021-02-28``, ``28.02.2021``, ``02/28/2021`` with equal marks ``-/.`` and all zeros, ``3 March 1990``, ``March 3, 1990``, from 1900 to 2099;
+- ip: IPv4; ssn: ``ddd-dd-dddd`` and ``ddd dd dddd`` in the numbers that are given out; iban: mod 97; key: ``AKIA`` and 16 letters or digits;
+- email: its local part.
+
+Not found: IPv6, digits other than ASCII, dates with single digits such as ``2021-3-4`` or abbreviated months, numbers spelled out.
 
 Defined results: null stays null, empty stays empty; text outside matches is unchanged, as is what fails validation. Length
-in characters changes only for ip.
+in characters changes only for ip and dates with named months. Null and repeated ids are kept as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +35,6 @@ from pyspark.sql import functions as F
 
 from veritab.llm._session import attach
 
-KEY = b"veritab pseudonyms, version 1"
 ROUNDS = 8
 
 
@@ -105,6 +115,10 @@ def _in_plan(digits: str) -> bool:
 
 def phone(text: str, key: bytes, back: bool) -> str | None:
     digits = _only(text)
+    if text[0] != "+":  # the same number with its country
+        if not _in_plan("1" + digits):
+            return None
+        return _refill(text, _only(phone("+1" + digits, key, back))[1:])
     if not 8 <= len(digits) <= 15 or digits[0] == "0":
         return None
     if digits[0] == "1":
@@ -131,11 +145,12 @@ def ip(text: str, key: bytes, back: bool) -> str | None:
 
 
 def ssn(text: str, key: bytes, back: bool) -> str | None:
-    a, g, s = map(int, text.split("-"))
+    mark = text[3]
+    a, g, s = map(int, text.split(mark))
     if a in (0, 666) or a > 899 or not g or not s:
         return None
     a, g, s = mixed_radix([a - 1 - (a > 666), g - 1, s - 1], [898, 99, 9999], "ssn", key, back)
-    return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
+    return f"{a + 1 + (a >= 665):03d}{mark}{g + 1:02d}{mark}{s + 1:04d}"
 
 
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -154,7 +169,27 @@ def _layout(text: str) -> tuple[str, datetime.date] | None:
     return None
 
 
+#: Names of months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def _named_date(text: str, key: bytes, back: bool) -> str | None:
+    a, b, year = text.replace(",", "").split(" ")
+    day, month = (b, a) if a in MONTHS else (a, b)
+    try:
+        value = datetime.date(int(year), MONTHS.index(month) + 1, int(day)).toordinal() - FIRST_DAY
+    except ValueError:
+        return None
+    if not 0 <= value < DAYS:
+        return None
+    moved = datetime.date.fromordinal(FIRST_DAY + permute(value, DAYS, "date", key, back))
+    name = MONTHS[moved.month - 1]
+    return f"{name} {moved.day}, {moved.year}" if a in MONTHS else f"{moved.day} {name} {moved.year}"
+
+
 def date(text: str, key: bytes, back: bool) -> str | None:
+    if " " in text:
+        return _named_date(text, key, back)
     marks = re.findall(r"[-/.]", text)
     if marks[0] != marks[1] or not (found := _layout(text)):
         return None
@@ -191,23 +226,23 @@ def email(text: str, key: bytes, back: bool) -> str | None:
 
 KINDS = {"phone": phone, "date": date, "ip": ip, "ssn": ssn, "card": card, "iban": iban, "key": key_, "email": email}
 NUMBERS = re.compile(
-    r"(?<![\w.])(?:(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[1-9]\d{0,2}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})"
-    r"|(?P<date>\d{4}([-/.])\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<card>\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ -])\d{6}\8\d{5})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)|(?P<key>AKIA[A-Z0-9]{16}))(?!\w)",
+    r"(?<![\w.])(?:(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[1-9]\d{0,2}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})"
+    r"|(?P<date>\d{4}([-/.])\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4}|[1-9]\d? (?:{months}) \d{4}|(?:{months}) [1-9]\d?, \d{4})|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))|(?P<ssn>\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})|(?P<card>\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ -])\d{6}\8\d{5})"
+    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)|(?P<key>AKIA[A-Z0-9]{16}))(?!\w)".replace("{months}", "|".join(MONTHS)),
     re.ASCII,
 )
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", re.ASCII)
 
 
 @functools.lru_cache(100_000)
-def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
     """What takes the place of ``text``, or None where it isn't a whole valid value. ``back`` inverts."""
     if kind != "email" and not ((m := NUMBERS.fullmatch(text)) and m.lastgroup == kind):
         return None
     return KINDS[kind](text, key, back)
 
 
-def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Counter]:
+def replace(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
     """The text with its valid values replaced, and how many of each kind."""
     found: Counter = Counter()
 
@@ -235,8 +270,10 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Count
     return out, +found
 
 
-def replaced(key: bytes = KEY):
+def replaced(key: bytes):
     """A column function of texts: a struct of text, n_found and found (kinds with their counts, in alphabetical order)."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
 
     @F.pandas_udf("text string, n_found long, found string")
     def pseudonyms(texts: pd.Series) -> pd.DataFrame:
@@ -246,7 +283,7 @@ def replaced(key: bytes = KEY):
     return pseudonyms
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text with pseudonyms, n_found, found."""
     attach(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), replaced(key)(docs[text_col].cast("string")).alias("r")).select("doc_id", "r.*")

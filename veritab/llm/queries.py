@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 from veritab.llm import best_fit_packing, budget_mix, feistel_pseudonyms, multi_index, oracles, parity_join, positive_unlabelled, suffix_dedup, threshold_topk, tree_dedup, uniform_shards
 
-TOKENIZER = os.environ.get("VERITAB_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The key of the registered queries where none is set: public, so whoever reads this can invert their pseudonyms.
+DEMONSTRATION_KEY = "veritab pseudonyms, version 1"
+
+
+def tokenizer() -> str:
+    """The tokenizer's file: VERITAB_TOKENIZER, or the one of the public vocabularies installed beside Python."""
+    if path := os.environ.get("VERITAB_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret in the session's setting spark.veritab.pseudonym.key or in VERITAB_PSEUDONYM_KEY; the queries run with a public one where neither is set."""
+    return (spark.conf.get("spark.veritab.pseudonym.key", None) or os.environ.get("VERITAB_PSEUDONYM_KEY") or DEMONSTRATION_KEY).encode()
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,7 +60,7 @@ def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel_pseudonyms.pseudonymised(_read(spark, sf_dir, "documents"))
+    return feistel_pseudonyms.pseudonymised(_read(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op9_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +68,7 @@ def op9_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing.packed(_read(spark, sf_dir, "documents"), TOKENIZER)
+    return best_fit_packing.packed(_read(spark, sf_dir, "documents"), tokenizer())
 
 
 QUERIES = {
