@@ -442,3 +442,28 @@ def test_pipeline_stages(spark, tmp_path):
         if name != "packing":
             assert docs.columns == before.columns
     assert docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows and ids, and no rows at all, through all stages against plain restatements of what each keeps."""
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, say(1)), (1, say(1)), (2, say(2)), (2, say(3)), (None, say(4)), (None, say(4)), (5, None), (6, ""), (7, say(1) + " tail"), (8, say(8)), (9, say(9) + " 4041894974608795"), (10, " ".join(f"long{j}" for j in range(40_000)))]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark, rows).select(*columns)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == len(rows)
+    kept = stages["jaccard_join"](spark, docs, str(tmp_path))
+    assert kept.columns == columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "")[:4]) for r in kept.collect())) == [(False, 1, "w1x0"), (False, 2, "w2x0"), (False, 5, ""), (False, 6, ""), (False, 8, "w8x0"), (False, 9, "w9x0"), (False, 10, "long"), (True, 0, "w4x0"), (True, 0, "w4x0")]
+    changed = {r.doc_id: r for r in stages["personal_data"](spark, kept, str(tmp_path)).collect()}
+    assert changed[5].text is None and changed[5].n_chars is None and changed[9].n_chars == len(changed[9].text) and "4041894974608795" not in changed[9].text
+    mixed = stages["source_mix"](spark, kept, str(tmp_path))
+    many = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert all(n <= 2 * (2 if i is None else 1) for (i, _), n in many.items()) and not {5, 6} & {i for i, _ in many}
+    pieces = stages["packing"](spark, kept, str(tmp_path)).toPandas()
+    assert set(pieces.doc_id.dropna()) == {1, 2, 5, 6, 8, 9, 10} and pieces.doc_id.isna().sum() == 2
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
