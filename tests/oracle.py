@@ -4,13 +4,14 @@ import glob
 import math
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    shown = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else (round(float(x), 6) if isinstance(x, (float, int)) and not isinstance(x, bool) else str(x))
+    shown = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else (round(float(x), 6) if isinstance(x, (float, int)) and not isinstance(x, bool) else str(x))
     return sorted((tuple(shown(x) for x in r) for r in df.itertuples(index=False)), key=repr)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,7 +41,7 @@ SPACES = r"\s+"
 
 def trimmed(x: Column) -> Column:
     """Without white space at either end (``trim`` alone takes spaces only)."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapsed(x: Column) -> Column:
@@ -66,34 +66,42 @@ def plain_norm(x: Column) -> Column:
 
 def consensus_words(x: Column) -> Column:
     """First step of the consensus normalisation."""
-    y = F.replace(F.replace(F.replace(F.lower(x), F.lit(","), F.lit("")), F.lit("?"), F.lit("")), F.lit("'s"), F.lit(" 's"))
-    return trimmed(F.translate(trimmed(y), "\n\t", "  "))
+    y = F.replace(F.translate(F.lower(x), ",?", ""), F.lit("'s"), F.lit(" 's"))
+    return trimmed(F.translate(y, "\n\t", "  "))
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def consensus_punctuation(x: Column) -> Column:
     """A symbol next to a space in ``x`` goes, any other becomes a space; then periods go unless a digit follows.
 
-    Whether a symbol goes is read from ``x`` as it was; commas between digits make all symbols go.
+    Whether a symbol goes is read from ``x`` as it was; commas between digits make all symbols go. So one pass over the text suffices. All such periods
+    go, where the metric's own code stops after 32.
     """
-    out = x
-    digits = x.rlike(r"\d,+\d")
-    for p in PUNCTUATION:
-        beside = F.contains(x, F.lit(p + " ")) | F.contains(x, F.lit(" " + p)) | digits
-        out = F.replace(out, F.lit(p), F.when(beside, F.lit("")).otherwise(F.lit(" ")))
-    return F.regexp_replace(out, r"\.(?!\d)", "")
 
+    def replaced(x: Column) -> Column:
+        beside = lambda p: F.contains(x, F.lit(p + " ")) | F.contains(x, F.lit(" " + p))
+        spaced = F.when(x.rlike(r"\d,+\d"), "").otherwise(F.concat(*[F.when(beside(p), "").otherwise(p) for p in PUNCTUATION]))
+        # What has no counterpart goes: symbols that become spaces come first, then all, of which those are known already.
+        return _let(spaced, lambda m: F.call_function("translate", x, F.concat(m, F.lit("".join(PUNCTUATION))), F.repeat(F.lit(" "), F.length(m))))
+
+    return F.regexp_replace(_let(x, replaced), r"\.(?!\d)", "")
 
-def _literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+
+#: What takes the place of a word: digits, contractions, and nothing for articles.
+_WORDS = NUMBER_WORDS | CONTRACTIONS | dict.fromkeys(ARTICLES, "")
 
 
 def consensus_tokens(x: Column) -> Column:
     """Number words as digits, no articles, contractions with their apostrophes, joined by one space."""
-    numbers, contractions = _literal_map(NUMBER_WORDS), _literal_map(CONTRACTIONS)
-    words = F.filter(F.split(collapsed(F.lower(x)), " "), lambda w: w != "")
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), w))
-    words = F.filter(words, lambda w: ~w.isin(ARTICLES))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(contractions, w), w)), " ")
+    table = F.create_map(*[F.lit(v) for pair in _WORDS.items() for v in pair])
+    words = F.split(F.lower(x), SPACES)
+    # A set of literals is a hash look-up, a map's keys are gone through one by one: few words need that.
+    words = F.transform(words, lambda w: F.when(w.isin(list(_WORDS)), F.try_element_at(table, w)).otherwise(w))
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def consensus_norm(x: Column) -> Column:
@@ -107,10 +115,16 @@ def uses_exact_match(eval_metric: Column, *names: Column) -> Column:
     return F.coalesce(F.lower(eval_metric).isin("normalized_em", "nem"), F.lit(False)) | text.rlike("|".join(EXACT_MATCH_TAGS))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    """Unicode's compatibility form, which Spark lacks."""
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+def nfkc(x: Column) -> Column:
+    """Unicode's compatibility form, which Spark lacks. The function travels with the plan, so workers need no copy of this package."""
+
+    @F.pandas_udf(T.StringType())
+    def compatible(values: pd.Series) -> pd.Series:
+        from unicodedata import normalize
+
+        return values.map(lambda s: None if s is None else normalize("NFKC", s))
+
+    return compatible(x)
 
 
 def robust_norm(x: Column, compatibility: bool = True) -> Column:
@@ -134,20 +148,33 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def _longest_common(a: str, b: str) -> int:
-    rows, best = [0] * (len(b) + 1), 0
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            rows[j], last = (last + 1 if x == y else 0), rows[j]
-            best = max(best, rows[j])
-    return best
-
-
-@F.pandas_udf(T.IntegerType())
-def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest substring that both have."""
-    return pd.Series([0 if x is None or y is None else _longest_common(x, y) for x, y in zip(a, b, strict=True)])
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest substring that both have (N15); 0 for null. Rows are worked on together, those of like lengths in one matrix. The function travels with the plan."""
+
+    @F.pandas_udf(T.IntegerType())
+    def common(left: pd.Series, right: pd.Series) -> pd.Series:
+        import numpy as np
+
+        x, y = left.fillna("").to_numpy(str), right.fillna("").to_numpy(str)
+        sizes, widths = np.char.str_len(x), np.char.str_len(y)
+        out = np.zeros(len(x), np.int32)
+        order = np.lexsort((sizes, widths))
+        order = order[(sizes[order] > 0) & (widths[order] > 0)]
+        at = 0
+        while at < len(order):
+            # Rows come in the order of their widths: as many as fit a matrix of some two million letters.
+            to = min(len(order), at + max(1, (1 << 21) // int(widths[order[min(len(order) - 1, at + 4096)]])))
+            own = order[at:to]
+            u, v = (z[own].astype(f"U{m[own].max()}").view(np.uint32).reshape(len(own), -1) for z, m in ((x, sizes), (y, widths)))
+            run, best = np.zeros((len(own), v.shape[1] + 1), np.int32), np.zeros(len(own), np.int32)
+            for i in range(u.shape[1]):
+                letter = u[:, i : i + 1]
+                run[:, 1:] = np.where((v == letter) & (letter > 0), run[:, :-1] + 1, 0)
+                np.maximum(best, run.max(axis=1), out=best)
+            out[own], at = best, to
+        return pd.Series(out)
+
+    return common(a, b)
 
 
 def seed_of(*parts: Column) -> Column:

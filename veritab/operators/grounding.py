@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.geometry import area, union_box, valid
+from veritab.functions.geometry import largest_rect, union_box, valid
 from veritab.functions.textnorm import keywords, longest_common, numbers_in, robust_norm, token_similarity
 from veritab.operators.checkpoints import cut
 
-#: The cascade's defaults.
-MOST_GRAM, LEAST_CHARS, LEAST_SCORE, COMMON_WEIGHT, NUMBER_BONUS, LEAST_TOKEN = 5, 2, 0.40, 0.6, 0.15, 0.6
+#: The cascade's defaults, then those of a question's support.
+MOST_GRAM, LEAST_CHARS, LEAST_SCORE, COMMON_WEIGHT, NUMBER_BONUS, LEAST_TOKEN, LEAST_DIGITS = 5, 2, 0.40, 0.6, 0.15, 0.6, 2
+MOST_KEYWORDS, LEAST_KEYWORD, LEAST_SUPPORT = 6, 3, 0.75
 YES_NO = ["yes", "no", "true", "false"]
 
 
@@ -64,8 +65,10 @@ def exact_and_numeric(df: DataFrame, answer: str = "answer", tokens: str = "toke
     equal = lambda i, n: F.startswith(F.col("_said"), F.element_at("_norms", i)) & (F.array_join(F.slice("_norms", i, n), "") == F.col("_said"))
     shares = lambda i, n: F.exists(F.slice("_hits", i, n), lambda hit: hit)
     sought = F.col("_box").isNull() & (F.length("_said") >= LEAST_CHARS)
-    own = own.withColumn("_first", F.when(sought, F.coalesce(*[F.try_element_at(_runs(n, equal), F.lit(1)) for n in range(MOST_GRAM, 1, -1)])))
-    own = own.withColumn("_last", F.when(sought & F.col("_first").isNull() & F.col("_hits").isNotNull(), F.coalesce(*[F.try_element_at(_runs(n, shares), F.lit(-1)) for n in range(2, MOST_GRAM + 1)])))
+    # Most images hold neither the answer's letters in a row nor one of its numbers: runs are tried for the others only.
+    inside, shared = F.contains(F.array_join("_norms", ""), F.col("_said")), F.exists("_hits", lambda hit: hit)
+    own = own.withColumn("_first", F.when(sought & inside, F.coalesce(*[F.try_element_at(_runs(n, equal), F.lit(1)) for n in range(MOST_GRAM, 1, -1)])))
+    own = own.withColumn("_last", F.when(sought & F.col("_first").isNull() & shared, F.coalesce(*[F.try_element_at(_runs(n, shares), F.lit(-1)) for n in range(2, MOST_GRAM + 1)])))
     first, last, box = F.col("_first"), F.col("_last"), F.col("_box")
     match = (
         F.when(F.length("_said") < LEAST_CHARS, _match(F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>"), "reject_short_answer", F.lit(None), F.lit(None), F.lit(None)))
@@ -85,44 +88,55 @@ def _by_similarity(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
     return flat.withColumn("_score", score).where(valid(F.col("g.rect"))).groupBy(*keys).agg(F.max(F.struct("_score", (-F.col("_p")).alias("p"), "g")).alias("_best"))
 
 
+def keyword_rects(tokens: Column, words: Column, least: float) -> Column:
+    """Boxes of normalised tokens that keywords name, as a struct: ``rects`` are the distinct boxes of tokens that equal a keyword or share a number of two
+    digits or more, and of the token most like each keyword that no token equals, from ``least`` on; ``best`` is the most alike of the latter, whatever its likeness.
+    """
+    boxed = F.filter(tokens, lambda t: valid(t["rect"]))
+    numbers = F.flatten(F.transform(words, lambda w: F.filter(numbers_in(w), lambda n: F.length(F.replace(n, F.lit("."), F.lit(""))) >= LEAST_DIGITS)))
+    equal = F.filter(boxed, lambda t: F.array_contains(words, t["norm"]) | F.arrays_overlap(t["numbers"], numbers))
+    have = F.transform(tokens, lambda t: t["norm"])
+    alike = lambda w: F.array_max(F.transform(boxed, lambda t, i: F.struct(token_similarity(w, t["norm"]).alias("score"), (-i).alias("i"), t["rect"].alias("rect"))))
+    near = F.transform(F.filter(words, lambda w: ~F.array_contains(have, w)), lambda w, k: F.struct(alike(w).alias("a"), (-k).alias("k")))
+    near = F.filter(near, lambda x: x["a"].isNotNull())
+
+    def told(found: Column) -> Column:
+        close = F.filter(found, lambda x: x["a"]["score"] >= least)
+        best = F.array_max(F.transform(found, lambda x: F.struct(x["a"]["score"].alias("score"), x["k"].alias("k"), x["a"]["rect"].alias("rect"))))
+        rects = F.array_distinct(F.concat(F.transform(equal, lambda t: t["rect"]), F.transform(close, lambda x: x["a"]["rect"])))
+        return F.struct(rects.alias("rects"), best.alias("best"))
+
+    return F.element_at(F.transform(F.array(near), told), 1)  # computes ``near`` once
+
+
+def support_rects(tokens: Column, question: Column, least: float = LEAST_SUPPORT) -> Column:
+    """The distinct boxes of normalised tokens that the first ``MOST_KEYWORDS`` keywords of a question name."""
+    return keyword_rects(tokens, F.slice(keywords(question, LEAST_KEYWORD), 1, MOST_KEYWORDS), least)["rects"]
+
+
 def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str = "tokens", question: str | None = None) -> DataFrame:
     """``df`` without its tokens, with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
-    what the question names; the most similar phrase whatever its score; the largest box; none."""
+    what the question names; the most similar phrase or token whatever its score; the largest box; none."""
     # Else every use below would compute them anew. Phrases take many times the room of tokens, and only answers not found yet need those.
     own = exact_and_numeric(df, answer, tokens).withColumn("_tokens", F.when(F.col("match").isNull(), F.col("_tokens")))
     own = cut(own.drop(tokens, "_equal"))
     own = own.join(_by_similarity(own, answer, keys), keys, "left")
     best = F.col("_best")
-    words = F.transform(keywords(F.col(answer)), lambda w: F.struct(w.alias("w"), numbers_in(w).alias("numbers")))
-
-    def hits(word: Column) -> Column:
-        like = F.filter("_tokens", lambda t: (t["norm"] == word["w"]) | F.arrays_overlap(t["numbers"], word["numbers"]))
-        near = F.filter("_tokens", lambda t: token_similarity(word["w"], t["norm"]) >= LEAST_TOKEN)
-        return F.transform(F.when(F.size(like) > 0, like).otherwise(near), lambda t: t["rect"])
-
-    none = F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
-    if question:
-        own = own.withColumn("_asked_words", keywords(F.col(question))).withColumn("_asked_numbers", numbers_in(F.col(question)))
-    own = own.withColumn("_words", F.when(F.col("match").isNull(), words))
-    own = cut(own)
-    own = own.withColumn("_found", F.coalesce(F.flatten(F.transform("_words", hits)), none)).withColumn("_asked", support_rects(F.col("_tokens"), F.col("_asked_words"), F.col("_asked_numbers")) if question else none)
-    own = cut(own)
-    by_word, asked = union_box(F.col("_found")), union_box(F.col("_asked"))
-    boxes = F.filter(F.transform("_tokens", lambda t: t["rect"]), valid)
-    largest = F.array_max(F.transform(boxes, lambda r, i: F.struct(area(r).alias("a"), (-i).alias("i"), r.alias("r"))))["r"]
     similar = lambda why: _match(best["g"]["rect"], why, best["_score"], best["g"]["at"] - 1, best["g"]["n"])
+    own = cut(own.withColumn("match", F.coalesce("match", F.when(best["_score"] >= LEAST_SCORE, similar("fuzzy_phrase")))))
+    sought = F.col("match").isNull()
+    own = own.withColumn("_found", F.when(sought, keyword_rects(F.col("_tokens"), keywords(F.col(answer), LEAST_CHARS), LEAST_TOKEN)))
+    asked = support_rects(F.col("_tokens"), F.col(question)) if question else F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    own = cut(own.withColumn("_asked", F.when(sought & F.col("_said").isin(YES_NO), asked)))
+    by_word, by_question, token = union_box(F.col("_found")["rects"]), union_box(F.col("_asked")), F.col("_found")["best"]
+    largest = largest_rect(F.transform("_tokens", lambda t: t["rect"]))
+    none = F.lit(None).cast("int")
     match = (
         F.when(F.col("match").isNotNull(), F.col("match"))
-        .when(best["_score"] >= LEAST_SCORE, similar("fuzzy_phrase"))
-        .when(by_word.isNotNull(), _match(by_word, "per_word_collect", F.lit(1.0), F.lit(None), F.lit(None)))
-        .when(F.col("_said").isin(YES_NO) & asked.isNotNull(), _match(asked, "question_support", F.lit(1.0), F.lit(None), F.lit(None)))
-        .when(best.isNotNull(), similar("forced_best"))
-        .when(largest.isNotNull(), _match(largest, "largest_box", F.lit(0.0), F.lit(None), F.lit(None)))
+        .when(by_word.isNotNull(), _match(by_word, "per_word_collect", F.lit(1.0), none, none))
+        .when(by_question.isNotNull(), _match(by_question, "question_fallback", F.lit(1.0), none, none))
+        .when(token.isNotNull() & (best.isNull() | (token["score"] > best["_score"])), _match(token["rect"], "forced_best_token_fuzzy_best", token["score"], none, none))
+        .when(best.isNotNull(), similar("forced_best_fuzzy_phrase_best"))
+        .when(largest.isNotNull(), _match(largest, "largest_box_fallback", F.lit(0.0), none, none))
     )
-    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_best", "_words", "_found", "_asked", "_asked_words", "_asked_numbers")
-
-
-def support_rects(tokens: Column, words: Column, numbers: Column, least: float = 0.75) -> Column:
-    """The distinct boxes of normalised tokens that a question's words or numbers name: equal, sharing a number, or similar."""
-    named = F.filter(tokens, lambda t: F.arrays_overlap(t["numbers"], numbers) | F.exists(words, lambda w: (t["norm"] == w) | (token_similarity(w, t["norm"]) >= least)))
-    return F.array_distinct(F.filter(F.transform(named, lambda t: t["rect"]), valid))
+    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_best", "_found", "_asked")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.textnorm import hash_unit
@@ -90,13 +90,16 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
+def _label() -> Column:
+    return F.when(F.col("l_partkey") % 2 == 0, F.col("p_name")).when(F.col("l_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+
+
 def _sets(lines: DataFrame) -> DataFrame:
-    label = F.when(F.col("l_partkey") % 2 == 0, F.col("p_name")).when(F.col("l_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
-    return lines.select("o", label.alias("label")).distinct()
+    return lines.select("o", _label().alias("label")).distinct()
 
 
 def _scores(lines: DataFrame) -> DataFrame:
-    every = _sets(lines).union(lines.select("o", F.col("p_name").alias("label"))).distinct()
+    every = lines.select("o", F.explode(F.array_distinct(F.array(_label(), "p_name"))).alias("label")).distinct()
     return every.withColumn("score", hash_unit(F.lit("s"), F.col("o").cast("string"), F.col("label")))
 
 
@@ -185,14 +188,14 @@ def _pools(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     _POOLS
-    + """, q AS (SELECT o_orderkey AS o, (SELECT list(label ORDER BY label) FROM v)[1 + o_orderkey % (SELECT count(*) FROM v)] AS y FROM orders WHERE o_orderkey % 10 = 0),
+    + """, q AS (SELECT o_orderkey AS o, (SELECT list(label ORDER BY label) FROM v)[1 + o_orderkey % (SELECT count(*) FROM v)] AS y FROM orders),
 r AS (SELECT o, q.y, x, hard, m, e, md5(concat_ws('-', '42', CAST(o AS VARCHAR), x)) AS h FROM q JOIN band ON band.y = q.y),
 a AS (SELECT o, y, arg_min(x, (CASE WHEN hard THEN '0' WHEN m THEN '1' ELSE '2' END) || h) AS hard FROM r GROUP BY o, y),
 b AS (SELECT r.o, r.y, a.hard, arg_min(x, (CASE WHEN m AND NOT r.hard THEN '0' WHEN e AND NOT m AND NOT r.hard THEN '1' ELSE '2' END) || h) AS medium FROM r JOIN a ON a.o = r.o WHERE x <> a.hard GROUP BY r.o, r.y, a.hard)
 SELECT b.o, b.y AS y_true, b.hard, b.medium, arg_min(x, (CASE WHEN e AND NOT m AND NOT r.hard THEN '0' ELSE '2' END) || h) AS easy FROM r JOIN b ON b.o = r.o WHERE x NOT IN (b.hard, b.medium) GROUP BY b.o, b.y, b.hard, b.medium"""
 )
 def sample_negatives_md5(spark: SparkSession, sf: str) -> DataFrame:
-    """A hard, a medium and an easy distractor for every order. The SQL still reads every tenth order."""
+    """A hard, a medium and an easy distractor for every order."""
     vocabulary = read(spark, sf, "part").agg(F.array_sort(F.collect_set("p_name")).alias("v"))
     q = read(spark, sf, "orders").select(F.col("o_orderkey").alias("o")).crossJoin(F.broadcast(vocabulary))
     q = q.select("o", F.element_at("v", (F.col("o") % F.size("v") + 1).cast("int")).alias("y_true"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritab.functions import geometry as G
 from veritab.operators import grounding, joins, placement
 from veritab.plans.tables import Registry, read
+from veritab.sources.readers import dealt
 
 R = Registry()
 
@@ -117,48 +118,90 @@ def tile_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("p_size", G.tile_ratio(300 + 37 * (F.col("p_size") % 20), 200 + 23 * (F.col("p_size") % 13)).alias("t")).select("p_size", "t.across", "t.down")
 
 
-# A document's words stand for an image's tokens, ten a line. The queries take all of them, this SQL the first 40.
-_TOKENS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+')[1:40] AS ws FROM documents),
-a AS (SELECT doc_id, ws, CASE doc_id % 3 WHEN 0 THEN ws[3] WHEN 1 THEN ws[2] || ' ' || ws[3] ELSE 'zz 42 qq' END AS answer FROM w WHERE len(ws) >= 3),
-t AS (SELECT doc_id, i, CASE WHEN doc_id % 3 = 2 AND i = 2 THEN 'room' WHEN doc_id % 3 = 2 AND i = 3 THEN '42' ELSE ws[i] END AS word FROM a, unnest(range(1, len(ws) + 1)) t(i)),
-n AS (SELECT doc_id, i, regexp_replace(lower(word), '[^\p{L}\p{N}_]+', '', 'g') AS norm, regexp_extract_all(word, '[0-9]+(?:[.,][0-9]+)*') AS numbers, 10 * ((i - 1) % 10) AS x0, 20 * ((i - 1) // 10) AS y0 FROM t),
-s AS (SELECT doc_id, regexp_replace(lower(answer), '[^\p{L}\p{N}_]+', '', 'g') AS said, list_filter(list_transform(regexp_extract_all(answer, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')), lambda m: length(m) >= 2) AS nums FROM a),
-g AS (SELECT b.doc_id, b.i, k, string_agg(e.norm, '' ORDER BY e.i) AS norm, flatten(list(list_transform(e.numbers, lambda m: replace(m, ',', '')))) AS numbers, min(e.x0) AS x0, min(e.y0) AS y0, max(e.x0 + 8) AS x1, max(e.y0 + 12) AS y1
-  FROM n b, unnest(range(2, 6)) u(k) JOIN n e ON e.doc_id = b.doc_id AND e.i BETWEEN b.i AND b.i + k - 1 GROUP BY b.doc_id, b.i, k HAVING count(*) = k),
-exact AS (SELECT n.doc_id, min(x0) AS x0, min(y0) AS y0, max(x0 + 8) AS x1, max(y0 + 12) AS y1 FROM n JOIN s ON s.doc_id = n.doc_id AND s.said = n.norm GROUP BY n.doc_id),
-phrase AS (SELECT g.* FROM g JOIN s ON s.doc_id = g.doc_id AND s.said = g.norm QUALIFY row_number() OVER (PARTITION BY g.doc_id ORDER BY k DESC, i) = 1),
-numeric AS (SELECT g.* FROM g JOIN s ON s.doc_id = g.doc_id AND len(list_intersect(g.numbers, s.nums)) > 0 QUALIFY row_number() OVER (PARTITION BY g.doc_id ORDER BY k, i DESC) = 1)
-SELECT s.doc_id, CASE WHEN length(said) < 2 THEN 'reject_short_answer' WHEN exact.x0 IS NOT NULL THEN 'exact_token' WHEN phrase.x0 IS NOT NULL THEN 'exact_phrase' WHEN numeric.x0 IS NOT NULL THEN 'numeric_phrase' END AS why,
+# Forty words of a document in a row stand for an image's tokens, ten a line; every word is in one image. What is sought depends on the image's number.
+_LONG = "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq jjjjjjjjjjjjjjjjjjjjjjjjjjjjjjjj "
+_TOKENS = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS ws FROM documents),
+im AS MATERIALIZED (SELECT doc_id, part, (doc_id * 7 + part) % 10 AS h, ws[40 * part + 1:40 * part + 40] AS ws FROM w, unnest(range(0, (len(ws) + 39) // 40)) u(part)),
+a AS MATERIALIZED (SELECT doc_id, part, h, ws, CASE h WHEN 0 THEN ws[3] WHEN 1 THEN ws[2] || ' ' || ws[3] WHEN 2 THEN 'zz 42 qq' WHEN 3 THEN ws[3] || 'xy' WHEN 4 THEN ws[2] || ' ' || ws[3] || 'xy'
+  WHEN 5 THEN 'False' WHEN 6 THEN 'zwzwz kyky' WHEN 7 THEN 'w' WHEN 8 THEN '{_LONG}' || ws[3] ELSE '{_LONG}' || ws[2] || 'x' END AS answer FROM im WHERE len(ws) >= 3),
+n AS MATERIALIZED (SELECT doc_id, part, i, regexp_replace(lower(word), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS norm, list_transform(regexp_extract_all(word, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')) AS numbers, 10 * ((i - 1) % 10) AS x0, 20 * ((i - 1) // 10) AS y0
+  FROM (SELECT doc_id, part, i, CASE WHEN h IN (2, 5) AND i = 2 THEN 'room' WHEN h IN (2, 5) AND i = 3 THEN '42' ELSE ws[i] END AS word FROM a, unnest(range(1, len(ws) + 1)) t(i))),
+s AS MATERIALIZED (SELECT doc_id, part, answer, regexp_replace(lower(answer), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS said, list_filter(list_transform(regexp_extract_all(answer, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')), lambda m: length(m) >= 2) AS nums FROM a),
+l AS (SELECT *, lead(norm, 1) OVER o AS n1, lead(norm, 2) OVER o AS n2, lead(norm, 3) OVER o AS n3, lead(norm, 4) OVER o AS n4, lead(numbers, 1) OVER o AS m1, lead(numbers, 2) OVER o AS m2, lead(numbers, 3) OVER o AS m3, lead(numbers, 4) OVER o AS m4 FROM n WINDOW o AS (PARTITION BY doc_id, part ORDER BY i)),
+g AS MATERIALIZED (SELECT doc_id, part, i, k, CASE k WHEN 2 THEN norm || n1 WHEN 3 THEN norm || n1 || n2 WHEN 4 THEN norm || n1 || n2 || n3 ELSE norm || n1 || n2 || n3 || n4 END AS norm,
+  flatten([numbers, m1, CASE WHEN k > 2 THEN m2 ELSE [] END, CASE WHEN k > 3 THEN m3 ELSE [] END, CASE WHEN k > 4 THEN m4 ELSE [] END]) AS numbers,
+  CASE WHEN (i - 1) // 10 = (i + k - 2) // 10 THEN x0 ELSE 0 END AS x0, y0, CASE WHEN (i - 1) // 10 = (i + k - 2) // 10 THEN x0 + 10 * k - 2 ELSE 98 END AS x1, 20 * ((i + k - 2) // 10) + 12 AS y1
+  FROM l, unnest(range(2, 6)) u(k) WHERE CASE k WHEN 2 THEN n1 WHEN 3 THEN n2 WHEN 4 THEN n3 ELSE n4 END IS NOT NULL),
+exact AS (SELECT doc_id, part, min(x0) AS x0, min(y0) AS y0, max(x0 + 8) AS x1, max(y0 + 12) AS y1 FROM n JOIN s USING (doc_id, part) WHERE s.said = n.norm GROUP BY ALL),
+phrase AS (SELECT g.* FROM g JOIN s USING (doc_id, part) WHERE s.said = g.norm QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY k DESC, i) = 1),
+numeric AS (SELECT g.* FROM g JOIN s USING (doc_id, part) WHERE len(list_intersect(g.numbers, s.nums)) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY k, i DESC) = 1),
+found AS MATERIALIZED (SELECT s.doc_id, s.part, answer, said, nums, CASE WHEN length(said) < 2 THEN 'reject_short_answer' WHEN exact.x0 IS NOT NULL THEN 'exact_token' WHEN phrase.x0 IS NOT NULL THEN 'exact_phrase' WHEN numeric.x0 IS NOT NULL THEN 'numeric_phrase' END AS why,
+""" + ",".join(f"CAST(CASE WHEN length(said) >= 2 THEN coalesce(exact.{c}, phrase.{c}, numeric.{c}) END AS INTEGER) AS {c}" for c in ("x0", "y0", "x1", "y1")) + " FROM s LEFT JOIN exact USING (doc_id, part) LEFT JOIN phrase USING (doc_id, part) LEFT JOIN numeric USING (doc_id, part))"
+
+# DuckDB counts edits of bytes, so letters beyond ASCII become capitals, which normal forms lack.
+_LETTERS = "àâäáãåçéèêëíìîïñóòôöõúùûüßœæÿ"
+_BYTES = lambda x: f"translate({x}, '{_LETTERS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%')"
+_SIMILAR = lambda a, b: f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein({_BYTES(a)}, {_BYTES(b)}) / greatest(length({a}), length({b})) END"
+_KEYWORDS = lambda x, least: rf"list_filter(list_transform(string_split_regex(lower({x}), '[\s/:\-_,.;!?()\[\]{{}}]+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]+', '', 'g')), lambda w: length(w) >= {least})"
+_QUESTION = "is there a room 42 beside the grand hall or tower one"
+_BOX4 = ("x0", "y0", "x1", "y1")
+_ALL = (
+    _TOKENS
+    + rf""", open_ AS MATERIALIZED (SELECT doc_id, part, answer, said, nums FROM found WHERE why IS NULL),
+parts AS (SELECT doc_id, part, length(said) AS size, list(DISTINCT substring(said, i, m)) AS subs, m FROM open_, unnest(range(1, length(said) + 1)) t(i), unnest(range(1, length(said) - i + 2)) u(m) GROUP BY doc_id, part, said, m),
+common AS (SELECT g.doc_id, g.part, g.i, g.k, max(m) AS most FROM g JOIN parts p ON p.doc_id = g.doc_id AND p.part = g.part AND len(list_filter(p.subs, lambda x: contains(g.norm, x))) > 0 GROUP BY ALL),
+scored AS (SELECT g.*, least(1.0::DOUBLE, 0.6::DOUBLE * (coalesce(most, 0) / length(said)) + (1 - 0.6::DOUBLE) * ({_SIMILAR("said", "norm")}) + CASE WHEN len(list_intersect(g.numbers, nums)) > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) AS score
+  FROM g JOIN open_ USING (doc_id, part) LEFT JOIN common USING (doc_id, part, i, k) WHERE length(norm) > 0),
+best AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, k DESC, i) = 1),
+left_ AS MATERIALIZED (SELECT o.* FROM open_ o LEFT JOIN best b USING (doc_id, part) WHERE coalesce(b.score, -1) < 0.40::DOUBLE),
+words AS MATERIALIZED (SELECT doc_id, part, 0 AS asked, ws[j] AS w, j FROM (SELECT *, {_KEYWORDS("answer", 2)} AS ws FROM left_), unnest(range(1, len(ws) + 1)) t(j)
+  UNION ALL SELECT doc_id, part, 1, ws[j], j FROM (SELECT *, ({_KEYWORDS("'" + _QUESTION + "'", 3)})[1:6] AS ws FROM left_ WHERE said IN ('yes', 'no', 'true', 'false')), unnest(range(1, len(ws) + 1)) t(j)),
+alike AS MATERIALIZED (SELECT w.doc_id, w.part, asked, j, w, {_SIMILAR("w", "norm")} AS sim, n.* EXCLUDE (doc_id, part), w = norm OR len(list_intersect(n.numbers, list_filter(list_transform(regexp_extract_all(w, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')), lambda m: length(replace(m, '.', '')) >= 2))) > 0 AS equal FROM words w JOIN n USING (doc_id, part)),
+near AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part, asked ORDER BY sim DESC, j) AS r FROM (SELECT * FROM (SELECT *, max(CAST(w = norm AS INTEGER)) OVER (PARTITION BY doc_id, part, asked, j) AS have FROM alike) WHERE have = 0 QUALIFY row_number() OVER (PARTITION BY doc_id, part, asked, j ORDER BY sim DESC, i) = 1)),
+hit AS (SELECT doc_id, part, asked, min(x0) AS x0, min(y0) AS y0, max(x0 + 8) AS x1, max(y0 + 12) AS y1 FROM (SELECT doc_id, part, asked, x0, y0 FROM alike WHERE equal UNION ALL SELECT doc_id, part, asked, x0, y0 FROM near WHERE sim >= CASE asked WHEN 0 THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END) GROUP BY ALL),
+t AS (SELECT doc_id, part, sim, x0, y0, x0 + 8 AS x1, y0 + 12 AS y1 FROM near WHERE asked = 0 AND r = 1),
+big AS (SELECT doc_id, part, min(x0) AS x0, min(y0) AS y0 FROM n WHERE i = 1 GROUP BY ALL)
+SELECT f.doc_id, f.part, CASE WHEN f.why IS NOT NULL THEN f.why WHEN b.score >= 0.40::DOUBLE THEN 'fuzzy_phrase' WHEN h.x0 IS NOT NULL THEN 'per_word_collect' WHEN q.x0 IS NOT NULL THEN 'question_fallback' WHEN t.sim IS NOT NULL AND t.sim > coalesce(b.score, -1) THEN 'forced_best_token_fuzzy_best'
+  WHEN b.score IS NOT NULL THEN 'forced_best_fuzzy_phrase_best' ELSE 'largest_box_fallback' END AS why,
+  round(CASE WHEN f.why = 'reject_short_answer' THEN NULL WHEN f.why IS NOT NULL THEN 1.0 WHEN b.score >= 0.40::DOUBLE THEN b.score WHEN coalesce(h.x0, q.x0) IS NOT NULL THEN 1.0 WHEN t.sim IS NOT NULL AND t.sim > coalesce(b.score, -1) THEN t.sim WHEN b.score IS NOT NULL THEN b.score ELSE 0.0 END, 6) AS score,
 """
-_TOKENS += ",".join(f"CAST(CASE WHEN length(said) >= 2 THEN coalesce(exact.{c}, phrase.{c}, numeric.{c}) END AS INTEGER) AS {c}" for c in ("x0", "y0", "x1", "y1")) + " FROM s LEFT JOIN exact USING (doc_id) LEFT JOIN phrase USING (doc_id) LEFT JOIN numeric USING (doc_id)"
+    + ",".join(
+        f"CAST(CASE WHEN f.why IS NOT NULL THEN f.{c} WHEN b.score >= 0.40::DOUBLE THEN b.{c} WHEN h.x0 IS NOT NULL THEN h.{c} WHEN q.x0 IS NOT NULL THEN q.{c} WHEN t.sim IS NOT NULL AND t.sim > coalesce(b.score, -1) THEN t.{c} WHEN b.score IS NOT NULL THEN b.{c} ELSE {e} END AS INTEGER) AS {c}"
+        for c, e in zip(_BOX4, ("big.x0", "big.y0", "big.x0 + 8", "big.y0 + 12"), strict=True)
+    )
+    + " FROM found f LEFT JOIN best b USING (doc_id, part) LEFT JOIN (SELECT * FROM hit WHERE asked = 0) h USING (doc_id, part) LEFT JOIN (SELECT * FROM hit WHERE asked = 1) q USING (doc_id, part) LEFT JOIN t USING (doc_id, part) LEFT JOIN big USING (doc_id, part)"
+)
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ws")).where(F.size("ws") >= 3)
-    k = F.col("doc_id") % 3
-    d = d.withColumn("answer", F.when(k == 0, F.col("ws")[2]).when(k == 1, F.concat(F.col("ws")[1], F.lit(" "), F.col("ws")[2])).otherwise("zz 42 qq"))
+    d = dealt(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("all")).where(F.size("all") > 0)
+    images = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 40).cast("int")), lambda k: F.slice("all", k * 40 + 1, F.lit(40)))
+    d = d.select("doc_id", F.posexplode(images).alias("part", "ws")).where(F.size("ws") >= 3).withColumn("h", (F.col("doc_id") * 7 + F.col("part")) % 10)
+    ws, h = F.col("ws"), F.col("h")
+    two = F.concat(ws[1], F.lit(" "), ws[2])
+    answers = [ws[2], two, F.lit("zz 42 qq"), F.concat(ws[2], F.lit("xy")), F.concat(two, F.lit("xy")), F.lit("False"), F.lit("zwzwz kyky"), F.lit("w"), F.concat(F.lit(_LONG), ws[2]), F.concat(F.lit(_LONG), ws[1], F.lit("x"))]
+    d = d.withColumn("answer", F.coalesce(*[F.when(h == i, x) for i, x in enumerate(answers)]))
 
     def token(w: Column, i: Column) -> Column:
         x, y = 10 * (i % 10), 20 * F.floor(i / 10).cast("int")
-        word = F.when((k == 2) & (i == 1), "room").when((k == 2) & (i == 2), "42").otherwise(w)
+        word = F.when(h.isin(2, 5) & (i == 1), "room").when(h.isin(2, 5) & (i == 2), "42").otherwise(w)
         return F.struct(word.alias("word"), G.rect(x, y, x + 8, y + 12).alias("rect"))
 
-    return d.select("doc_id", "answer", F.transform("ws", token).alias("tokens"))
+    return d.select("doc_id", "part", "answer", F.transform("ws", token).alias("tokens"))
 
 
-@R.query(_TOKENS)
+@R.query(_TOKENS + " SELECT doc_id, part, why, x0, y0, x1, y1 FROM found")
 def ground_answer(spark: SparkSession, sf: str) -> DataFrame:
     """M05, tiers 0 to 3: where an answer stands among tokens."""
     g = grounding.exact_and_numeric(_tokens(spark, sf))
-    return g.select("doc_id", "match.why", "match.rect.*")
+    return g.select("doc_id", "part", "match.why", "match.rect.*")
 
 
-@R.query()
+@R.query(_ALL)
 def ground_answer_all(spark: SparkSession, sf: str) -> DataFrame:
-    """M05 and M06, the whole cascade; its similar phrases need a Python step that SQL lacks."""
-    d = _tokens(spark, sf).withColumn("answer", F.when(F.col("doc_id") % 5 == 0, F.concat("answer", F.lit("xy"))).otherwise(F.col("answer"))).withColumn("question", F.lit("is there a room 42"))
-    g = grounding.grounded(d, ["doc_id"], question="question")
-    return g.select("doc_id", "match.why", F.round("match.score", 6).alias("score"), "match.rect.*")
+    """The whole cascade."""
+    g = grounding.grounded(_tokens(spark, sf).withColumn("question", F.lit(_QUESTION)), ["doc_id", "part"], question="question")
+    return g.select("doc_id", "part", "match.why", F.round("match.score", 6).alias("score"), "match.rect.*")
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:

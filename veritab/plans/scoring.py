@@ -9,6 +9,7 @@ from veritab.functions import choice, metrics, parsing, textnorm, vectors
 from veritab.functions.textnorm import ARTICLES, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, STOP_ANSWERS
 from veritab.operators import labels as L
 from veritab.plans.tables import Registry, read
+from veritab.sources.readers import dealt
 
 R = Registry()
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -149,7 +150,7 @@ def _said() -> Column:
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """(user_id, answers, n_answers, prediction): all answers of each user as structs (a, n) of distinct ones and their counts; the first one's plain word is the prediction.
 
-    Answers are counted before they meet in a row, so a frequent user stays small. The SQL still has each user's first ten.
+    Answers are counted before they meet in a row, so a frequent user stays small.
     """
     kinds = read(spark, sf, "events").groupBy("user_id", _said().alias("a")).agg(F.count("*").alias("n"), F.min(F.struct("event_id", "event_type")).alias("first"))
     return kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("answers"), F.sum("n").cast("int").alias("n_answers"), F.min("first")["event_type"].alias("prediction"))
@@ -161,7 +162,7 @@ def _short(answers: str) -> Column:
 
 _SOFT_SQL = (
     _ANSWERS_SQL
-    + f"""n AS (SELECT user_id, k, {_consensus_sql("answer")} AS norm FROM a WHERE k <= 10),
+    + f"""n AS (SELECT user_id, k, {_consensus_sql("answer")} AS norm FROM a),
 f AS (SELECT user_id, event_type AS said FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
 c AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE norm = said) AS DOUBLE) AS m FROM n JOIN f USING (user_id) GROUP BY user_id),
 r AS (SELECT user_id, CAST(n AS INTEGER) AS n_answers, CAST(m AS INTEGER) AS n_same, round((m * least(1.0, (m - 1) / 3) + (n - m) * least(1.0, m / 3)) / n, 9) AS soft, CAST(m > 0 AS DOUBLE) AS exact FROM c)
@@ -194,7 +195,7 @@ _TEXTS_SQL = "WITH t AS (SELECT doc_id AS id, 'documents' AS kind, text AS x FRO
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("kind"), F.col("text").alias("x"))
-    return d.unionByName(read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), F.col("text").alias("x")))
+    return dealt(d).unionByName(read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), F.col("text").alias("x")))
 
 
 def _digest(spark: SparkSession, sf: str, f) -> DataFrame:
@@ -271,7 +272,7 @@ def seed_md5(spark: SparkSession, sf: str) -> DataFrame:
 _SHORT = r"regexp_replace(regexp_replace(regexp_replace(lower(answer), '^\s+|\s+$', '', 'g'), '[^\p{L}\p{N}_\s:./-]', '', 'g'), '\s+', ' ', 'g')"
 _KINDS_SQL = (
     _ANSWERS_SQL
-    + f"""n AS (SELECT user_id, {_SHORT} AS norm FROM a WHERE k <= 10), c AS (SELECT user_id, norm, count(*) AS n FROM n GROUP BY user_id, norm)
+    + f"""n AS (SELECT user_id, {_SHORT} AS norm FROM a), c AS (SELECT user_id, norm, count(*) AS n FROM n GROUP BY user_id, norm)
 """
 )
 
@@ -290,7 +291,7 @@ def combined_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     _ANSWERS_SQL
-    + "n AS (SELECT user_id, CASE WHEN k % 4 = 0 THEN 'unknown' ELSE lower(answer) END AS norm FROM a WHERE k <= 10), c AS (SELECT user_id, norm, count(*) AS n FROM n WHERE norm <> 'unknown' GROUP BY user_id, norm) SELECT user_id, norm AS answer FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, norm) = 1"
+    + "n AS (SELECT user_id, CASE WHEN k % 4 = 0 THEN 'unknown' ELSE lower(answer) END AS norm FROM a), c AS (SELECT user_id, norm, count(*) AS n FROM n WHERE norm <> 'unknown' GROUP BY user_id, norm) SELECT user_id, norm AS answer FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, norm) = 1"
 )
 def prompt_top_answer(spark: SparkSession, sf: str) -> DataFrame:
     """Every fourth answer is a stop answer."""

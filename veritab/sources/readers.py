@@ -31,6 +31,20 @@ def table(spark: SparkSession, name: str, data_root: str | None = None, hub: dic
     return spark.read.parquet(resolve(spark, name, data_root, hub))
 
 
+#: Up to so many bytes a core, rows of few files are dealt out before costly work.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, with its rows dealt to all cores; any other as it is.
+
+    A file with one row group is one task, whatever its rows cost. Large tables have splits enough, and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def partitioned(spark: SparkSession, pattern: str, depth: int = 2, names: tuple[str, ...] = ("split", "kind")) -> DataFrame:
     """All tables that a pattern of folders matches, with the folders' names as columns."""
     df = spark.read.option("recursiveFileLookup", "true").parquet(pattern).withColumn("_parts", F.split(F.input_file_name(), "/"))
