@@ -24,23 +24,48 @@ def test_every_answer_counts(spark, monkeypatch, name, block):
     same(spark, registry.QUERIES[name], without(registry.ORACLE_SQL[name], " WHERE k <= 10"))
 
 
-def test_words_behind_the_fortieth_are_found(spark, tmp_path):
+def lines_of_ten(spark, texts):
+    """Rows (doc_id, answer, tokens): the words of each text as tokens, ten a line."""
+    rows = [(i, answer, [(w, (10 * (k % 10), 20 * (k // 10), 10 * (k % 10) + 8, 20 * (k // 10) + 12)) for k, w in enumerate(t.split())]) for i, answer, t in texts]
+    return spark.createDataFrame(rows, "doc_id long, answer string, tokens array<struct<word:string,rect:struct<x0:int,y0:int,x1:int,y1:int>>>")
+
+
+def test_words_behind_the_fortieth_are_found(spark):
     """Answers are words 2 and 3; after the fortieth they stand again, so boxes reach down to where they do."""
     words = ["w0", "alpha", "beta", *[f"f{i}" for i in range(60)]]
-    texts = [(3, " ".join([*words, "beta", "end"])), (4, " ".join([*words, "gamma", "alphabeta"])), (6, " ".join(words))]
-    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in registry.QUERIES["ground_answer"](spark, str(tmp_path)).collect()}
-    assert [(got[i].why, got[i].x0, got[i].y0, got[i].x1, got[i].y1) for i in (3, 4, 6)] == [("exact_token", 20, 0, 38, 132), ("exact_token", 40, 120, 48, 132), ("exact_token", 20, 0, 28, 12)]
-    every = {r.doc_id: r for r in registry.QUERIES["ground_answer_all"](spark, str(tmp_path)).collect()}
-    assert (every[3].why, every[3].y1) == ("exact_token", 132) and (every[4].why, every[4].y0) == ("exact_token", 120)
-    tokens = placing._tokens(spark, str(tmp_path)).withColumn("answer", F.lit("end gama"))
-    late = {r.doc_id: r.match for r in grounding.grounded(tokens, ["doc_id"]).collect()}
+    texts = [(3, "beta", " ".join([*words, "beta", "end"])), (4, "alpha beta", " ".join([*words, "gamma", "alphabeta"])), (6, "beta", " ".join(words))]
+    tokens = lines_of_ten(spark, texts)
+    got = {r.doc_id: r.match for r in grounding.exact_and_numeric(tokens).collect()}
+    assert [(got[i].why, *got[i].rect) for i in (3, 4, 6)] == [("exact_token", 20, 0, 38, 132), ("exact_token", 40, 120, 48, 132), ("exact_token", 20, 0, 28, 12)]
+    every = {r.doc_id: r.match for r in grounding.grounded(tokens, ["doc_id"]).collect()}
+    assert (every[3].why, every[3].rect.y1) == ("exact_token", 132) and (every[4].why, every[4].rect.y0) == ("exact_token", 120)
+    late = {r.doc_id: r.match for r in grounding.grounded(tokens.withColumn("answer", F.lit("end gama")), ["doc_id"]).collect()}
     assert late[3].rect.y1 == 132
 
 
+def test_a_question_names_the_best_token_of_each_keyword(spark):
+    """One box a keyword without an equal token, numbers of two digits and more, six keywords at most."""
+    tokens = lines_of_ten(spark, [(1, "yes", "room rooms 7 42 tower towels seventh sevenths")])
+    tokens = tokens.withColumn("t", grounding.normalised_tokens(F.col("tokens")))
+    asked = {"which room": [0], "which roomy": [0], "room 42": [0], "number 42x please": [30], "room42 is": [30], "seven7 steps": [], "tower": [40], "one two three four five six tower": [], "the big six and two tower": [40], "sevenths": [70]}
+    for question, want in asked.items():
+        got = tokens.select(grounding.support_rects(F.col("t"), F.lit(question)).alias("r")).first().r
+        assert [r.x0 for r in got] == want, question
+
+
+def test_largest_box_is_the_last_resort(spark):
+    """Only where no phrase has letters and the answer has no keyword; else the first of the least like tokens is taken."""
+    rows = [(1, "a b", [("!!", (0, 0, 5, 5)), ("--", (10, 0, 30, 30)), ("..", (40, 0, 60, 30))]), (4, "answer", [("!!", (0, 0, 5, 5)), ("--", (10, 0, 30, 30))]), (2, "answer", [("!!", (5, 5, 5, 5))]), (3, "answer", [])]
+    df = spark.createDataFrame(rows, "doc_id long, answer string, tokens array<struct<word:string,rect:struct<x0:int,y0:int,x1:int,y1:int>>>")
+    got = {r.doc_id: r.match for r in grounding.grounded(df, ["doc_id"]).collect()}
+    assert got[1].why == "largest_box_fallback" and got[1].rect.x0 == 10 and got[2] is None and got[3] is None
+    assert (got[4].why, got[4].score, got[4].rect.x0) == ("forced_best_token_fuzzy_best", 0.0, 0)
+
+
 def test_all_words_are_tokens(spark, tables):
     got = placing._tokens(spark, "/root/testdata/sf0.001").agg(F.sum(F.size("tokens"))).first()[0]
-    assert got == sum(len(w) for r in tables("documents").select("text").collect() if r.text and len(w := r.text.split()) >= 3)
+    images = [(len(w), k) for r in tables("documents").select("text").collect() if r.text for w in [r.text.split()] for k in range(0, len(w), 40)]
+    assert got == sum(min(40, n - k) for n, k in images if n - k >= 3)
 
 
 IMAGE = "seed int, mode string, w int, h int, tw int, th int, px int, min_px int, max_retry int, margin int, forbidden array<struct<x0:int,y0:int,x1:int,y1:int>>, answer_rect struct<x0:int,y0:int,x1:int,y1:int>"

@@ -41,7 +41,8 @@ def wide_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
-def _cells(rect, w: int, h: int, rows: int, cols: int) -> tuple[int, int, int, int]:
+def cells(rect, w: int, h: int, rows: int, cols: int) -> tuple[int, int, int, int]:
+    """The cells of a mask that a rectangle of its image touches."""
     sx, sy = cols / max(1.0, float(w)), rows / max(1.0, float(h))
     on = lambda v, most: max(0, min(most, int(v)))
     return on(math.floor(rect["x0"] * sx), cols), on(math.floor(rect["y0"] * sy), rows), on(math.ceil(rect["x1"] * sx), cols), on(math.ceil(rect["y1"] * sy), rows)
@@ -60,7 +61,7 @@ def without_rects(mask: pd.Series, cols: pd.Series, rects: pd.Series, w: pd.Seri
     for m, c, rs, a, b in zip(mask, cols, rects, w, h, strict=True):
         grid = np.asarray(m, bool).reshape(-1, c).copy()
         for r in rs:
-            x0, y0, x1, y1 = _cells(r, a, b, *grid.shape)
+            x0, y0, x1, y1 = cells(r, a, b, *grid.shape)
             grid[y0:y1, x0:x1] = False
         out.append(grid.ravel().tolist())
     return pd.Series(out)
@@ -72,6 +73,6 @@ def mask_meets_rect(mask: pd.Series, cols: pd.Series, rect: pd.DataFrame, w: pd.
     out = []
     for m, c, (_, r), a, b in zip(mask, cols, rect.iterrows(), w, h, strict=True):
         grid = np.asarray(m, bool).reshape(-1, c)
-        x0, y0, x1, y1 = _cells(r, a, b, *grid.shape)
+        x0, y0, x1, y1 = cells(r, a, b, *grid.shape)
         out.append(bool(grid[y0:y1, x0:x1].any()))
     return pd.Series(out)

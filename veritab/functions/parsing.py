@@ -95,3 +95,18 @@ def score_map(pairs: Column) -> Column:
     known = F.filter(pairs, lambda p: p["answer"].isNotNull())
     last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.greatest(F.size(known), F.lit(1))), lambda q: q["answer"] == p["answer"]))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["answer"], p["score"])))
+
+
+def json_safe(value: Column) -> Column:
+    """Any nested value as JSON text (P17): structs and maps as objects, arrays as lists, null as null, times and binary as strings."""
+    return F.get_json_object(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), "$.v")
+
+
+def structured(text: Column, schema: str) -> Column:
+    """A response parsed by a schema (X09), as a struct of ``value`` and ``reason``: a field that is missing, or of another type, makes it invalid, as does text that is no JSON object."""
+    fields = T._parse_datatype_string(schema).fields
+    value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    missing = F.filter(F.array(*[F.when(value[f.name].isNull(), F.lit(f.name)) for f in fields]), lambda n: n.isNotNull())
+    whole = F.get_json_object(text, "$")  # null unless the text is JSON
+    good = whole.isNotNull() & F.startswith(F.ltrim(text), F.lit("{"))
+    return F.struct(F.when(good & (F.size(missing) == 0), value).alias("value"), F.when(~F.coalesce(good, F.lit(False)), "no_json").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))).otherwise("ok").alias("reason"))

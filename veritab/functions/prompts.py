@@ -15,6 +15,21 @@ SOLVE = "Solve the problem based on the analysis above. "
 TASK_SUFFIX = {"txt_oe": SHORT_ANSWER, "obj_oe": OBJECT_NAMES, "obj_mc": OPTION_LETTER}
 UNANSWERABLE = "\nWhen the provided information is insufficient, respond with 'Unanswerable'.\nAnswer the question using a single word or phrase."
 LABEL_TEMPLATES = ["a photo of a {}.", "an image of a {}.", "a close-up photo of a {}.", "a cropped photo of a {}.", "a low angle photo of a {}.", "a high angle photo of a {}."]
+# The public ensemble of eighty templates for labels of images, in its order, and the two single ones.
+ENSEMBLE = [
+    "a bad photo of a {}.", "a photo of many {}.", "a sculpture of a {}.", "a photo of the hard to see {}.", "a low resolution photo of the {}.", "a rendering of a {}.", "graffiti of a {}.",
+    "a bad photo of the {}.", "a cropped photo of the {}.", "a tattoo of a {}.", "the embroidered {}.", "a photo of a hard to see {}.", "a bright photo of a {}.", "a photo of a clean {}.",
+    "a photo of a dirty {}.", "a dark photo of the {}.", "a drawing of a {}.", "a photo of my {}.", "the plastic {}.", "a photo of the cool {}.", "a close-up photo of a {}.",
+    "a black and white photo of the {}.", "a painting of the {}.", "a painting of a {}.", "a pixelated photo of the {}.", "a sculpture of the {}.", "a bright photo of the {}.",
+    "a cropped photo of a {}.", "a plastic {}.", "a photo of the dirty {}.", "a jpeg corrupted photo of a {}.", "a blurry photo of the {}.", "a photo of the {}.", "a good photo of the {}.",
+    "a rendering of the {}.", "a {} in a video game.", "a photo of one {}.", "a doodle of a {}.", "a close-up photo of the {}.", "a photo of a {}.", "the origami {}.", "the {} in a video game.",
+    "a sketch of a {}.", "a doodle of the {}.", "a origami {}.", "a low resolution photo of a {}.", "the toy {}.", "a rendition of the {}.", "a photo of the clean {}.", "a photo of a large {}.",
+    "a rendition of a {}.", "a photo of a nice {}.", "a photo of a weird {}.", "a blurry photo of a {}.", "a cartoon {}.", "art of a {}.", "a sketch of the {}.", "a embroidered {}.",
+    "a pixelated photo of a {}.", "itap of the {}.", "a jpeg corrupted photo of the {}.", "a good photo of a {}.", "a plushie {}.", "a photo of the nice {}.", "a photo of the small {}.",
+    "a photo of the weird {}.", "the cartoon {}.", "art of the {}.", "a drawing of the {}.", "a photo of the large {}.", "a black and white photo of a {}.", "the plushie {}.", "a dark photo of a {}.",
+    "itap of a {}.", "graffiti of the {}.", "a toy {}.", "itap of my {}.", "a photo of a cool {}.", "a photo of a small {}.", "a tattoo of the {}.",
+]
+TEMPLATE_SETS = {"openai_imagenet_template": ENSEMBLE, "none": ["{}."], "photo": ["a photo of a {}."]}
 META_FIELDS = ["image_id", "question_id", "answer", "choices", "attack_word"]
 
 
@@ -150,7 +165,7 @@ def model_name(path: Column) -> Column:
 
 
 def label_prompts(label: Column, templates: list[str] | None = None) -> Column:
-    """A label in each template, underscores as spaces."""
+    """A label in each template, underscores as spaces (N23). ``TEMPLATE_SETS`` has the named sets of templates."""
     shown = F.replace(label, F.lit("_"), F.lit(" "))
     return F.array(*[F.concat(F.lit(t.split("{}")[0]), shown, F.lit(t.split("{}")[1])) for t in templates or LABEL_TEMPLATES])
 

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only where that is unset, as in tests, in a folder of its own."""
+    """A reliable checkpoint in spark.checkpoint.dir. Only where that is unset on one machine, as in tests, in a folder of its own; a cluster must name one that its machines share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="veritab-"))
     return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints, where all machines see what is written."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(spark.range(1))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4()}"

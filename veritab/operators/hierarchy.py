@@ -150,3 +150,13 @@ def tree_lines(edges: DataFrame, indent: str = "  ") -> DataFrame:
         level = cut(level.join(down, F.col("label") == F.col("_parent")).where(~F.array_contains("path", F.col("_child"))).select(F.col("_child").alias("label"), F.concat("path", F.array("_child")).alias("path")))
         every = every.unionByName(level)
     return every.select("path", F.concat(F.repeat(F.lit(indent), F.size("path") - 1), F.col("label")).alias("line")).orderBy("path")
+
+
+def save_closure(closed: DataFrame, path: str) -> None:
+    """Keep a closure as a table, so that it is built once."""
+    closed.select("label", "depth", "ancestor").write.mode("overwrite").parquet(path)
+
+
+def saved_closure(spark: SparkSession, path: str) -> DataFrame:
+    """The closure that a table holds."""
+    return spark.read.schema("label string, depth int, ancestor string").parquet(path)

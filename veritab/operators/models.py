@@ -27,27 +27,71 @@ def adapter(name: str) -> Callable[[], Callable[[list], list]]:
     return ADAPTERS[fits[-1]]
 
 
-def generated(df: DataFrame, factory: Callable, prompt: str, output: str = "response", batch: int = 64, retries: int = 0) -> DataFrame:
-    """``df`` with a model's answer to each prompt, in batches (X02, X04). A batch that fails is tried again; one that keeps failing gives nulls."""
+def _called(model: Callable[[list], list], prompts: list, timeout: float | None) -> list:
+    """A model's answers; an error where they take longer than ``timeout`` seconds. The late call is left to end by itself."""
+    if timeout is None:
+        return list(model(prompts))
+    from concurrent.futures import ThreadPoolExecutor
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return list(pool.submit(model, prompts).result(timeout))
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def generated(df: DataFrame, factory: Callable, prompt: str, output: str = "response", batch: int = 64, retries: int = 0, timeout: float | None = None, reason: str | None = None) -> DataFrame:
+    """``df`` with a model's answer to each prompt, in batches.
+
+    A batch that fails, gives another number of answers or takes longer than ``timeout`` seconds is tried again; one that keeps failing gives nulls, and ``reason``, if
+    a column is named, has the kind of the last error.
+    """
     columns = df.columns
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for pdf in pdfs:
             out: list = []
+            why: list = []
             for i in range(0, len(pdf), batch):
                 own = pdf[prompt].iloc[i : i + batch].tolist()
-                for attempt in range(retries + 1):
+                answers, error = [None] * len(own), None
+                for _ in range(retries + 1):
                     try:
-                        out += list(model(own))
+                        answers = _called(model, own, timeout)
+                        if len(answers) != len(own):
+                            raise ValueError("another number of answers")
+                        error = None
                         break
-                    except Exception:
-                        if attempt == retries:
-                            out += [None] * len(own)
-            yield pdf.assign(**{output: out})[[*columns, output]]
+                    except Exception as e:  # whatever a model raises
+                        answers, error = [None] * len(own), type(e).__name__
+                out += answers
+                why += [error] * len(own)
+            pdf = pdf.assign(**{output: out})
+            yield (pdf.assign(**{reason: why}) if reason else pdf)[[*columns, output, *([reason] if reason else [])]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, `{output}` string" + (f", `{reason}` string" if reason else ""))
+
+
+def encoded(df: DataFrame, factory: Callable, texts: str, output: str = "vectors", chunk: int = 256) -> DataFrame:
+    """``df`` with unit vectors of an array of texts each, encoded in chunks that go over rows."""
+    columns = df.columns
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        model = factory()
+        for pdf in pdfs:
+            flat = [t for own in pdf[texts] for t in own]
+            parts = [np.asarray(model(flat[i : i + chunk]), np.float64) for i in range(0, len(flat), chunk)]
+            every = np.concatenate(parts) if parts else np.zeros((0, 1))
+            every = every / np.maximum(np.linalg.norm(every, axis=1, keepdims=True), 1e-300)
+            ends = np.cumsum([len(own) for own in pdf[texts]])
+            yield pdf.assign(**{output: [every[e - len(own) : e].tolist() for e, own in zip(ends, pdf[texts], strict=True)]})[[*columns, output]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{output}` string")
+    return df.mapInPandas(run, f"{schema}, `{output}` array<array<double>>")
 
 
 def with_retries(df: DataFrame, factory: Callable, prompt: str, valid, key: str, rounds: int = 2, output: str = "response") -> DataFrame:

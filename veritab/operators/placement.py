@@ -5,12 +5,18 @@ A pattern's candidates are one array an image; hashes take the place of a genera
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, grid_cells, rect
+from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, grid_cells, rect, valid
+from veritab.functions.masks import cells as mask_cells
+from veritab.functions.masks import wide_rectangle
 from veritab.functions.textnorm import hash_unit, seed_of
-from veritab.operators.sampling import from_bucket, tertile_cuts
+from veritab.operators.sampling import BUCKET_ORDER, bucket_members, from_bucket, tertile_cuts
 
 #: Cells a side, tries inside a cell, how much a font shrinks when nothing fits, and the least font of a forced text.
 GRID, CELL_TRIES, SHRINK, LEAST_PX = 11, 20, 2, 8
@@ -95,7 +101,9 @@ def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: b
     own = own.withColumn("_free", F.coalesce(F.col("_fit.free"), F.array().cast(_FIT[_FIT.index("array") : -1])))
     own = own.withColumn("_cuts", tertile_cuts(F.transform("_free", lambda c: c["value"])))
     chosen = from_bucket(F.col("_free"), F.col("_cuts"), bucket)
+    had = F.coalesce(*[F.when(F.size(bucket_members(F.col("_free"), F.col("_cuts"), b)) > 0, F.lit(b)) for b in BUCKET_ORDER[bucket]])
     own = own.withColumn("_best", F.array_min(F.transform(chosen, lambda c: F.struct(F.md5(F.concat_ws("-", F.col("seed").cast("string"), c["code"])).alias("k"), c.alias("c"))))["c"])
+    own = own.withColumn("_reason", F.when(F.col("_best").isNotNull(), had).otherwise("forced"))
     own = own.withColumn("_px", F.when(F.col("_best").isNotNull(), F.col("_fit.px")).otherwise(F.greatest("min_px", F.lit(LEAST_PX))))
     own = own.withColumn("_tw", _scaled("tw", F.col("_px"))).withColumn("_th", _scaled("th", F.col("_px")))
 
@@ -111,9 +119,9 @@ def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: b
     own = own.withColumn("_spot", F.when(F.col("_best").isNotNull(), spot).otherwise(corner))
     placement = F.struct(
         F.col("_spot").alias("rect"), F.coalesce(F.col("_best.code"), F.lit("TL")).alias("code"), corner_distance(F.col("_spot"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"),
-        F.when(F.col("_best").isNotNull(), bucket).otherwise("forced").alias("reason"), F.col("_px").alias("used_px"),
+        F.col("_reason").alias("reason"), F.col("_px").alias("used_px"),
     )
-    return own.withColumn("placement", placement).drop("_cells", "_home", "_fit", "_free", "_cuts", "_best", "_px", "_tw", "_th", "_spot")
+    return own.withColumn("placement", placement).drop("_cells", "_home", "_fit", "_free", "_cuts", "_best", "_px", "_tw", "_th", "_spot", "_reason")
 
 
 def placed(df: DataFrame, mode: Column) -> DataFrame:
@@ -132,7 +140,85 @@ def placed(df: DataFrame, mode: Column) -> DataFrame:
     return near.unionByName(mid).unionByName(far).unionByName(loose).unionByName(other)
 
 
-def first_fit(candidates: DataFrame, keys: list[str], ok: Column, tiers: list[str]) -> DataFrame:
-    """Of each key the first candidate that is ok, in the order of the tier columns. The stages of G21 are not built."""
-    rest = [c for c in candidates.columns if c not in {*keys, *tiers}]
-    return candidates.where(ok).groupBy(*keys).agg(F.min(F.struct(*tiers, *rest)).alias("_b")).select(*keys, "_b.*")
+def patterned(df: DataFrame) -> DataFrame:
+    """``df`` (font_rule, font_low, font_high, font_step, unit_w, unit_h, fill_rule, fill, palette, luminance, and what ``placed`` takes but tw, th and px) with px, tw, th, colour and ``placement``: the
+    whole of a pattern, from its seed to its place (G16, G17, G20). A text's sides are given for one pixel of its font."""
+    own = df.withColumn("px", font_size(F.col("font_rule"), F.col("font_low"), F.col("font_high"), F.col("font_step"), F.col("seed")))
+    own = own.withColumns({"tw": F.ceil(F.col("unit_w") * F.col("px")).cast("int"), "th": F.ceil(F.col("unit_h") * F.col("px")).cast("int")})
+    own = own.withColumn("colour", fill_colour(F.col("fill_rule"), F.col("fill"), F.col("palette"), F.col("luminance"), F.col("seed")))
+    return placed(own, F.col("mode"))
+
+
+#: Colours of the boxes that are shown to check a placement.
+DEBUG_COLOURS = {"cell": "0,0,255", "ocr": "255,165,0", "forbidden": "135,206,250", "answer": "0,255,0", "attack": "255,0,0"}
+
+
+def debug_rects(keys: list[Column], kinds: dict[str, Column]) -> list[Column]:
+    """Columns of ``select``: a row for each box of each kind, with its colour, instead of a drawing (K04). ``kinds``: arrays of boxes; those of the attack are enlarged by a tenth and three tenths."""
+    whole = lambda v: F.greatest(F.lit(1), F.rint(v).cast("int"))
+
+    def enlarged(r: Column) -> Column:
+        x, y = whole((r["x1"] - r["x0"]) * F.lit(0.1)), whole((r["y1"] - r["y0"]) * F.lit(0.3))
+        return rect(r["x0"] - x, r["y0"] - y, r["x1"] + x, r["y1"] + y)
+
+    rows = [F.transform(F.filter(rects, valid), lambda r, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lit(DEBUG_COLOURS[kind]).alias("colour"), (enlarged(r) if kind == "attack" else rect(*[r[c] for c in ("x0", "y0", "x1", "y1")])).alias("rect"))) for kind, rects in kinds.items()]
+    return [*keys, F.inline(F.concat(*rows))]
+
+
+def _staged(r: dict) -> tuple:
+    """The staged search of one image, in plain Python: masks are its data."""
+    w, h, avoid, distance = r["w"], r["h"], r["avoid"], float(r["distance"] or 0)
+
+    def region(x0: float, y0: float, x1: float, y1: float, tw: float, th: float) -> tuple[int, int, int, int]:
+        wide, high, aspect = x1 - x0, y1 - y0, th / tw
+        if wide <= 0 or abs(high / wide - aspect) <= 0.1:
+            return int(x0), int(y0), int(x1), int(y1)
+        sw, sh = (high / aspect, high) if aspect > high / wide else (wide, wide * aspect)
+        x, y = x0 + (wide - sw) / 2, y0 + (high - sh) / 2
+        return int(x), int(y), int(x + sw), int(y + sh)
+
+    meets = lambda a, b: a[0] < b["x1"] and b["x0"] < a[2] and a[1] < b["y1"] and b["y0"] < a[3]
+    gap = lambda a, b: math.hypot(max(0, b["x0"] - a[2], a[0] - b["x1"]), max(0, b["y0"] - a[3], a[1] - b["y1"]))
+    found = [tuple(r["preferred"][c] for c in ("x0", "y0", "x1", "y1"))] if r["preferred"] else []
+    first = r["position"] - 1 if r["position"] and 0 < r["position"] <= len(r["masks"]) else 0
+    for i in [first, *(i for i in range(len(r["masks"])) if i != first)] if len(r["masks"]) else []:
+        mask = np.asarray(r["masks"][i], bool).reshape(-1, r["cols"]).copy()
+        rows, cols = mask.shape
+        if avoid:
+            x0, y0, x1, y1 = mask_cells(avoid, w, h, rows, cols)
+            if mask[y0:y1, x0:x1].any():
+                continue
+        for f in r["forbidden"]:
+            x0, y0, x1, y1 = mask_cells(f, w, h, rows, cols)
+            mask[y0:y1, x0:x1] = False
+        x, y, a, b = wide_rectangle(mask)
+        if a > 0 and b > 0:
+            found.append((x / cols * w, y / rows * h, (x + a) / cols * w, (y + b) / rows * h))
+    stages = [distance, *([max(w, h) / 3] if avoid and 0 < distance and max(w, h) / 3 < distance else [])]
+    for k, least in enumerate(stages):
+        for place in found:
+            for tw, th in r["sizes"]:
+                own = region(*place, tw, th)
+                if not any(meets(own, f) for f in r["forbidden"]) and not (avoid and gap(own, avoid) < least):
+                    return (*own, f"stage {k + 1}")
+    right, bottom = min(w - 8, max(40, int(w * 0.35))), min(h - 8, max(28, int(h * 0.18)))
+    right, bottom = (right if right > 8 else min(w, 72)), (bottom if bottom > 8 else min(h, 40))
+    x0, y0, x1, y1 = region(8, 8, right, bottom, *r["sizes"][0])
+    x0, y0 = max(0, min(w - 1, x0)), max(0, min(h - 1, y0))
+    return x0, y0, max(x0 + 1, min(w, x1)), max(y0 + 1, min(h, y1)), "force_top_left"
+
+
+def staged_places(df: DataFrame) -> DataFrame:
+    """``df`` (w, h, cols, masks, position, preferred, forbidden, avoid, distance, sizes) with ``place`` (x0, y0, x1, y1, reason): the staged search.
+
+    Wanted is a text's region in the preferred rectangle, or in the largest wide rectangle of a mask, the one at ``position`` first, that meets no forbidden box and keeps the
+    distance from what is to be avoided; masks that meet that are left out. ``sizes`` are the text's sides (tw, th) in the fonts to try. A second stage asks for a third of the image's longer side
+    where that is less; at last the top left corner is forced. Images are independent rows.
+    """
+
+    @F.pandas_udf(f"{_RECT[:-1]},reason:string>")
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_staged(r) for r in rows.to_dict("records")], columns=["x0", "y0", "x1", "y1", "reason"])
+
+    own = ["w", "h", "cols", "masks", "position", "preferred", "forbidden", "avoid", "distance", "sizes"]
+    return df.withColumn("place", search(F.struct(*own)))
