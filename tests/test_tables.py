@@ -45,8 +45,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query()
     (tmp_path / "in/b.jsonl").write_text('{"sample_idx": 2, "responses": ["y"]}\n')
     query()
-    last = sorted((tmp_path / "out").iterdir())[-1]
-    assert sorted((r.sample_idx, r.responses[-1]) for r in spark.read.parquet(str(last)).collect()) == [(1, "x"), (2, "y")]
+    assert sorted((r.sample_idx, r.responses[-1]) for r in stream.latest_table(spark, str(tmp_path / "out")).collect()) == [(1, "x"), (2, "y")]
 
 
 def test_json_forms(spark, tmp_path):

@@ -16,7 +16,7 @@ from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, g
 from veritab.functions.masks import cells as mask_cells
 from veritab.functions.masks import wide_rectangle
 from veritab.functions.textnorm import hash_unit, seed_of
-from veritab.operators.sampling import BUCKET_ORDER, bucket_members, from_bucket, tertile_cuts
+from veritab.operators.sampling import BUCKET_ORDER, bucket_members, tertile_cuts
 
 #: Cells a side, tries inside a cell, how much a font shrinks when nothing fits, and the least font of a forced text.
 GRID, CELL_TRIES, SHRINK, LEAST_PX = 11, 20, 2, 8
@@ -73,7 +73,7 @@ def _scaled(side: str, px: Column) -> Column:
     return F.ceil(F.col(side) * px / F.col("px")).cast("int")
 
 
-def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: bool = True) -> DataFrame:
+def placed_by_distance(df: DataFrame, bucket: str | Column, n: int = GRID, within_cell: bool = True) -> DataFrame:
     """``df`` (w, h, tw, th, px, min_px, margin, forbidden, answer_rect, seed) with ``placement`` (rect, code, distance, reason, used_px).
 
     tw and th hold at the font size px. Of the grid's cells but the answer's those count whose anchored text fits; where there are none the font
@@ -100,10 +100,12 @@ def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: b
     own = own.withColumn("_fit", F.aggregate(sizes, F.lit(None).cast(_FIT), smaller))
     own = own.withColumn("_free", F.coalesce(F.col("_fit.free"), F.array().cast(_FIT[_FIT.index("array") : -1])))
     own = own.withColumn("_cuts", tertile_cuts(F.transform("_free", lambda c: c["value"])))
-    chosen = from_bucket(F.col("_free"), F.col("_cuts"), bucket)
-    had = F.coalesce(*[F.when(F.size(bucket_members(F.col("_free"), F.col("_cuts"), b)) > 0, F.lit(b)) for b in BUCKET_ORDER[bucket]])
-    own = own.withColumn("_best", F.array_min(F.transform(chosen, lambda c: F.struct(F.md5(F.concat_ws("-", F.col("seed").cast("string"), c["code"])).alias("k"), c.alias("c"))))["c"])
-    own = own.withColumn("_reason", F.when(F.col("_best").isNotNull(), had).otherwise("forced"))
+    own = own.withColumns({f"_{b}": bucket_members(F.col("_free"), F.col("_cuts"), b) for b in BUCKET_ORDER})
+    wanted = F.lit(bucket) if isinstance(bucket, str) else bucket
+    first = lambda order: F.coalesce(*[F.when(F.size(f"_{b}") > 0, F.struct(F.lit(b).alias("name"), F.col(f"_{b}").alias("cells"))) for b in order])
+    own = own.withColumn("_chosen", F.coalesce(*[F.when(wanted == b, first(order)) for b, order in BUCKET_ORDER.items()]))
+    best = F.array_min(F.transform("_chosen.cells", lambda c: F.struct(F.md5(F.concat_ws("-", F.col("seed").cast("string"), c["code"])).alias("k"), c.alias("c"))))["c"]
+    own = own.withColumn("_best", best).withColumn("_reason", F.when(F.col("_best").isNotNull(), F.col("_chosen.name")).otherwise("forced"))
     own = own.withColumn("_px", F.when(F.col("_best").isNotNull(), F.col("_fit.px")).otherwise(F.greatest("min_px", F.lit(LEAST_PX))))
     own = own.withColumn("_tw", _scaled("tw", F.col("_px"))).withColumn("_th", _scaled("th", F.col("_px")))
 
@@ -121,23 +123,21 @@ def placed_by_distance(df: DataFrame, bucket: str, n: int = GRID, within_cell: b
         F.col("_spot").alias("rect"), F.coalesce(F.col("_best.code"), F.lit("TL")).alias("code"), corner_distance(F.col("_spot"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"),
         F.col("_reason").alias("reason"), F.col("_px").alias("used_px"),
     )
-    return own.withColumn("placement", placement).drop("_cells", "_home", "_fit", "_free", "_cuts", "_best", "_px", "_tw", "_th", "_spot", "_reason")
+    return own.withColumn("placement", placement).drop("_cells", "_home", "_fit", "_free", "_cuts", *[f"_{b}" for b in BUCKET_ORDER], "_chosen", "_best", "_px", "_tw", "_th", "_spot", "_reason")
 
 
 def placed(df: DataFrame, mode: Column) -> DataFrame:
     """``df`` (as above, with max_retry) with ``placement`` by mode: ``random``, with max_retry places and no smaller font, or a distance bucket; an unknown mode is an error."""
-    near, mid, far = (placed_by_distance(df.where(mode == b), b) for b in ("near", "mid", "far"))
+    known = F.when(mode.isin(*BUCKET_ORDER, "random"), mode).otherwise(F.raise_error(F.concat(F.lit("unknown placement mode "), F.coalesce(mode, F.lit("")))).cast("string"))
+    df = df.withColumn("_mode", known)
+    by_distance = placed_by_distance(df.where("_mode <> 'random'"), F.col("_mode"))
     anywhere = placed_anywhere(F.col("w"), F.col("h"), F.col("tw"), F.col("th"), F.col("margin"), F.col("forbidden"), F.col("seed"), F.col("max_retry"))
-    loose = df.where(mode == "random").withColumn("_p", anywhere)
-    loose = loose.withColumn(
-        "placement",
-        F.struct(
-            F.col("_p.rect").alias("rect"), F.lit("random").alias("code"), corner_distance(F.col("_p.rect"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"), F.when(F.col("_p.forced"), "forced").otherwise("random").alias("reason"), F.col("px").alias("used_px")
-        ),
-    ).drop("_p")
-    known = mode.isin("near", "mid", "far", "random")
-    other = df.where(~F.coalesce(known, F.lit(False))).withColumn("placement", F.when(F.lit(True), F.raise_error(F.lit("unknown placement mode"))).cast(near.schema["placement"].dataType))
-    return near.unionByName(mid).unionByName(far).unionByName(loose).unionByName(other)
+    loose = df.where("_mode = 'random'").withColumn("_p", anywhere)
+    placement = F.struct(
+        F.col("_p.rect").alias("rect"), F.lit("random").alias("code"), corner_distance(F.col("_p.rect"), F.col("answer_rect"), F.col("w"), F.col("h")).alias("distance"),
+        F.when(F.col("_p.forced"), "forced").otherwise("random").alias("reason"), F.col("px").alias("used_px"),
+    )
+    return by_distance.unionByName(loose.withColumn("placement", placement).drop("_p")).drop("_mode")
 
 
 def patterned(df: DataFrame) -> DataFrame:
@@ -161,7 +161,11 @@ def debug_rects(keys: list[Column], kinds: dict[str, Column]) -> list[Column]:
         x, y = whole((r["x1"] - r["x0"]) * F.lit(0.1)), whole((r["y1"] - r["y0"]) * F.lit(0.3))
         return rect(r["x0"] - x, r["y0"] - y, r["x1"] + x, r["y1"] + y)
 
-    rows = [F.transform(F.filter(rects, valid), lambda r, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lit(DEBUG_COLOURS[kind]).alias("colour"), (enlarged(r) if kind == "attack" else rect(*[r[c] for c in ("x0", "y0", "x1", "y1")])).alias("rect"))) for kind, rects in kinds.items()]
+    def shown(kind: str, rects: Column) -> Column:
+        box = (lambda r: enlarged(r)) if kind == "attack" else (lambda r: rect(*[r[c] for c in ("x0", "y0", "x1", "y1")]))
+        return F.transform(F.filter(rects, valid), lambda r: F.struct(F.lit(kind).alias("kind"), F.lit(DEBUG_COLOURS[kind]).alias("colour"), box(r).alias("rect")))
+
+    rows = [shown(kind, rects) for kind, rects in kinds.items()]
     return [*keys, F.inline(F.concat(*rows))]
 
 

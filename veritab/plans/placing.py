@@ -204,17 +204,59 @@ def ground_answer_all(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("doc_id", "part", "match.why", F.round("match.score", 6).alias("score"), "match.rect.*")
 
 
+_FONTS, _FILLS, _PALETTE = ("fixed", "uniform_step", "uniform", "midpoint"), ("fixed", "palette", "auto"), ((255, 0, 0), (0, 128, 0), (0, 0, 255), (255, 255, 0))
+
+
 def _images(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten boxes of parts are an image's; its number chooses the rules of font, colour and place."""
     b = _boxes(spark, sf).groupBy(F.floor(F.col("p_partkey") / 10).alias("image")).agg(F.array_sort(F.collect_list("r")).alias("forbidden"))
-    fixed = {"w": 640, "h": 480, "tw": 60, "th": 20, "px": 28, "min_px": 14, "max_retry": 200, "margin": 8}
-    return b.select("image", *[F.lit(v).alias(k) for k, v in fixed.items()], "forbidden", F.col("forbidden")[0].alias("answer_rect"), placement.pattern_seed(F.col("image").cast("string"), F.lit("val"), F.lit("p"), F.lit("r")).alias("seed"))
+    fixed = {"w": 640, "h": 480, "font_low": 20, "font_high": 29, "font_step": 3, "unit_w": 2.1, "unit_h": 0.7, "min_px": 14, "max_retry": 200, "margin": 8}
+    chosen = lambda options, by: F.element_at(F.array(*map(F.lit, options)), (by % len(options) + 1).cast("int"))
+    image, colour = F.col("image"), lambda c: F.array(*map(F.lit, c))
+    rules = {"mode": chosen(("near", "mid", "far", "random"), image), "font_rule": chosen(_FONTS, F.floor(image / 4)), "fill_rule": chosen(_FILLS, image), "fill": colour((1, 2, 3)), "palette": F.array(*map(colour, _PALETTE)), "luminance": image * 37 % 256}
+    seed = placement.pattern_seed(image.cast("string"), F.lit("val"), F.lit("p"), F.lit("r"))
+    return b.select("image", *[F.lit(v).alias(k) for k, v in fixed.items()], "forbidden", F.col("forbidden")[0].alias("answer_rect"), seed.alias("seed"), *[c.alias(k) for k, c in rules.items()])
+
+
+_UNIT = lambda *parts: f"(CAST(('0x' || substring(md5(concat_ws('-', {', '.join(parts)})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+_FAR = lambda a: _corner_sql().replace("a.", f"{a}.").replace("b.", "i.")
+_FREE = lambda a: f"{a}.x0 >= 8 AND {a}.y0 >= 8 AND {a}.x1 <= 632 AND {a}.y1 <= 472 AND NOT EXISTS (SELECT 1 FROM f WHERE f.image = {a}.image AND {a}.x0 < f.x1 AND f.x0 < {a}.x1 AND {a}.y0 < f.y1 AND f.y0 < {a}.y1)"
+_PLACEMENTS = (
+    _BOX
+    + f""", f AS MATERIALIZED (SELECT p_partkey // 10 AS image, x0, y0, x1, y1 FROM p),
+o AS (SELECT *, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM f QUALIFY row_number() OVER (PARTITION BY image ORDER BY x0, y0, x1, y1) = 1),
+d AS (SELECT *, CAST(('0x' || substring(md5(concat_ws('__', CAST(image AS VARCHAR), 'val', 'p', 'r')), 9, 8)) AS BIGINT) & 2147483647 AS seed, list_extract(['near', 'mid', 'far', 'random'], 1 + image % 4) AS mode FROM o),
+i AS MATERIALIZED (SELECT *, CASE (image // 4) % 4 WHEN 0 THEN 20 WHEN 1 THEN 20 + CAST(floor({_UNIT("seed", "'font'")} * 4) AS INTEGER) * 3 WHEN 2 THEN 20 + CAST(floor({_UNIT("seed", "'font'")} * 10) AS INTEGER) ELSE 24 END AS px,
+  CASE image % 3 WHEN 0 THEN '1,2,3' WHEN 1 THEN list_extract(['255,0,0', '0,128,0', '0,0,255', '255,255,0'], 1 + CAST(floor({_UNIT("seed", "'fill'")} * 4) AS INTEGER)) ELSE CASE WHEN image * 37 % 256 < 128 THEN '255,255,255' ELSE '0,0,0' END END AS colour FROM d),
+z AS MATERIALIZED (SELECT image, px AS full_px, u AS px, CAST(ceil(ceil(2.1::DOUBLE * px) * u / px) AS INTEGER) AS tw, CAST(ceil(ceil(0.7::DOUBLE * px) * u / px) AS INTEGER) AS th FROM i, unnest(range(0, 8)) k(k), unnest([px - 2 * k]) v(u) WHERE u >= 14 AND mode <> 'random'),
+g AS (SELECT k % 11 AS gx, k // 11 AS gy, 8 + 56 * (k % 11) AS cx0, 8 + 42 * (k // 11) AS cy0 FROM unnest(range(0, 121)) t(k)),
+c AS (SELECT z.*, gx || '-' || gy AS code, cx0, cy0, least(cx0 + 2, greatest(cx0, cx0 + 56 - tw)) AS x0, least(cy0 + 2, greatest(cy0, cy0 + 42 - th)) AS y0 FROM z CROSS JOIN g JOIN i ON i.image = z.image WHERE NOT (i.cx >= cx0 AND i.cx < cx0 + 56 AND i.cy >= cy0 AND i.cy < cy0 + 42)),
+e AS MATERIALIZED (SELECT *, x0 + tw AS x1, y0 + th AS y1 FROM c),
+free AS MATERIALIZED (SELECT e.*, i.mode, i.seed, {_FAR("e")} AS far FROM e JOIN i ON i.image = e.image WHERE {_FREE("e")} QUALIFY e.px = max(e.px) OVER (PARTITION BY e.image)),
+cuts AS (SELECT image, count(*) AS n, list(far ORDER BY far) AS v FROM free GROUP BY image),
+ends AS (SELECT image, v[1] AS low, v[1 + CAST(round_even((1 / 3.0::DOUBLE) * (n - 1), 0) AS INTEGER)] AS first, v[1 + CAST(round_even((2 / 3.0::DOUBLE) * (n - 1), 0) AS INTEGER)] AS second, v[n] AS high FROM cuts),
+m AS (SELECT free.*, b, CASE mode WHEN 'far' THEN list_position(['far', 'mid', 'near'], b) WHEN 'mid' THEN list_position(['mid', 'far', 'near'], b) ELSE list_position(['near', 'mid', 'far'], b) END AS pref FROM free JOIN ends USING (image), unnest(['near', 'mid', 'far']) t(b)
+  WHERE (b = 'near' AND far BETWEEN low AND first) OR (b = 'mid' AND far BETWEEN first AND second) OR (b = 'far' AND far BETWEEN second AND high)),
+best AS MATERIALIZED (SELECT * FROM (SELECT * FROM m QUALIFY pref = min(pref) OVER (PARTITION BY image)) QUALIFY row_number() OVER (PARTITION BY image ORDER BY md5(concat_ws('-', seed, code))) = 1),
+t AS (SELECT best.* EXCLUDE (x0, y0, x1, y1), k, cx0 + CAST(floor({_UNIT("seed", "'cell x'", "code", "k")} * (greatest(0, 56 - tw) + 1)) AS INTEGER) AS x0, cy0 + CAST(floor({_UNIT("seed", "'cell y'", "code", "k")} * (greatest(0, 42 - th) + 1)) AS INTEGER) AS y0 FROM best, unnest(range(1, 21)) s(k)),
+t2 AS (SELECT *, x0 + tw AS x1, y0 + th AS y1 FROM t),
+spot AS (SELECT * FROM t2 WHERE {_FREE("t2")} QUALIFY row_number() OVER (PARTITION BY image ORDER BY k) = 1),
+by_cell AS (SELECT best.image, best.code, best.b AS reason, best.px, coalesce(spot.x0, best.x0) AS x0, coalesce(spot.y0, best.y0) AS y0, coalesce(spot.x1, best.x1) AS x1, coalesce(spot.y1, best.y1) AS y1 FROM best LEFT JOIN spot ON spot.image = best.image),
+lost AS (SELECT image, 'TL' AS code, 'forced' AS reason, 14 AS px, 8 AS x0, 8 AS y0, 8 + CAST(ceil(ceil(2.1::DOUBLE * px) * 14 / px) AS INTEGER) AS x1, 8 + CAST(ceil(ceil(0.7::DOUBLE * px) * 14 / px) AS INTEGER) AS y1 FROM i WHERE mode <> 'random' AND image NOT IN (SELECT image FROM best)),
+w AS (SELECT image, seed, px, CAST(ceil(2.1::DOUBLE * px) AS INTEGER) AS tw, CAST(ceil(0.7::DOUBLE * px) AS INTEGER) AS th FROM i WHERE mode = 'random'),
+rnd AS (SELECT w.*, k, 8 + CAST(floor({_UNIT("seed", "'x'", "k")} * greatest(1, 640 - 16 - tw + 1)) AS INTEGER) AS x0, 8 + CAST(floor({_UNIT("seed", "'y'", "k")} * greatest(1, 480 - 16 - th + 1)) AS INTEGER) AS y0 FROM w, unnest(range(1, 201)) s(k)),
+r2 AS (SELECT *, x0 + tw AS x1, y0 + th AS y1 FROM rnd), hit AS (SELECT * FROM r2 WHERE {_FREE("r2")} QUALIFY row_number() OVER (PARTITION BY image ORDER BY k) = 1),
+loose AS (SELECT w.image, 'random' AS code, CASE WHEN hit.x0 IS NULL THEN 'forced' ELSE 'random' END AS reason, w.px, coalesce(hit.x0, 8) AS x0, coalesce(hit.y0, 8) AS y0, coalesce(hit.x1, 8 + w.tw) AS x1, coalesce(hit.y1, 8 + w.th) AS y1 FROM w LEFT JOIN hit ON hit.image = w.image),
+u AS (SELECT * FROM by_cell UNION ALL SELECT * FROM lost UNION ALL SELECT * FROM loose)
+SELECT u.image, i.mode, u.code, u.reason, round({_FAR("u")}, 9) AS distance, CAST(u.px AS INTEGER) AS used_px, i.colour, CAST(u.x0 AS INTEGER) AS x0, CAST(u.y0 AS INTEGER) AS y0, CAST(u.x1 AS INTEGER) AS x1, CAST(u.y1 AS INTEGER) AS y1 FROM u JOIN i ON i.image = u.image"""
+)
 
 
-@R.query()
+@R.query(_PLACEMENTS)
 def placements(spark: SparkSession, sf: str) -> DataFrame:
-    """A text's place by distance from the answer, or anywhere. Tests check its invariants."""
-    i = _images(spark, sf).withColumn("mode", F.element_at(F.array(*map(F.lit, ["near", "mid", "far", "random"])), (F.col("image") % 4 + 1).cast("int")))
-    return placement.placed(i, F.col("mode")).select("image", "mode", "placement.code", "placement.reason", F.round("placement.distance", 9).alias("distance"), "placement.used_px", "placement.rect.*")
+    """A text's font, colour and place, by distance from the answer or anywhere."""
+    p = placement.patterned(dealt(_images(spark, sf)))
+    return p.select("image", "mode", "placement.code", "placement.reason", F.round("placement.distance", 9).alias("distance"), "placement.used_px", F.array_join("colour", ",").alias("colour"), "placement.rect.*")
 
 
 @R.query(

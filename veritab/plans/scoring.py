@@ -255,7 +255,10 @@ def token_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return a.crossJoin(b).select("x", "y", F.levenshtein("x", "y").alias("distance"), F.round(textnorm.token_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
-@R.query()
+@R.query(
+    """WITH n AS (SELECT DISTINCT p_name AS x FROM part), t AS (SELECT DISTINCT lower(p_type) AS y FROM part), s AS (SELECT x, i, m, substring(x, i, m) AS part FROM n, unnest(range(1, length(x) + 1)) a(i), unnest(range(1, length(x) - i + 2)) b(m))
+SELECT n.x, y, CAST(coalesce(max(m), 0) AS INTEGER) AS length FROM n CROSS JOIN t LEFT JOIN s ON s.x = n.x AND contains(y, part) GROUP BY n.x, y"""
+)
 def longest_common_substring(spark: SparkSession, sf: str) -> DataFrame:
     """Names against types."""
     p = read(spark, sf, "part")

@@ -47,7 +47,7 @@ def dealt(df: DataFrame) -> DataFrame:
 
 def partitioned(spark: SparkSession, pattern: str, depth: int = 2, names: tuple[str, ...] = ("split", "kind")) -> DataFrame:
     """All tables that a pattern of folders matches, with the folders' names as columns."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(pattern).withColumn("_parts", F.split(F.input_file_name(), "/"))
+    df = spark.read.option("recursiveFileLookup", "true").parquet(pattern).withColumn("_parts", F.split(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "/"))
     for i, n in enumerate(reversed(names)):
         df = df.withColumn(n, F.element_at("_parts", F.lit(-2 - i)))
     return df.drop("_parts")
