@@ -216,7 +216,7 @@ def staged_places(df: DataFrame) -> DataFrame:
     """``df`` (w, h, cols, masks, position, preferred, forbidden, avoid, distance, sizes) with ``place`` (x0, y0, x1, y1, reason): the staged search.
 
     Wanted is a text's region in the preferred rectangle, or in the largest wide rectangle of a mask, the one at ``position`` first, that meets no forbidden box and keeps the
-    distance from what is to be avoided; masks that meet that are left out. ``sizes`` are the text's sides (tw, th) in the fonts to try. A second stage asks for a third of the image's longer side
+    distance from what is to be avoided; masks that meet that are left out. ``sizes`` are arrays of the text's width and height in each font to try. A second stage asks for a third of the image's longer side
     where that is less; at last the top left corner is forced. Images are independent rows.
     """
 
