@@ -53,7 +53,7 @@ def true_label(scores: DataFrame, truth: DataFrame, closed: DataFrame, key: str,
     if compat:
         tiers, has = tiers.limit(0), has.limit(0)
     inside = scores.select("label").distinct() if root is None else under_root(scores.select("label").distinct(), closed, root)
-    known = scores.join(tiers, [key, "label"], "left").join(F.broadcast(inside.withColumn("inside", F.lit(True))), "label", "left").join(has, key, "left")
+    known = scores.join(tiers, [key, "label"], "left").join(inside.withColumn("inside", F.lit(True)), "label", "left").join(has, key, "left")
     tier = F.coalesce("tier", F.when(F.col("inside"), 3).otherwise(4))
     ranked = known.groupBy(key).agg(F.min(F.when(F.col("score").isNotNull(), F.struct(tier.alias("tier"), (-F.col("score")).alias("far"), "label"))).alias("b"), F.max(F.coalesce("has_truth", F.lit(False))).alias("has_truth"))
     empty, other = ("fallback_gt_empty", "fallback_any") if compat else ("fallback_any", "fallback_gt_empty")

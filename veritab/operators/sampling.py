@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.textnorm import hash_unit
+from veritab.operators.checkpoints import cut
 
 
 def rank_hash(seed: int | str, *keys: Column) -> Column:
@@ -116,19 +117,35 @@ def distractor_pools(vocabulary: DataFrame, closed: DataFrame, descendants: Data
     return known.select("y_true").join(pairs.groupBy("y_true").agg(pool(hard).alias("hard"), pool(medium).alias("medium"), pool(easy).alias("easy"), pool(F.lit(True)).alias("base")), "y_true", "left")
 
 
+#: Pools of so many labels altogether, at most, are broadcast.
+MOST_BROADCAST = 2_000_000
+
+
 def distractors(questions: DataFrame, pools: DataFrame, key: str, seed: int = 42, excluded: str | None = None) -> DataFrame:
     """``questions`` (key, y_true, and perhaps an array of labels to exclude) with hard, medium and easy: distinct labels, each from the first of its pools that still has one.
 
-    Hard falls back to medium, medium to easy, and all to any label left. Pools come as arrays by a join on the true label; no row a candidate.
+    Hard falls back to medium, medium to easy, and all to any label left. Pools come as arrays by a join on the true label, which is broadcast only where it is measured to be small; no
+    row a candidate. A question's candidates are hashed and ordered once; each pick is the first of its pool in that order.
     """
-    empty = F.array().cast("array<string>")
-    joined = questions.join(F.broadcast(pools.withColumnsRenamed({p: f"_{p}" for p in ("hard", "medium", "easy", "base")})), "y_true", "left")
-    shut = F.coalesce(F.col(excluded), empty) if excluded else empty
-    taken: list[Column] = []
-    out = joined
-    for name, order in (("hard", ["hard", "medium", "base"]), ("medium", ["medium", "easy", "base"]), ("easy", ["easy", "base"])):
-        no = F.array_union(shut, F.array(*taken)) if taken else shut
-        tries = [picked(F.array_except(F.coalesce(F.col(f"_{p}"), empty), no), seed, F.col(key)) for p in order]
-        out = out.withColumn(name, F.coalesce(*tries, F.col("y_true")))
-        taken.append(F.col(name))
-    return out.drop(*[f"_{p}" for p in ("hard", "medium", "easy", "base")])
+    flag = lambda pool: lambda x: F.coalesce(F.array_contains(pool, x), F.lit(False))
+    flagged = F.transform("base", lambda x: F.struct(x.alias("x"), *[flag(p)(x).alias(p) for p in ("hard", "medium", "easy")]))
+    candidates = pools.select(F.col("y_true").alias("_y"), flagged.alias("_base"))
+    candidates = cut(candidates)
+    small = (candidates.agg(F.sum(F.size("_base"))).first()[0] or 0) <= MOST_BROADCAST
+    joined = questions.join(F.broadcast(candidates) if small else candidates, F.col("y_true") == F.col("_y"), "left").drop("_y")
+    allowed = F.filter("_base", lambda b: ~F.coalesce(F.array_contains(excluded, b["x"]), F.lit(False))) if excluded else F.col("_base")
+    ranked = F.array_sort(F.transform(allowed, lambda b: F.struct(rank_hash(seed, F.col(key), b["x"]).alias("h"), *[b[f].alias(f) for f in ("x", "hard", "medium", "easy")])))
+    out = joined.withColumn("_ranked", ranked)
+    first = lambda test: F.try_element_at(F.filter("_ranked", test), F.lit(1))["x"]
+    taken: list[str] = []
+    for name, order in (("hard", ["hard", "medium"]), ("medium", ["medium", "easy"]), ("easy", ["easy"])):
+        free = lambda b, own=tuple(taken): reduce(lambda ok, t: ok & ~b["x"].eqNullSafe(F.col(t)), own, F.lit(True))
+        tries = [first(_both(p, free)) for p in order]
+        out = out.withColumn(name, F.coalesce(*tries, first(_both(None, free)), F.col("y_true")))
+        taken.append(name)
+    return out.drop("_base", "_ranked")
+
+
+def _both(pool: str | None, free):
+    """A test of a candidate: in a pool, or in any, and free."""
+    return lambda b: (b[pool] & free(b)) if pool else free(b)

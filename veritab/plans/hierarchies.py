@@ -10,6 +10,7 @@ from veritab.operators import hierarchy as H
 from veritab.operators import labels as L
 from veritab.operators import sampling as S
 from veritab.plans.tables import Registry, read
+from veritab.sources.readers import dealt
 
 R = Registry()
 
@@ -87,7 +88,7 @@ scores AS (SELECT DISTINCT o, label, CAST(('0x' || substring(md5(concat_ws('-',
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     parts = read(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return dealt(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def _label() -> Column:
@@ -197,7 +198,7 @@ SELECT b.o, b.y AS y_true, b.hard, b.medium, arg_min(x, (CASE WHEN e AND NOT m A
 def sample_negatives_md5(spark: SparkSession, sf: str) -> DataFrame:
     """A hard, a medium and an easy distractor for every order."""
     vocabulary = read(spark, sf, "part").agg(F.array_sort(F.collect_set("p_name")).alias("v"))
-    q = read(spark, sf, "orders").select(F.col("o_orderkey").alias("o")).crossJoin(F.broadcast(vocabulary))
+    q = dealt(read(spark, sf, "orders").select(F.col("o_orderkey").alias("o"))).crossJoin(F.broadcast(vocabulary))
     q = q.select("o", F.element_at("v", (F.col("o") % F.size("v") + 1).cast("int")).alias("y_true"))
     return S.distractors(q, _pools(spark, sf), "o").select("o", "y_true", "hard", "medium", "easy")
 
