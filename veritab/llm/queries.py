@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import best_fit_packing, budget_mix, feistel_pseudonyms, multi_index, oracles, parity_join, positive_unlabelled, suffix_dedup, threshold_topk, tree_dedup, uniform_shards
+from veritab.sources.readers import dealt
 
 #: The key of the registered queries where none is set: public, so whoever reads this can invert their pseudonyms.
 DEMONSTRATION_KEY = "veritab pseudonyms, version 1"
@@ -28,7 +29,7 @@ def pseudonym_key(spark: SparkSession) -> bytes:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
