@@ -28,9 +28,27 @@ def brute_bytes(rows, length):
     return out
 
 
-def test_removed_substrings_equal_brute_force(spark):
-    rows = list(enumerate(texts()))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_substrings(documents(spark)).collect()}
+#: All grams that recur are hot, some are, none are.
+HEAT = [{"hot_runs": 0, "told_runs": 0}, {"hot_runs": 3, "told_runs": 1}, {}]
+
+
+def rims(n=60):
+    """Boilerplate with another context in each document, and repeats of it at other places."""
+    line = "This line of boilerplate stands in every one of the documents of this table, word for word, and ends here, after twenty words."
+    return [(k, f"{k * 7919} begins {line} and then {k * 104729} goes on" + (f" {line} {line}" if k % 7 == 0 else "")) for k in range(n)]
+
+
+@pytest.mark.parametrize("heat", HEAT)
+def test_removed_substrings_equal_brute_force(spark, heat):
+    rows = list(enumerate(texts())) + [(100 + k, t) for k, t in rims()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_substrings(documents(spark, rows), **heat).collect()}
+    assert got == brute_bytes(rows, 50)
+
+
+def test_removed_substrings_of_all_documents(spark, tables):
+    """Over the whole smallest table, and over several shards a partition."""
+    rows = [(r.doc_id, r.text) for r in tables("documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_substrings(tables("documents").repartition(5)).collect()}
     assert got == brute_bytes(rows, 50)
 
 
@@ -83,9 +101,11 @@ def brute_words(rows, length):
     return out
 
 
-def test_removed_passages_equal_brute_force(spark):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in tree_dedup.removed_passages(documents(spark)).collect()}
-    assert got == brute_words(list(enumerate(texts())), 20)
+@pytest.mark.parametrize("heat", HEAT)
+def test_removed_passages_equal_brute_force(spark, heat):
+    rows = list(enumerate(texts())) + [(100 + k, t) for k, t in rims()]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in tree_dedup.removed_passages(documents(spark, rows), **heat).collect()}
+    assert got == brute_words(rows, 20)
     assert tree_dedup.removed_passages(documents(spark, [])).count() == 0
 
 

@@ -10,8 +10,10 @@ follows each other under one gram forms a *run* of windows. Four passes over the
    the earliest place of each; a run gets back a bit for each window that has an earlier equal.
 4. Each shard marks the windows of its runs and of their repeats, and reports its documents.
 
-Buckets grow in number with the corpus, so that memory does not grow. Gram hashes only choose candidates: a collision
-costs work, never a result. Repeats of whole runs within a shard are told by 64-bit hashes.
+Buckets grow in number with the corpus, so that memory does not grow. A gram under which very many different runs lie, as at
+the rim of boilerplate, would fill one bucket: its runs are cut into single windows, which go to buckets by the hash of the whole
+window. Gram hashes only choose candidates: a collision of two costs work, never a result. Runs and windows that are equal as a whole are
+told by 64-bit hashes of their symbols; symbols themselves are compared among different runs of a bucket.
 """
 
 from __future__ import annotations
@@ -33,12 +35,17 @@ LOW = np.uint64(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Windows:
-    """``length``: symbols of a window; ``gram``: of a gram; ``words``: symbols are words, else bytes; ``within``: repeats in one document count."""
+    """``length``: symbols of a window; ``gram``: of a gram; ``words``: symbols are words, else bytes; ``within``: repeats in one document count.
+
+    A gram with over ``hot_runs`` different runs is hot; a shard names those with over ``told_runs`` of its own, others count as one run a shard.
+    """
 
     length: int
     gram: int
     words: bool
     within: bool
+    hot_runs: int = 20_000
+    told_runs: int = 16
 
 
 @dataclass
@@ -119,37 +126,75 @@ def _bucket(gram: np.ndarray, n: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
+def _short(gram: np.ndarray, n: int) -> np.ndarray:
+    """What is exchanged of a gram: its bucket and its lower half."""
+    return _bucket(gram, n).astype(np.uint64) << np.uint64(32) | gram & LOW
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All integers of the ranges that begin at ``starts``, end to end."""
     before = np.cumsum(sizes) - sizes
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
+def by_windows(shard: Shard, found: Scan, hot: np.ndarray, w: Windows, n: int) -> tuple[Scan, np.ndarray]:
+    """The runs with those under hot grams cut into single windows, in the order of their places; and which ones are such."""
+    cut = np.isin(_short(found.gram, n), hot) if len(hot) else np.zeros(len(found.gram), bool)
+    if not cut.any():
+        return found, cut
+    some = np.flatnonzero(cut)
+    run = np.repeat(some, found.owned[some])
+    at = found.at[run] + ranges(np.zeros(len(some), np.int64), found.owned[some])
+    power, key = W.powers(w.length)[0][: w.length], np.empty(len(at), np.uint64)
+    for a in range(0, len(at), 1 << 14):
+        places = at[a : a + (1 << 14), None] + np.arange(w.length)
+        codes = found.codes[places] if w.words else W.CODES[shard.text[places]]
+        key[a : a + (1 << 14)] = W.mix((codes * power).sum(axis=1) ^ np.uint64(0x5851F42D4C957F2D))
+    parts = zip((found.at, found.owned, found.doc, found.key, found.gram), (at, np.ones(len(at), np.int64), found.doc[run], key, found.gram[run]), strict=True)
+    every = [np.concatenate([old[~cut], new]) for old, new in parts]
+    single = np.concatenate([np.zeros(int((~cut).sum()), bool), np.ones(len(at), bool)])
+    order = np.argsort(every[0], kind="stable")
+    return Scan(*[x[order] for x in every], found.bounds, found.first, found.last, found.codes), single[order]
+
+
 def _grams(pdf: pd.DataFrame, w: Windows, n: int) -> pd.DataFrame:
     rows = []
     for shard_id, payload in zip(pdf.shard_id, pdf.payload, strict=True):
-        values, counts = np.unique(scan(Shard.of(shard_id, payload), w).gram, return_counts=True)
+        found = scan(Shard.of(shard_id, payload), w)
+        values, counts = np.unique(found.gram, return_counts=True)
+        # Grams with many different runs: only those with as many runs at all can be such.
+        many = np.flatnonzero(np.isin(found.gram, values[counts > w.told_runs]))
+        named, runs = np.unique(found.gram[many[np.unique(found.key[many], return_index=True)[1]]], return_counts=True)
+        named, runs = named[runs > w.told_runs], runs[runs > w.told_runs]
+        of = _bucket(named, n)
         values = np.repeat(values, np.minimum(counts, 2))
         bucket = _bucket(values, n)
         low = (values & LOW).astype(np.uint32)
         for b in range(n) if n < 64 else np.unique(bucket):
             if len(own := low[bucket == b]):
-                rows.append((int(b), int(shard_id), np.sort(own).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "shard_id", "grams"])
+                rows.append((int(b), int(shard_id), np.sort(own).tobytes(), pack((named[of == b] & LOW).astype(np.uint32), runs[of == b]) if (of == b).any() else b""))
+    return pd.DataFrame(rows, columns=["bucket", "shard_id", "grams", "runs"])
 
 
-def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
+def _recurring(pdf: pd.DataFrame, w: Windows) -> pd.DataFrame:
+    """For each shard those of its grams that recur, and which of them are hot."""
     each = [np.frombuffer(x, np.uint32) for x in pdf.grams]
     every = np.sort(np.concatenate(each))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
+    told = [unpack(x) for x in pdf.runs if len(x)]
+    named, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in told]]), return_inverse=True)
+    runs = np.bincount(at, np.concatenate([np.zeros(0), *[x for _, x in told]]), len(named))
+    # A gram that any shard names is hot by the runs told and the places found elsewhere.
+    runs = runs + np.searchsorted(every, named, "right") - np.searchsorted(every, named)
+    hot = named[runs > w.hot_runs]
     rows = []
     for shard_id, own in zip(pdf.shard_id, each, strict=True):
         own = np.unique(own)
         at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
         own = own[shared[at] == own] if len(shared) else own[:0]
         if len(own):
-            rows.append((int(pdf.bucket.iloc[0]), int(shard_id), own.tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "shard_id", "grams"])
+            rows.append((int(pdf.bucket.iloc[0]), int(shard_id), own.tobytes(), own[np.isin(own, hot)].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "shard_id", "grams", "runs"])
 
 
 def _send(shards: pd.DataFrame, grams: pd.DataFrame, w: Windows, n: int, buckets: int) -> pd.DataFrame:
@@ -158,12 +203,15 @@ def _send(shards: pd.DataFrame, grams: pd.DataFrame, w: Windows, n: int, buckets
         if grams.empty:
             continue
         shard = Shard.of(shard_id, payload)
-        found = scan(shard, w, keep_codes=w.words)
-        shared = np.sort(np.concatenate([np.uint64(b) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(grams.bucket, grams.grams, strict=True)]))
-        own = _bucket(found.gram, n).astype(np.uint64) << np.uint64(32) | found.gram & LOW
+        whole = lambda column: np.sort(np.concatenate([np.uint64(b) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(grams.bucket, column, strict=True)]))
+        shared, hot = whole(grams.grams), whole(grams.runs)
+        found, single = by_windows(shard, scan(shard, w, keep_codes=w.words), hot, w, n)
+        if len(hot):
+            rows.append((-1 - int(shard_id), int(shard_id), hot.tobytes()))  # for the shard's own last pass
+        own = _short(found.gram, n)
         kept = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
         kept = np.sort(kept[np.unique(found.key[kept], return_index=True)[1]])
-        to = ((found.gram[kept] & LOW) % np.uint64(buckets)).astype(np.int64)
+        to = ((np.where(single, found.key, found.gram)[kept] & LOW) % np.uint64(buckets)).astype(np.int64)
         symbols = found.codes if w.words else shard.text
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -179,6 +227,8 @@ def _send(shards: pd.DataFrame, grams: pd.DataFrame, w: Windows, n: int, buckets
 
 def _resolve(pdf: pd.DataFrame, w: Windows, classes: Callable) -> pd.DataFrame:
     """``classes`` gives equal windows of the joined symbols equal numbers: ``classes(symbols, starts, owned, length)``."""
+    if pdf.bucket.iloc[0] < 0:
+        return pdf[["shard_id"]].assign(masks=None, hot=pdf.runs)
     metas, symbols, owns, known = [], [], [], np.zeros(0, np.uint64)
     for blob in pdf.runs:
         keys, ids, docs, at, owned, content, codes = unpack(blob)
@@ -225,9 +275,9 @@ def _resolve(pdf: pd.DataFrame, w: Windows, classes: Callable) -> pd.DataFrame:
     for shard_id, size in zip(pdf.shard_id, sizes, strict=True):
         some = begin + np.flatnonzero(masks[begin : begin + size])
         if len(some):
-            rows.append((int(shard_id), pack(keys[some], masks[some])))
+            rows.append((int(shard_id), pack(keys[some], masks[some]), None))
         begin += size
-    return pd.DataFrame(rows, columns=["shard_id", "masks"])
+    return pd.DataFrame(rows, columns=["shard_id", "masks", "hot"])
 
 
 def removed(shard: Shard, found: Scan, masks: list[bytes], w: Windows) -> np.ndarray:
@@ -273,12 +323,15 @@ def repeated(shards: DataFrame, n_symbols: int, w: Windows, classes: Callable, r
         out = []
         for shard_id, payload in zip(own.shard_id, own.payload, strict=True):
             shard = Shard.of(shard_id, payload)
-            found = scan(shard, w)
-            out.append(report(shard, found, removed(shard, found, list(masks.masks), w)))
+            hot = np.frombuffer(b"".join(masks.hot.dropna()), np.uint64)
+            found = scan(shard, w, keep_codes=w.words and len(hot) > 0)
+            split = by_windows(shard, found, hot, w, n)[0]
+            out.append(report(shard, found, removed(shard, split, list(masks.masks.dropna()), w)))
         return pd.concat(out) if out else report(None, None, None)
 
     flat = shards.select("shard_id", "payload")
-    known = flat.mapInPandas(note, "bucket long, shard_id long, grams binary").groupBy("bucket").applyInPandas(_recurring, "bucket long, shard_id long, grams binary")
+    schema_of_grams = "bucket long, shard_id long, grams binary, runs binary"
+    known = flat.mapInPandas(note, schema_of_grams).groupBy("bucket").applyInPandas(lambda pdf: _recurring(pdf, w), schema_of_grams)
     runs = flat.groupBy("shard_id").cogroup(known.groupBy("shard_id")).applyInPandas(lambda key, a, b: _send(a, b, w, n, buckets), "bucket long, shard_id long, runs binary")
-    masks = runs.groupBy("bucket").applyInPandas(lambda pdf: _resolve(pdf, w, classes), "shard_id long, masks binary")
+    masks = runs.groupBy("bucket").applyInPandas(lambda pdf: _resolve(pdf, w, classes), "shard_id long, masks binary, hot binary")
     return flat.groupBy("shard_id").cogroup(masks.groupBy("shard_id")).applyInPandas(mark, schema)

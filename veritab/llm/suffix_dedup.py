@@ -163,8 +163,8 @@ def _report(shard, found, gone) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
 
 
-def removed_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document: its bytes, how many are covered by a ``length``-byte string that a document with a smaller id also has, in how many spans, and the SHA-256 of the rest."""
-    w = Windows(length=length, gram=max(1, length // 2 - 1), words=False, within=False)
+def removed_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """Per document: its bytes, how many are covered by a ``length``-byte string that a document with a smaller id also has, in how many spans, and the SHA-256 of the rest. ``options``: fields of ``Windows``."""
+    w = Windows(length=length, gram=max(1, length // 2 - 1), words=False, within=False, **options)
     shards, total = staged(docs, id_col, text_col)
     return repeated(shards, total, w, classes, _report, SCHEMA, bucket_symbols=8 << 20)

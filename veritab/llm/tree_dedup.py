@@ -96,8 +96,8 @@ def _report(shard, found, gone) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
 
 
-def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document: its words, how many are covered by a ``length``-word window that also starts earlier, and the SHA-256 of the rest."""
-    w = Windows(length=length, gram=max(1, 2 * length // 5), words=True, within=True)
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """Per document: its words, how many are covered by a ``length``-word window that also starts earlier, and the SHA-256 of the rest. ``options``: fields of ``Windows``."""
+    w = Windows(length=length, gram=max(1, 2 * length // 5), words=True, within=True, **options)
     shards, total = staged(docs, id_col, text_col)
     return repeated(shards, total // 4, w, classes, _report, SCHEMA, bucket_symbols=2 << 20)
