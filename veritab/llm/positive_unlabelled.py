@@ -93,7 +93,7 @@ def non_negative_risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tupl
     return float(toxic), float(clean), up + down if clean >= 0 else -down
 
 
-def non_negative_fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def non_negative_fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1, ridge: float = 3e-6) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam over all examples. ``rows``, ``columns``: which example has which feature.
 
     A feature's weight is ``scale`` times what the ridge penalty holds small, so features of small scale have little weight.
