@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import best_fit_packing, budget_mix, feistel_pseudonyms, multi_index, oracles, parity_join, positive_unlabelled, suffix_dedup, threshold_topk, tree_dedup, uniform_shards
+from veritab.llm import (
+    best_fit_packing, budget_mix, centroid_clustering, feistel_pseudonyms, multi_index, oracles, parity_join, positive_unlabelled, prefix_targets, suffix_dedup, threshold_topk, tree_dedup, uniform_shards, vector_codes,
+)
 from veritab.sources.readers import dealt
 
 #: The key of the registered queries where none is set: public, so whoever reads this can invert their pseudonyms.
@@ -72,13 +74,32 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed(_read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefix_targets.read_back(prefix_targets.examples(turns.unionByName(prefix_targets.hostile(spark))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_threshold_topk, op3_uniform_shards, op4_parity_join, op5_budget_mix, op6_multi_index, op7_positive_unlabelled, op8_feistel_pseudonyms, op9_tree_dedup, op10_best_fit_packing)
-}
+    for f in (
+        op1_suffix_dedup, op2_threshold_topk, op3_uniform_shards, op4_parity_join, op5_budget_mix, op6_multi_index, op7_positive_unlabelled, op8_feistel_pseudonyms, op9_tree_dedup, op10_best_fit_packing,
+        op11_centroid_clustering, op12_vector_codes, op13_prefix_targets,
+    )
+}
 ORACLE_SQL = {
     "op2_threshold_topk": oracles.THRESHOLD_TOPK,
     "op4_parity_join": oracles.PARITY_JOIN,
     "op6_multi_index": oracles.MULTI_INDEX,
     "op9_tree_dedup": oracles.TREE_DEDUP,
+    "op11_centroid_clustering": oracles.CENTROID_CLUSTERING,
+    "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_prefix_targets": oracles.PREFIX_TARGETS,
 }
