@@ -30,13 +30,22 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that share an id are one document, of which the row that is first by text and then the other columns stays. Rows with a null id are in no group and all stay,
     and so do documents without words.
     """
+    kept_id, kept_rows, row = _unused(docs, "kept_id"), _unused(docs, "kept_rows"), _unused(docs, "row")
     kept = parity_join.linked_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    repeated = F.col("doc_id").isNotNull() & (F.col("kept_rows") > 1)
+    kept = kept.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(kept_rows))
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(kept_id))).drop(kept_id)
+    repeated = F.col("doc_id").isNotNull() & (F.col(kept_rows) > 1)
     rest = [c for c in docs.columns if c != "text"]
-    first = found.where(repeated).groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
-    return found.where(~repeated).select(*docs.columns).unionByName(first.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    first = found.where(repeated).groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias(row))
+    return found.where(~repeated).select(*docs.columns).unionByName(first.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column's name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
