@@ -38,12 +38,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def places(df: DataFrame, keys: list[str], order: list[Column], out: str, rows_per_block: int = 100_000) -> DataFrame:
-    """Gapless places from 0 within each group of ``keys``, in the order of ``order``, whose first column is a uniform 64-bit hash.
+def places(df: DataFrame, keys: list[str], order: list[Column], out: str, rows_per_block: int = 100_000, weight: str | None = None) -> DataFrame:
+    """Gapless places from 0 within each group of ``keys``, in the order of ``order``, whose first column is a uniform 64-bit hash. With ``weight``, a row takes as many places as that column says, and ``out`` is its first.
 
     A group may hold any share of the rows: those with more than ``rows_per_block`` are cut into blocks by the leading bits of the
     hash, rows are numbered within blocks, and blocks are shifted by the summed counts of those before. Such groups are at most one in
-    ``rows_per_block`` rows, and their blocks at most two, so both tables are broadcast.
+    ``rows_per_block`` rows, and their blocks at most two, so both tables are broadcast. Rows that share a hash share a block: equal rows should come counted, as one row with a weight.
     """
     from pyspark.sql import Window
 
@@ -53,9 +53,28 @@ def places(df: DataFrame, keys: list[str], order: list[Column], out: str, rows_p
     large = df.groupBy(*keys).count().where(F.col("count") > rows_per_block).select(*named, F.ceil(F.col("count") / rows_per_block).cast("long").alias("_blocks"))
     lead = F.shiftrightunsigned(order[0], 32)
     cut = df.join(F.broadcast(large), same, "left").drop(*drop).withColumn("_block", F.coalesce(F.floor(lead * F.col("_blocks") / F.lit(float(1 << 32))).cast("long"), F.lit(0)))
-    counts = cut.where("_blocks IS NOT NULL").groupBy(*keys, "_block").count()
+    taken = F.count("*") if weight is None else F.sum(weight)
+    counts = cut.where("_blocks IS NOT NULL").groupBy(*keys, "_block").agg(taken.alias("count"))
     before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select(*named, F.col("_block").alias("_b"), before.alias("_before"))
-    ranked = cut.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)).cast("long") - 1)
+    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    first = F.row_number().over(within).cast("long") - 1 if weight is None else F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = cut.withColumn("_place", first)
     placed = ranked.join(F.broadcast(shifts), [*same, F.col("_block") == F.col("_b")], "left")
     return placed.withColumn(out, F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_blocks", "_block", "_b", "_place", "_before", *drop)
+
+
+#: Equal rows are counted in so many parts, so that no task writes all copies of one.
+PARTS_OF_EQUALS = 64
+
+
+def counted(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
+    """Equal rows counted, each count in parts by where the rows lie: the parts differ with the partitions, what they add up to doesn't."""
+    part = F.pmod(F.monotonically_increasing_id().bitwiseXOR(F.spark_partition_id().cast("long")), F.lit(PARTS_OF_EQUALS))
+    return df.select(*keys, part.alias("_part")).groupBy(*keys, "_part").agg(F.count("*").alias(out)).drop("_part")
+
+
+def copies(df: DataFrame, many: str, chunk: int = 10_000) -> DataFrame:
+    """Each row as often as the column ``many`` says, which goes; numbers are made in chunks, never as one long array."""
+    chunks = df.where(F.col(many) > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1, F.lit(chunk).cast("long"))))
+    return chunks.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk).cast("long"), F.col(many) - F.col("_from"))))).drop("_from", many)

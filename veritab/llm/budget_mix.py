@@ -8,7 +8,8 @@ document's length of the target already. Then as many documents of each length a
 
 Defined results: of two sums that are equally near the lower is taken; a null text has size 0 and a null source is a source of its own, after the others. Targets use 150 % of
 all sizes by default; none is above twice its source's size. Documents of size 0 take nothing. Repeated rows are separate
-rows (equal ones may change places). Reruns agree. An empty table gives no rows.
+rows, counted while they are planned, so that a row repeated any number of times is planned as a few and written by several tasks. Reruns agree, whatever the partitions.
+Rows that share an id, a source and a size but not their text are ordered by content in one block. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.llm._session import attach, checkpointed, places
+from veritab.llm._session import attach, checkpointed, copies, counted, places
 
 WEIGHTS = (5, 2, 1)
 WINDOW = 40_000
@@ -119,31 +120,49 @@ def targets(histogram: DataFrame, share: float, most: float, weights: tuple[int,
     return rated.withColumn("level", level).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_block: int = 100_000, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target (its source's), taken (words the mix takes: 0, 1 or 2 times size)."""
-    sized = checkpointed(word_counts(docs, {"doc_id": docs[id_col].cast("long"), "source": docs[source_col].cast("string")}, text_col))
-    histogram = checkpointed(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+def _planned(sized: DataFrame, equals: list[str], first: Column, share: float, most: float, weights: tuple[int, ...], rows_per_block: int, window: int) -> DataFrame:
+    """Of rows counted by ``equals`` (doc_id, source, size and perhaps more): n, source_size, target, the passes that all of them get and ``extra``: how many of them get one more. ``first``: the seeded hash that orders rows of one length."""
+    rows = checkpointed(counted(sized, equals))
+    histogram = checkpointed(rows.groupBy("source", "size").agg(F.sum("n").alias("n")))
     goal = checkpointed(targets(histogram, share, most, weights))
     known = histogram.join(goal, histogram["source"].eqNullSafe(goal["source"])).select(histogram["source"], "size", "n", "source_size", "target")
     fitted = checkpointed(known.groupBy("source").applyInPandas(lambda pdf: _fit_source(pdf, window), "source string, size long, passes long, extra long"))
-    plan = fitted.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "passes", "extra", "source_size", "target")
-    ranked = places(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), ["source", "size"], [F.col("_h"), F.col("doc_id")], "_rank", rows_per_block)
+    plan = fitted.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "passes", F.col("extra").alias("_all"), "source_size", "target")
+    ranked = places(rows.withColumn("_h", first), ["source", "size"], [F.col("_h"), *[F.col(c) for c in equals]], "_rank", rows_per_block, "n")
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    taken = F.col("size") * (F.col("passes") + (F.col("_rank") < F.col("extra")).cast("long"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return joined.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("n", F.col("_all") - F.col("_rank")))).select(*equals, "n", "source_size", "target", "passes", "extra")
+
+
+def _seeded(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "size")
+
+
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_block: int = 100_000, window: int = WINDOW) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target (its source's), taken (words the mix takes: 0, 1 or 2 times size)."""
+    sized = word_counts(docs, {"doc_id": docs[id_col].cast("long"), "source": docs[source_col].cast("string")}, text_col)
+    planned = _planned(sized, ["doc_id", "source", "size"], _seeded(seed), share, most, weights, rows_per_block, window)
+    some = lambda passes, many: F.struct((F.col("size") * passes).alias("taken"), many.alias("many"))
+    split = planned.withColumn("_s", F.explode(F.array(some(F.col("passes") + 1, F.col("extra")), some(F.col("passes"), F.col("n") - F.col("extra")))))
+    return copies(split.select("doc_id", "source", "size", "source_size", "target", "_s.taken", F.col("_s.many").alias("_many")), "_many")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_block: int = 100_000, window: int = WINDOW) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it.
 
-    Rows with equal id, source and size share their passes evenly; they are equal to the mix.
+    Rows are told apart by a sha256 of all their columns, so which of several rows with one id the mix takes depends on
+    their content, never on their order or partitions; rows that are equal in all columns are the same to the mix.
     """
-    decided = mixed(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    times = decided.groupBy("doc_id", "source", "size").agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).alias("_times"), F.count("*").alias("_rows"))
-    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times", "_rows")
-    columns = docs.columns
-    sized = word_counts(docs, {f"c{i}": docs[c] for i, c in enumerate(columns)} | {"id_": docs[id_col].cast("long"), "source_": docs[source_col].cast("string")}, text_col)
-    joined = sized.join(times, F.col("id_").eqNullSafe(F.col("_id")) & F.col("source_").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    place = F.row_number().over(Window.partitionBy("id_", "source_", "size").orderBy("id_")) - 1
-    each = F.expr("_times div _rows") + (place < F.col("_times") % F.col("_rows")).cast("long")
-    return joined.withColumn("_n", each).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    # All columns travel as one: as separate aliases beside a hash of them all, the optimizer would try all sets of names in that hash.
+    whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    row = F.sha2(F.to_json(whole), 256)
+    sized = word_counts(docs, {"doc_id": docs[id_col].cast("long"), "source": docs[source_col].cast("string"), "row": row}, text_col)
+    first = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "row")).otherwise(_seeded(seed))
+    planned = _planned(sized, ["doc_id", "source", "size", "row"], first, share, most, weights, rows_per_block, window)
+    taken = planned.where("size > 0").groupBy("row").agg(F.sum(F.col("passes") * F.col("n") + F.col("extra")).alias("_times"), F.sum("n").alias("_rows"))
+    times = checkpointed(taken.where("_times > 0").select(F.col("row").alias("_row"), F.expr("_times div _rows").alias("_each"), (F.col("_times") % F.col("_rows")).alias("_rest")))
+    named = docs.select(whole.alias("_c"), row.alias("_key"))
+    each = copies(named.join(times.where("_each > 0"), F.col("_key") == F.col("_row")).select("_c", "_each"), "_each")
+    # Of equal rows that a length's last place divides, one stands for those that get a pass more: one group a source and length at most.
+    one = named.join(times.where("_rest > 0"), F.col("_key") == F.col("_row")).groupBy("_row").agg(F.first("_c").alias("_c"), F.first("_rest").alias("_rest"))
+    mix = each.unionByName(copies(one.select("_c", "_rest"), "_rest"))
+    return mix.select(*[F.col("_c")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
