@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.operators.hierarchy import depths, pseudo_leaves, under_root
+from veritab.operators.hierarchy import ancestry, pseudo_leaves
 
 #: The score from which a label counts, and the depth that is preferred.
 LEAST_SCORE, LEAST_DEPTH = 0.2, 3
@@ -42,20 +42,24 @@ def true_label(scores: DataFrame, truth: DataFrame, closed: DataFrame, key: str,
     """(key, y_true, score, reason) for each key of ``scores``.
 
     ``truth`` (key, label) is cut to what lies under the root and pruned to its leaves; its best-scored label counts, deep ones before
-    shallow. Without one, the best of all scores does, labels under the root first. All tiers go into one minimum a key.
+    shallow. Without one, the best of all scores does, labels under the root first. Rows with a null key and null labels don't count.
     ``compat``: the truth never matches, as where one side's keys are text (Q1), and the two fallback reasons change places (Q2).
     """
-    rooted = truth if root is None else under_root(truth, closed, root)
-    leaves = pseudo_leaves(rooted, closed, key)
-    deep = depths(leaves, closed)
-    tiers = leaves.join(deep, "label").select(key, "label", F.when(F.col("node_depth") >= least_depth, 1).otherwise(2).alias("tier"))
-    has = truth.select(key).distinct().withColumn("has_truth", F.lit(True))
+    known = ancestry(closed, root)
+    marked = known.marked(truth.select(key, "label"))
+    leaves = known.marked(pseudo_leaves(marked if root is None else marked.where("rooted"), closed, key, known=known))
     if compat:
-        tiers, has = tiers.limit(0), has.limit(0)
-    inside = scores.select("label").distinct() if root is None else under_root(scores.select("label").distinct(), closed, root)
-    known = scores.join(tiers, [key, "label"], "left").join(inside.withColumn("inside", F.lit(True)), "label", "left").join(has, key, "left")
-    tier = F.coalesce("tier", F.when(F.col("inside"), 3).otherwise(4))
-    ranked = known.groupBy(key).agg(F.min(F.when(F.col("score").isNotNull(), F.struct(tier.alias("tier"), (-F.col("score")).alias("far"), "label"))).alias("b"), F.max(F.coalesce("has_truth", F.lit(False))).alias("has_truth"))
+        leaves, truth = leaves.limit(0), truth.limit(0)
+    tier = F.when(F.col("node_depth") >= least_depth, 1).otherwise(2)
+    inside = F.lit(True) if root is None else F.col("rooted")
+    none = F.lit(None).cast("struct<label:string,score:double,inside:boolean>")
+    rows = known.marked(scores.select(key, "label", "score")).select(key, F.struct("label", F.col("score").cast("double").alias("score"), inside.alias("inside")).alias("scored"), F.lit(None).cast("struct<label:string,tier:int>").alias("leaf"), F.lit(False).alias("has_truth"))
+    rows = rows.unionByName(leaves.select(key, none.alias("scored"), F.struct("label", tier.alias("tier")).alias("leaf"), F.lit(True).alias("has_truth")))
+    rows = rows.unionByName(truth.select(key, none.alias("scored"), F.lit(None).cast("struct<label:string,tier:int>").alias("leaf"), F.lit(True).alias("has_truth")))
+    # A key's scores and leaves meet in one row: different labels only.
+    sets = rows.groupBy(key).agg(F.collect_set("scored").alias("scored"), F.map_from_entries(F.collect_set("leaf")).alias("leaf"), F.max("has_truth").alias("has_truth")).where("size(scored) > 0")
+    ranked = F.transform(F.filter("scored", lambda s: s["score"].isNotNull()), lambda s: F.struct(F.coalesce(F.try_element_at("leaf", s["label"]), F.when(s["inside"], 3).otherwise(4)).alias("tier"), (-s["score"]).alias("far"), s["label"].alias("label")))
+    ranked = sets.select(key, F.array_min(ranked).alias("b"), "has_truth")
     empty, other = ("fallback_gt_empty", "fallback_any") if compat else ("fallback_any", "fallback_gt_empty")
     reason = F.when(F.col("b").isNull(), "no_scores").when(F.col("b.tier") == 1, "picked_depth>=3").when(F.col("b.tier") == 2, "picked_depth<=2").when(F.col("has_truth"), empty).otherwise(other)
     return ranked.select(key, F.col("b.label").alias("y_true"), (-F.col("b.far")).alias("score"), reason.alias("reason"))
@@ -63,12 +67,17 @@ def true_label(scores: DataFrame, truth: DataFrame, closed: DataFrame, key: str,
 
 def open_labels(scores: DataFrame, truth: DataFrame, closed: DataFrame, key: str, root: str = "Entity", instead: str = "Aircraft") -> tuple[DataFrame, DataFrame]:
     """((key, label, score), keys without any): the pruned truth under the root that has a score; a key left empty takes the score of one stand-in label."""
-    leaves = pseudo_leaves(under_root(truth, closed, root), closed, key)
-    known = scores.where("score IS NOT NULL").select(key, "label", "score")
-    found = known.join(leaves.select(key, "label").distinct(), [key, "label"], "left_semi")
-    other = known.where(F.col("label") == instead).join(found.select(key).distinct(), key, "left_anti")
-    kept = found.unionByName(other)
-    return kept, truth.select(key).distinct().join(kept.select(key).distinct(), key, "left_anti")
+    known = ancestry(closed, root)
+    leaves = pseudo_leaves(known.marked(truth.select(key, "label")).where("rooted"), closed, key, known=known)
+    none = F.lit(None).cast("struct<label:string,score:double>")
+    rows = scores.where("score IS NOT NULL").select(key, F.struct("label", F.col("score").cast("double").alias("score")).alias("scored"), F.lit(None).cast("string").alias("leaf"), F.lit(False).alias("has_truth"))
+    rows = rows.unionByName(leaves.select(key, none.alias("scored"), F.col("label").alias("leaf"), F.lit(True).alias("has_truth")))
+    rows = rows.unionByName(truth.select(key, none.alias("scored"), F.lit(None).cast("string").alias("leaf"), F.lit(True).alias("has_truth")))
+    sets = rows.groupBy(key).agg(F.collect_set("scored").alias("scored"), F.collect_set("leaf").alias("leaf"), F.max("has_truth").alias("has_truth"))
+    found = F.filter("scored", lambda s: F.array_contains("leaf", s["label"]))
+    other = F.filter("scored", lambda s: s["label"] == instead)
+    sets = sets.select(key, F.when(F.size(found) > 0, found).otherwise(other).alias("kept"), "has_truth")
+    return sets.select(key, F.inline("kept")), sets.where("has_truth AND size(kept) = 0").select(key)
 
 
 def majority(answer: Column) -> Column:

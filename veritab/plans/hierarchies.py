@@ -78,6 +78,21 @@ def hierarchy_branches(spark: SparkSession, sf: str) -> DataFrame:
     return H.top_branches(e.select(F.col("child").alias("label")).distinct(), H.closure_of_edges(e))
 
 
+_TREES = """trees AS (SELECT DISTINCT p_type, p_brand, p_name FROM part WHERE p_type IS NOT NULL)"""
+
+
+@R.query(
+    f"""WITH {_TREES}, c AS (SELECT p_brand AS label, 1 AS depth, p_type AS ancestor FROM trees UNION SELECT p_name, 1, p_type FROM trees UNION SELECT p_name, 2, p_brand FROM trees)
+SELECT label, depth, ancestor FROM c"""
+)
+def nested_tree_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON tree of brands and names below each type of part, as rows of text, and the closure along their paths."""
+    p = read(spark, sf, "part").where("p_type IS NOT NULL").select("p_type", "p_brand", "p_name").distinct()
+    leaf = F.struct(F.col("p_name").alias("name"))
+    brands = p.groupBy("p_type", "p_brand").agg(F.collect_list(leaf).alias("children")).groupBy("p_type").agg(F.collect_list(F.struct(F.col("p_brand").alias("name"), "children")).alias("children"))
+    return H.closure(H.nodes_of(spark, brands.select(F.to_json(F.struct(F.col("p_type").alias("name"), "children")).alias("value"))))
+
+
 # Each order's labels: the name of each part with an even key, else its brand or its type; the score of a label comes from a hash.
 _SETS = """,
 sets AS (SELECT DISTINCT l_orderkey AS o, CASE WHEN l_partkey % 2 = 0 THEN p_name WHEN l_partkey % 3 = 0 THEN p_type ELSE p_brand END AS label FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -95,13 +110,14 @@ def _label() -> Column:
     return F.when(F.col("l_partkey") % 2 == 0, F.col("p_name")).when(F.col("l_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
 
 
-def _sets(lines: DataFrame) -> DataFrame:
-    return lines.select("o", _label().alias("label")).distinct()
+def _labels(lines: DataFrame) -> DataFrame:
+    """Each order's labels, some of them repeated."""
+    return lines.select("o", _label().alias("label"))
 
 
-def _scores(lines: DataFrame) -> DataFrame:
-    every = lines.select("o", F.explode(F.array_distinct(F.array(_label(), "p_name"))).alias("label")).distinct()
-    return every.withColumn("score", hash_unit(F.lit("s"), F.col("o").cast("string"), F.col("label")))
+def _scores(lines: DataFrame, repeated: bool = False) -> DataFrame:
+    every = lines.select("o", F.explode(F.array_distinct(F.array(_label(), "p_name"))).alias("label"))
+    return (every if repeated else every.distinct()).withColumn("score", hash_unit(F.lit("s"), F.col("o").cast("string"), F.col("label")))
 
 
 _PRUNED = ", leaf AS (SELECT o, label FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets t JOIN closed c ON c.label = t.label WHERE t.o = s.o AND c.ancestor = s.label))"
@@ -110,7 +126,27 @@ _PRUNED = ", leaf AS (SELECT o, label FROM sets s WHERE NOT EXISTS (SELECT 1 FRO
 @R.query(_CLOSURE + _SETS + _PRUNED + " SELECT o, label FROM leaf")
 def prune_pseudo_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """H06, H07, J12."""
-    return H.pseudo_leaves(_sets(_lines(spark, sf)), H.closure_of_edges(_edges(spark, sf)), "o")
+    return H.pseudo_leaves(_labels(_lines(spark, sf)), H.closure_of_edges(_edges(spark, sf)), "o")
+
+
+_ORDERED = """, ordered AS (SELECT l_orderkey AS o, list(CASE WHEN l_partkey % 2 = 0 THEN p_name WHEN l_partkey % 3 = 0 THEN p_type ELSE p_brand END ORDER BY l_linenumber, l_partkey) AS labels
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)"""
+
+
+@R.query(
+    _CLOSURE
+    + _SETS.rstrip()
+    + _ORDERED
+    + """, above AS (SELECT DISTINCT sets.o, ancestor FROM sets JOIN closed ON closed.label = sets.label),
+up AS (SELECT o, list(ancestor) AS up FROM above GROUP BY o), k AS (SELECT o, labels, list_filter(labels, lambda x: NOT coalesce(list_contains(up, x), false)) AS kept FROM ordered LEFT JOIN up USING (o))
+SELECT o, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE labels END, '|') AS labels FROM k"""
+)
+def leaves_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's labels in the order of its lines, repeats and all, without those above another."""
+    parts = read(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    lines = dealt(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    listed = lines.groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", _label().alias("label")))), lambda x: x["label"]).alias("labels"))
+    return H.leaves_of_array(listed, "labels", H.ancestry(H.closure_of_edges(_edges(spark, sf)))).select("o", F.array_join("labels", "|").alias("labels"))
 
 
 @R.query(_CLOSURE + _SETS + " SELECT o, label, score FROM scores QUALIFY row_number() OVER (PARTITION BY o ORDER BY score DESC, label) = 1")
@@ -148,14 +184,14 @@ FROM ranked QUALIFY row_number() OVER (PARTITION BY o ORDER BY tier, score DESC,
 def select_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Orders whose key 5 divides have no truth."""
     lines = _lines(spark, sf)
-    return L.true_label(_scores(lines), _sets(lines).where("o % 5 <> 0"), H.closure_of_edges(_edges(spark, sf)), "o")
+    return L.true_label(_scores(lines, repeated=True), _labels(lines).where("o % 5 <> 0"), H.closure_of_edges(_edges(spark, sf)), "o")
 
 
 @R.query(_CLOSURE + _SETS + _PRUNED + " SELECT o, string_agg(label, '|' ORDER BY score DESC, label) AS labels FROM leaf JOIN scores USING (o, label) WHERE score >= 0.5 GROUP BY o")
 def oe_labels(spark: SparkSession, sf: str) -> DataFrame:
     """The pruned truth with a score of a half at least, by score."""
     lines = _lines(spark, sf)
-    found, _ = L.open_labels(_scores(lines).where("score >= 0.5"), _sets(lines), H.closure_of_edges(_edges(spark, sf)), "o")
+    found, _ = L.open_labels(_scores(lines, repeated=True).where("score >= 0.5"), _labels(lines), H.closure_of_edges(_edges(spark, sf)), "o")
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "label")))
     return found.groupBy("o").agg(F.array_join(F.transform(pairs, lambda r: r["label"]), "|").alias("labels"))
 
