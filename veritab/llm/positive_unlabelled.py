@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,9 +165,12 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = 5, most_positive: int
                 own = pdf.iloc[first : first + len(size)]
                 yield pd.DataFrame({"id": own.id, "positive": own.positive, "own": [place[pairs[a:b] & ((1 << BITS) - 1)].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    got = sample.mapInPandas(gather, "id long, positive int, own array<int>").toPandas().sort_values(["positive", "id"])
-    rows, columns = np.repeat(np.arange(len(got)), got.own.map(len)), np.concatenate([*got.own, np.zeros(0, np.int32)]).astype(np.int64)
-    w, b = non_negative_fit(rows, columns, got.positive.to_numpy() == 1, scale, prior)
+    got = sample.mapInPandas(gather, "id long, positive int, own array<int>").toArrow().sort_by([("positive", "ascending"), ("id", "ascending")])
+    del total, rate_p, rate_u, apart, some  # the driver holds the sample's features and the weights, no more
+    own, positive = got.column("own").combine_chunks(), got.column("positive").to_numpy() == 1
+    rows, columns = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    del got, own
+    w, b = non_negative_fit(rows, columns, positive, scale, prior)
     return Model(kept, w, b)
 
 
