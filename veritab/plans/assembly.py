@@ -167,6 +167,13 @@ def file_join(spark: SparkSession, sf: str) -> DataFrame:
     return J.by_file(o, files).select(F.col("question_id").alias("o_orderkey"), F.col("image_id").cast("long").alias("o_custkey"), F.regexp_extract("path", r"_([A-Z]+)\.jpg$", 1).alias("c_mktsegment"))
 
 
+@R.query("""WITH f AS (SELECT o_custkey || '-' || o_orderkey || '.jpg' AS name FROM orders) SELECT c_custkey, '/img/' || min(name) AS path FROM customer JOIN f ON starts_with(name, CAST(c_custkey AS VARCHAR)) GROUP BY c_custkey""")
+def prefix_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The first file whose name begins with a customer's number, whatever follows."""
+    files = read(spark, sf, "orders").select(F.concat(F.lit("/img/"), F.col("o_custkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"))
+    return J.by_prefix(read(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("wanted")), files, "wanted").select("c_custkey", "path")
+
+
 @R.query("SELECT conv_id, count(*) AS n_messages, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS md5 FROM conversations GROUP BY conv_id")
 def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     """P10, P14."""

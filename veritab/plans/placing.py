@@ -47,6 +47,35 @@ def rect_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return joins.free_rects(a.where("p_partkey % 10 >= 5"), a.where("p_partkey % 10 < 5"), "g").select("p_partkey", "g")
 
 
+# Boxes of parts on a strip that grows with them, one region a size of part modulo 3, so each region is crowded; every fiftieth box is a large one.
+_PLANE = """WITH b AS (SELECT p_partkey AS id, p_size % 3 AS region, p_partkey % 2 = 1 AS odd, p_partkey * 7919 % 9973 AS x0, p_partkey * 5 + p_partkey * 104729 % 997 AS y0,
+  1 + p_partkey * 31 % 397 + CASE WHEN p_partkey % 50 = 0 THEN 20000 ELSE 0 END AS w, 1 + p_partkey * 17 % 211 + CASE WHEN p_partkey % 50 = 0 THEN 300 ELSE 0 END AS h FROM part),
+p AS (SELECT id, region, odd, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM b)
+"""
+
+
+def _plane(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    large = lambda n: F.when(k % 50 == 0, n).otherwise(0)
+    x, y = k * 7919 % 9973, k * 5 + k * 104729 % 997
+    r = F.struct(x.alias("x0"), y.alias("y0"), (x + 1 + k * 31 % 397 + large(20000)).alias("x1"), (y + 1 + k * 17 % 211 + large(300)).alias("y1"))
+    return read(spark, sf, "part").select(k.alias("id"), (F.col("p_size") % 3).alias("region"), (k % 2 == 1).alias("odd"), r.alias("rect"))
+
+
+@R.query(_PLANE + "SELECT a.region, a.id AS odd_id, b.id AS even_id FROM p a JOIN p b ON a.region = b.region AND a.odd AND NOT b.odd AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def spatial_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Which odd boxes of a region meet which even ones."""
+    b = _plane(spark, sf)
+    return joins.meeting_rects(b.where("odd").withColumnRenamed("id", "odd_id"), b.where("not odd").withColumnRenamed("id", "even_id"), "region", ("odd_id", "even_id"))
+
+
+@R.query(_PLANE + "SELECT a.region, a.id FROM p a WHERE a.odd AND NOT EXISTS (SELECT 1 FROM p b WHERE a.region = b.region AND NOT b.odd AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+def crowded_free_rects(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd boxes that meet no even one of their region, regions of any size."""
+    b = _plane(spark, sf).select("id", "region", "odd", "rect")
+    return joins.free_rects(b.where("odd").select("region", "id", "rect"), b.where("not odd"), "region").select("region", "id")
+
+
 @R.query(_BOX + "SELECT p_partkey // 10 AS g, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(p_partkey, CAST((x1 - x0) * (y1 - y0) AS BIGINT) * 100000000 - p_partkey) AS largest FROM p GROUP BY 1")
 def union_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """The box around ten boxes, and which is the largest."""
