@@ -30,7 +30,6 @@ ENSEMBLE = [
     "itap of a {}.", "graffiti of the {}.", "a toy {}.", "itap of my {}.", "a photo of a cool {}.", "a photo of a small {}.", "a tattoo of the {}.",
 ]
 TEMPLATE_SETS = {"openai_imagenet_template": ENSEMBLE, "none": ["{}."], "photo": ["a photo of a {}."]}
-META_FIELDS = ["image_id", "question_id", "answer", "choices", "attack_word"]
 
 
 def with_suffix(question: Column) -> Column:
