@@ -147,12 +147,12 @@ def tile_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("p_size", G.tile_ratio(300 + 37 * (F.col("p_size") % 20), 200 + 23 * (F.col("p_size") % 13)).alias("t")).select("p_size", "t.across", "t.down")
 
 
-# Forty words of a document in a row stand for an image's tokens, ten a line; every word is in one image. What is sought depends on the image's number.
+# Forty words of a document in a row stand for an image's tokens, ten a line; every word is in one image. Of an image with fewer than three words the last stands for those that it lacks. What is sought depends on the image's number.
 _LONG = "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq jjjjjjjjjjjjjjjjjjjjjjjjjjjjjjjj "
 _TOKENS = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS ws FROM documents),
 im AS MATERIALIZED (SELECT doc_id, part, (doc_id * 7 + part) % 10 AS h, ws[40 * part + 1:40 * part + 40] AS ws FROM w, unnest(range(0, (len(ws) + 39) // 40)) u(part)),
-a AS MATERIALIZED (SELECT doc_id, part, h, ws, CASE h WHEN 0 THEN ws[3] WHEN 1 THEN ws[2] || ' ' || ws[3] WHEN 2 THEN 'zz 42 qq' WHEN 3 THEN ws[3] || 'xy' WHEN 4 THEN ws[2] || ' ' || ws[3] || 'xy'
-  WHEN 5 THEN 'False' WHEN 6 THEN 'zwzwz kyky' WHEN 7 THEN 'w' WHEN 8 THEN '{_LONG}' || ws[3] ELSE '{_LONG}' || ws[2] || 'x' END AS answer FROM im WHERE len(ws) >= 3),
+a AS MATERIALIZED (SELECT doc_id, part, h, ws, CASE h WHEN 0 THEN w3 WHEN 1 THEN w2 || ' ' || w3 WHEN 2 THEN 'zz 42 qq' WHEN 3 THEN w3 || 'xy' WHEN 4 THEN w2 || ' ' || w3 || 'xy'
+  WHEN 5 THEN 'False' WHEN 6 THEN 'zwzwz kyky' WHEN 7 THEN 'w' WHEN 8 THEN '{_LONG}' || w3 ELSE '{_LONG}' || w2 || 'x' END AS answer FROM (SELECT doc_id, part, h, ws, coalesce(ws[2], ws[1]) AS w2, coalesce(ws[3], ws[2], ws[1]) AS w3 FROM im)),
 n AS MATERIALIZED (SELECT doc_id, part, i, regexp_replace(lower(word), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS norm, list_transform(regexp_extract_all(word, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')) AS numbers, 10 * ((i - 1) % 10) AS x0, 20 * ((i - 1) // 10) AS y0
   FROM (SELECT doc_id, part, i, CASE WHEN h IN (2, 5) AND i = 2 THEN 'room' WHEN h IN (2, 5) AND i = 3 THEN '42' ELSE ws[i] END AS word FROM a, unnest(range(1, len(ws) + 1)) t(i))),
 s AS MATERIALIZED (SELECT doc_id, part, answer, regexp_replace(lower(answer), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS said, list_filter(list_transform(regexp_extract_all(answer, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')), lambda m: length(m) >= 2) AS nums FROM a),
@@ -205,10 +205,11 @@ SELECT f.doc_id, f.part, CASE WHEN f.why IS NOT NULL THEN f.why WHEN b.score >=
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     d = dealt(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("all")).where(F.size("all") > 0)
     images = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 40).cast("int")), lambda k: F.slice("all", k * 40 + 1, F.lit(40)))
-    d = d.select("doc_id", F.posexplode(images).alias("part", "ws")).where(F.size("ws") >= 3).withColumn("h", (F.col("doc_id") * 7 + F.col("part")) % 10)
+    d = d.select("doc_id", F.posexplode(images).alias("part", "ws")).withColumn("h", (F.col("doc_id") * 7 + F.col("part")) % 10)
     ws, h = F.col("ws"), F.col("h")
-    two = F.concat(ws[1], F.lit(" "), ws[2])
-    answers = [ws[2], two, F.lit("zz 42 qq"), F.concat(ws[2], F.lit("xy")), F.concat(two, F.lit("xy")), F.lit("False"), F.lit("zwzwz kyky"), F.lit("w"), F.concat(F.lit(_LONG), ws[2]), F.concat(F.lit(_LONG), ws[1], F.lit("x"))]
+    second, third = F.coalesce(F.get(ws, 1), ws[0]), F.coalesce(F.get(ws, 2), F.get(ws, 1), ws[0])
+    two = F.concat(second, F.lit(" "), third)
+    answers = [third, two, F.lit("zz 42 qq"), F.concat(third, F.lit("xy")), F.concat(two, F.lit("xy")), F.lit("False"), F.lit("zwzwz kyky"), F.lit("w"), F.concat(F.lit(_LONG), third), F.concat(F.lit(_LONG), second, F.lit("x"))]
     d = d.withColumn("answer", F.coalesce(*[F.when(h == i, x) for i, x in enumerate(answers)]))
 
     def token(w: Column, i: Column) -> Column:
