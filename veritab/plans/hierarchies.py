@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritab.functions.textnorm import hash_unit
 from veritab.operators import hierarchy as H
 from veritab.operators import labels as L
+from veritab.operators import negatives as N
 from veritab.operators import sampling as S
 from veritab.plans.tables import Registry, read
 from veritab.sources.readers import dealt
@@ -239,4 +240,40 @@ def sample_negatives_md5(spark: SparkSession, sf: str) -> DataFrame:
     return S.distractors(q, _pools(spark, sf), "o").select("o", "y_true", "hard", "medium", "easy")
 
 
+_PART = """part_ AS (SELECT 'part-' || p_partkey AS x, p_type AS t, p_type || '/' || p_brand AS b, p_type || '/' || p_brand || '/' || p_name AS n FROM part WHERE p_type IS NOT NULL AND p_brand IS NOT NULL AND p_name IS NOT NULL)"""
+
+
+@R.query(
+    f"""WITH {_PART},
+posting AS (SELECT 'hard' AS band, '4/' || n AS node, x FROM part_ UNION ALL SELECT 'medium', '3/' || b, x FROM part_ UNION ALL SELECT 'easy', '2/' || t, x FROM part_ UNION ALL SELECT 'base', 'root', x FROM part_),
+size AS (SELECT node, (count(*) + 15) // 16 AS chunks FROM posting GROUP BY node),
+entry AS (SELECT band, node, x, chunks, CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % chunks AS chunk FROM posting JOIN size USING (node)),
+q AS (SELECT l_orderkey AS o, 'part-' || arg_min(l_partkey, (l_linenumber, l_partkey)) AS y, list(DISTINCT 'part-' || l_partkey) AS ex FROM lineitem GROUP BY l_orderkey),
+reads AS (SELECT o, y, ex, ['hard', 'medium', 'easy', 'base'][k] AS band, ['4/' || n, '3/' || b, '2/' || t, 'root'][k] AS node, t, b, n FROM q JOIN part_ ON x = y, unnest(range(1, 5)) u(k)),
+first AS (SELECT r.o, r.y, r.band, e.x, CAST(((e.chunk - CAST('0x' || substring(md5(concat_ws('-', '42', CAST(r.o AS VARCHAR), r.node)), 1, 8) AS BIGINT) % e.chunks) % e.chunks + e.chunks) % e.chunks AS BIGINT) AS step,
+  md5(concat_ws('-', '42', CAST(r.o AS VARCHAR), e.x)) AS h FROM reads r JOIN entry e ON e.band = r.band AND e.node = r.node JOIN part_ p ON p.x = e.x
+  WHERE r.band <> 'base' AND NOT list_contains(r.ex, e.x) AND (r.band = 'hard' OR (p.n <> r.n AND (r.band = 'medium' OR p.b <> r.b)))),
+enough AS (SELECT o FROM first GROUP BY o HAVING count(*) FILTER (WHERE band <> 'easy') >= 1 AND count(*) FILTER (WHERE band = 'easy') >= 3),
+more AS (SELECT r.o, r.y, r.band, e.x, CAST(((e.chunk - CAST('0x' || substring(md5(concat_ws('-', '42', CAST(r.o AS VARCHAR), r.node)), 1, 8) AS BIGINT) % e.chunks) % e.chunks + e.chunks) % e.chunks AS BIGINT) AS step,
+  md5(concat_ws('-', '42', CAST(r.o AS VARCHAR), e.x)) AS h FROM reads r JOIN entry e ON e.band = r.band AND e.node = r.node WHERE r.band = 'base' AND NOT list_contains(r.ex, e.x) AND r.o NOT IN (SELECT o FROM enough)),
+"""
+    + """c AS MATERIALIZED (SELECT *, lpad(CAST(step AS VARCHAR), 9, '0') || h AS r FROM (SELECT * FROM first UNION ALL SELECT * FROM more)),
+h AS (SELECT o, arg_min(x, CASE band WHEN 'hard' THEN '0' WHEN 'medium' THEN '1' ELSE '2' END || r) AS hard FROM c WHERE band <> 'easy' GROUP BY o),
+m AS (SELECT c.o, arg_min(x, CASE band WHEN 'medium' THEN '0' WHEN 'easy' THEN '1' ELSE '2' END || r) AS medium FROM c JOIN h USING (o) WHERE band <> 'hard' AND x <> hard GROUP BY c.o),
+e AS (SELECT c.o, arg_min(x, CASE band WHEN 'easy' THEN '0' ELSE '2' END || r) AS easy FROM c JOIN h USING (o) JOIN m USING (o) WHERE band IN ('easy', 'base') AND x <> hard AND x <> medium GROUP BY c.o)
+SELECT q.o, q.y AS y_true, coalesce(hard, y) AS hard, coalesce(medium, y) AS medium, coalesce(easy, y) AS easy FROM q LEFT JOIN h USING (o) LEFT JOIN m USING (o) LEFT JOIN e USING (o)"""
+)
+def sample_negatives_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Three other parts for the first of every order, none of the order's own; parts stand below their names, brands and types, each within the one above."""
+    p = read(spark, sf, "part").where("p_type IS NOT NULL AND p_brand IS NOT NULL AND p_name IS NOT NULL")
+    path = [F.lit("Entity"), F.col("p_type"), F.concat_ws("/", "p_type", "p_brand"), F.concat_ws("/", "p_type", "p_brand", "p_name"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))]
+    edges = p.select(F.explode(F.array(*[F.struct(a.alias("parent"), b.alias("child")) for a, b in zip(path, path[1:])])).alias("e")).select("e.*").distinct()
+    names = p.select(path[-1].alias("label"))
+    index = N.label_index(names, H.closure_of_edges(edges).join(names, "label", "left_semi"))
+    part = F.concat(F.lit("part-"), F.col("l_partkey").cast("string"))
+    lines = dealt(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey"))
+    q = lines.groupBy("o").agg(F.min_by(part, F.struct("l_linenumber", "l_partkey")).alias("y_true"), F.sort_array(F.collect_set(part)).alias("own"))
+    return N.indexed_distractors(q, index, "o", excluded="own").select("o", "y_true", *N.BANDS)
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
