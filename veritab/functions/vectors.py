@@ -1,4 +1,4 @@
-"""Vectors as arrays, and nearest classes without a row for each pair."""
+"""Vectors as arrays."""
 
 from __future__ import annotations
 
@@ -17,34 +17,14 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x).cast("double"))
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str, dims: int, renormalise: bool = False) -> DataFrame:
-    """The mean vector of each key, as ``mean`` (A16): one average a component, so only one row a key is shuffled."""
-    mean = F.array(*[F.avg(F.try_element_at(vector, F.lit(i + 1)).cast("double")) for i in range(dims)])
-    means = df.groupBy(*keys).agg(mean.alias("mean"))
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, renormalise: bool = False) -> DataFrame:
+    """The mean vector of each key, as ``mean`` (A16): one average a component, so only one row a key is shuffled. A component counts where a vector has it, and a mean is as long as its key's longest vector."""
+    dims = df.agg(F.max(F.size(vector))).first()[0] or 0
+    mean = F.array(*[F.avg(F.try_element_at(vector, F.lit(i + 1)).cast("double")) for i in range(max(dims, 0))]).cast("array<double>")
+    means = df.groupBy(*keys).agg(F.slice(mean, 1, F.greatest(F.lit(0), F.coalesce(F.max(F.size(vector)), F.lit(0)))).alias("mean"))
     return means.withColumn("mean", unit(F.col("mean"))) if renormalise else means
 
 
-def with_classes(df: DataFrame, classes: DataFrame, label: str, vector: str, into: str = "classes") -> DataFrame:
-    """``df`` with all class vectors in one array, ordered by label; for vocabularies, whose size doesn't follow the data."""
-    table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(vector).alias("vector")))).alias(into))
-    return df.crossJoin(F.broadcast(table))
-
-
-def similarities(vector: Column, classes: Column) -> Column:
-    """An array of (negated similarity, label), nearest first and by label among equals."""
-    return F.array_sort(F.transform(classes, lambda c: F.struct((-dot(vector, c["vector"])).alias("far"), c["label"].alias("label"))))
-
-
-def top_labels(ranked: Column, k: int) -> Column:
-    """The labels of the k nearest classes, or all if fewer."""
-    return F.transform(F.slice(ranked, 1, k), lambda r: r["label"])
-
-
-def word_attack_success(sim: Column, ranked: Column, k: int) -> Column:
-    """Whether a word outside the vocabulary comes at least as near as the k-th class."""
-    return sim >= -F.try_element_at(ranked, F.least(F.lit(k), F.size(ranked)))["far"]
-
-
 def min_max(v: Column) -> Column:
     """Components between 0 and 1, with the customary 1e-8 against division by zero."""
     low, high = F.array_min(v), F.array_max(v)

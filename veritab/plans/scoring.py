@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from veritab.functions import choice, metrics, parsing, textnorm, vectors
 from veritab.functions.textnorm import ARTICLES, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, STOP_ANSWERS
 from veritab.operators import labels as L
+from veritab.operators import matching
 from veritab.plans.tables import Registry, read
 from veritab.sources.readers import dealt
 
 R = Registry()
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-DIMS = 64
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's five nearest labels, as ``t``."""
     e = read(spark, sf, "embeddings")
-    classes = vectors.mean_vectors(e.where("label IS NOT NULL"), ["label"], "embedding", DIMS)
-    ranked = vectors.with_classes(e, classes, "label", "mean")
-    return ranked.select("vec_id", "label", vectors.similarities(F.col("embedding"), F.col("classes")).alias("ranked"))
+    classes = vectors.mean_vectors(e.where("label IS NOT NULL"), ["label"], "embedding")
+    return matching.nearest_classes(e, classes, "embedding", 5, class_vector="mean").select("vec_id", "label", F.transform("top", lambda t: t["label"]).alias("t"))
 
 
 _SIMS = """
@@ -40,7 +40,7 @@ count(*) AS n, count(*) FILTER (WHERE label <> 9) AS n_attacked FROM top"""
 )
 def embedding_match_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector against the mean of every label; the next label stands for an attack word, which label 9 lacks."""
-    top = _ranked(spark, sf).select("label", vectors.top_labels(F.col("ranked"), 5).alias("t"))
+    top = _ranked(spark, sf)
     attacked, word = F.col("label") != 9, (F.col("label") + 1) % 10
     first, among = F.col("t")[0], lambda c: F.array_contains("t", c)
     return top.agg(
@@ -56,10 +56,46 @@ def embedding_match_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @R.query(_SIMS + "SELECT vec_id, label, array_to_string(t, ',') AS top5, t[1] = label AS hit_at_1, list_contains(t, label) AS hit_at_5 FROM top")
 def embedding_topk_records(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest labels of each vector."""
-    t = vectors.top_labels(F.col("ranked"), 5)
+    t = F.col("t")
     return _ranked(spark, sf).select("vec_id", "label", F.array_join(t, ",").alias("top5"), (t[0] == F.col("label")).alias("hit_at_1"), F.array_contains(t, F.col("label")).alias("hit_at_5"))
 
 
+# Fifty means a label are the classes of a larger vocabulary.
+_NEAR = """
+WITH comp AS (SELECT label * 50 + vec_id % 50 AS class, vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i) WHERE label IS NOT NULL),
+m AS (SELECT class, list(x ORDER BY i) AS v FROM (SELECT class, i, avg(x) AS x FROM comp GROUP BY class, i) GROUP BY class),
+s AS (SELECT e.vec_id, e.label, m.class AS c, list_inner_product(CAST(e.embedding AS DOUBLE[]), m.v) AS sim FROM embeddings e CROSS JOIN m),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, c) AS k FROM s)
+"""
+
+
+@R.query(_NEAR + "SELECT vec_id, array_to_string(list(c ORDER BY k), ',') AS classes, round(min(sim), 6) AS fifth FROM r WHERE k <= 5 GROUP BY vec_id")
+def nearest_classes_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of all vectors' means by label and residue, met in blocks of 128 classes."""
+    e = read(spark, sf, "embeddings")
+    own = e.where("label IS NOT NULL").withColumn("class", F.col("label") * 50 + F.col("vec_id") % 50)
+    near = matching.nearest_classes(e, vectors.mean_vectors(own, ["class"], "embedding"), "embedding", 5, label="class", class_vector="mean", block=128)
+    far = F.try_element_at("top", F.lit(-1))["far"]
+    return near.select("vec_id", F.array_join(F.transform("top", lambda t: t["label"].cast("string")), ",").alias("classes"), F.round(-far, 6).alias("fifth"))
+
+
+@R.query(
+    _SIMS.replace("FROM embeddings e CROSS JOIN m)", "FROM embeddings e CROSS JOIN (SELECT * FROM m WHERE label < 6) m)")
+    + """, w AS (SELECT e.vec_id, e.label, (e.label + 1) % 10 AS word, list_inner_product(CAST(e.embedding AS DOUBLE[]), m.v) AS sim FROM embeddings e JOIN m ON m.label = (e.label + 1) % 10 WHERE e.label <> 9),
+b AS (SELECT vec_id, max(sim) AS one, min(sim) FILTER (WHERE k <= 3) AS three, list(c ORDER BY k) FILTER (WHERE k <= 3) AS t FROM r GROUP BY vec_id),
+a AS (SELECT e.vec_id, coalesce(t[1] = e.label, false) AS h1, coalesce(list_contains(t, e.label), false) AS hk, CASE WHEN word < 6 THEN t[1] = word ELSE sim >= one END AS a1, CASE WHEN word < 6 THEN list_contains(t, word) ELSE sim >= three END AS ak FROM embeddings e JOIN b USING (vec_id) LEFT JOIN w USING (vec_id))
+SELECT avg(CAST(h1 AS DOUBLE)) AS acc_at_1, avg(CAST(hk AS DOUBLE)) AS acc_at_k, avg(CAST(a1 AS DOUBLE)) AS asr_at_1, avg(CAST(ak AS DOUBLE)) AS asr_at_k, count(*) AS n, count(a1) AS n_attacked FROM a"""
+)
+def unknown_word_attacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Only labels below 6 are classes; the next label is the attack's word, which for most rows lies outside the vocabulary and has a vector of its own."""
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    means = vectors.mean_vectors(e.where("label IS NOT NULL"), ["label"], "vector")
+    classes = means.where("label < 6")
+    near = matching.nearest_classes(e, classes, "vector", 3, class_vector="mean").withColumns({"truth": F.array("label"), "word": F.when(F.col("label") != 9, (F.col("label") + 1) % 10)})
+    words = means.select(F.col("label").alias("_w"), F.col("mean").alias("word_vector"))
+    return matching.match_metrics(matching.match_records(near.join(words, F.col("word") == F.col("_w"), "left"), classes, 3))
+
+
 @R.query(
     """SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS length, round(list_max(CAST(embedding AS DOUBLE[])) - list_min(CAST(embedding AS DOUBLE[])), 6) AS spread FROM embeddings"""
 )
