@@ -158,24 +158,32 @@ def brute_rectangle(grid):
     return best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.booleans(), min_size=6, max_size=6), min_size=1, max_size=6))
-def test_widest_rectangle_of_a_mask(grid):
-    import numpy as np
+def test_widest_rectangle_of_a_mask(spark):
+    """Random masks of many shapes; among equal areas the one that ends first, by line, column and height."""
+    import random
 
     from veritab.functions import masks
 
-    x, y, w, h = masks.wide_rectangle(np.array(grid))
-    assert w * h == brute_rectangle(grid) and (w > h or not w)
-    assert all(grid[b][a] for b in range(y, y + h) for a in range(x, x + w))
+    draw = random.Random(5)
+    grids = [[[draw.random() < p for _ in range(c)] for _ in range(r)] for p in (0.5, 0.8, 0.95, 1.0, 0.0) for r, c in ((1, 1), (1, 6), (6, 1), (4, 6), (6, 6), (3, 9), (7, 5)) for _ in range(6)]
+    df = spark.createDataFrame([(i, [x for line in g for x in line], len(g[0])) for i, g in enumerate(grids)], "i int, m array<boolean>, c int")
+    for r in df.select("i", masks.largest_wide_rectangle(F.col("m"), F.col("c")).alias("b")).collect():
+        g, (x, y, w, h) = grids[r.i], r.b
+        assert w * h == brute_rectangle(g) and (w > h or not w), g
+        ends = [(b, a, k) for b in range(1, len(g) + 1) for a in range(1, len(g[0]) + 1) for k in range(1, b + 1) if w and w * h % k == 0 and a - w * h // k >= 0 and w * h // k > k and all(g[p][q] for p in range(b - k, b) for q in range(a - w * h // k, a))]
+        assert (y + h, x + w, h) == min(ends, default=(0, 0, 0)), g
 
 
 def test_masks_and_rectangles(spark):
     from veritab.functions import masks
 
     row = spark.range(1).select(F.array(*map(F.lit, [True] * 8)).alias("m"), F.lit(4).alias("c"), rect(0, 0, 20, 10).alias("r"), F.lit(40).alias("w"), F.lit(20).alias("h"))
-    got = row.select(masks.largest_wide_rectangle("m", "c").alias("a"), masks.without_rects("m", "c", F.array("r"), "w", "h").alias("b"), masks.mask_meets_rect("m", "c", "r", "w", "h").alias("d")).first()
+    m, c, r, w, h = map(F.col, "mcrwh")
+    got = row.select(masks.largest_wide_rectangle(m, c).alias("a"), masks.without_rects(m, c, F.array("r"), w, h).alias("b"), masks.mask_meets_rect(m, c, r, w, h).alias("d")).first()
     assert tuple(got.a) == (0, 0, 4, 2) and got.b == [False, False, True, True, True, True, True, True] and got.d is True
+    odd = row.select(F.array(F.lit(True), F.lit(None).cast("boolean"), F.lit(True), F.lit(True)).alias("m"), F.lit(None).cast("array<boolean>").alias("n"), F.array().cast("array<boolean>").alias("e"), rect(60, 0, 80, 10).alias("out"), "c", "r", "w", "h")
+    got = odd.select(masks.largest_wide_rectangle(m, c).alias("a"), masks.largest_wide_rectangle(F.col("n"), c).alias("b"), masks.largest_wide_rectangle(F.col("e"), c).alias("e"), masks.without_rects(m, c, F.array("out"), w, h).alias("f"), masks.without_rects(F.col("n"), c, F.array("r"), w, h).alias("g"), masks.mask_meets_rect(m, c, F.col("out"), w, h).alias("i"), masks.mask_meets_rect(F.col("n"), c, r, w, h).alias("j")).first()
+    assert tuple(got.a) == (2, 0, 2, 1) and got.b is None and tuple(got.e) == (0, 0, 0, 0) and got.f == [True, False, True, True] and got.g is None and got.i is False and got.j is None
 
 
 def test_judges(spark):

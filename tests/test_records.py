@@ -11,7 +11,7 @@ from oracle import SF
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from veritab.functions import masks, parsing, prompts, textnorm
+from veritab.functions import parsing, prompts, textnorm
 from veritab.operators import models, placement
 from veritab.plans import registry
 from veritab.sources import readers
@@ -94,15 +94,15 @@ def test_the_ensemble_has_eighty_templates(spark):
     assert got[0] == "a bad photo of a sea lion." and got[-1] == "a tattoo of the sea lion."
 
 
-@pytest.mark.parametrize("f", [masks.wide_rectangle, parsing.balanced])
+@pytest.mark.parametrize("f", [parsing.balanced])
 def test_functions_travel_without_the_package(f, tmp_path):
     """A worker that can't import this package runs its functions."""
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(f))
-    call = "f(np.ones((2, 5), bool))" if f is masks.wide_rectangle else "f('a {b} c')"
-    code = f"import sys, numpy as np; sys.path[:] = [p for p in sys.path if 'repo' not in p]; from pyspark import cloudpickle; f = cloudpickle.loads(open({str(tmp_path / 'f.pkl')!r}, 'rb').read()); print({call}); assert 'veritab' not in sys.modules"
+    call = "f('a {b} c')"
+    code = f"import sys; sys.path[:] = [p for p in sys.path if 'repo' not in p]; from pyspark import cloudpickle; f = cloudpickle.loads(open({str(tmp_path / 'f.pkl')!r}, 'rb').read()); print({call}); assert 'veritab' not in sys.modules"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path)
     assert out.returncode == 0, out.stderr
-    assert out.stdout.strip() in ("(0, 0, 5, 2)", "['{b}']")
+    assert out.stdout.strip() == "['{b}']"
 
 
 def test_longest_common_substrings_of_odd_texts(spark):

@@ -5,16 +5,11 @@ A pattern's candidates are one array an image; hashes take the place of a genera
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, grid_cells, rect, valid
-from veritab.functions.masks import cells as mask_cells
-from veritab.functions.masks import wide_rectangle
+from veritab.functions.geometry import anchor, cell_of, corner_distance, fits, grid_cells, rect, text_region, valid
+from veritab.functions.masks import largest_wide_rectangle, mask_meets_rect, without_rects
 from veritab.functions.textnorm import hash_unit, seed_of
 from veritab.operators.sampling import BUCKET_ORDER, bucket_members, tertile_cuts
 
@@ -169,47 +164,20 @@ def debug_rects(keys: list[Column], kinds: dict[str, Column]) -> list[Column]:
     return [*keys, F.inline(F.concat(*rows))]
 
 
-def _staged(r: dict) -> tuple:
-    """The staged search of one image, in plain Python: masks are its data."""
-    w, h, avoid, distance = r["w"], r["h"], r["avoid"], float(r["distance"] or 0)
-
-    def region(x0: float, y0: float, x1: float, y1: float, tw: float, th: float) -> tuple[int, int, int, int]:
-        wide, high, aspect = x1 - x0, y1 - y0, th / tw
-        if wide <= 0 or abs(high / wide - aspect) <= 0.1:
-            return int(x0), int(y0), int(x1), int(y1)
-        sw, sh = (high / aspect, high) if aspect > high / wide else (wide, wide * aspect)
-        x, y = x0 + (wide - sw) / 2, y0 + (high - sh) / 2
-        return int(x), int(y), int(x + sw), int(y + sh)
-
-    meets = lambda a, b: a[0] < b["x1"] and b["x0"] < a[2] and a[1] < b["y1"] and b["y0"] < a[3]
-    gap = lambda a, b: math.hypot(max(0, b["x0"] - a[2], a[0] - b["x1"]), max(0, b["y0"] - a[3], a[1] - b["y1"]))
-    found = [tuple(r["preferred"][c] for c in ("x0", "y0", "x1", "y1"))] if r["preferred"] else []
-    first = r["position"] - 1 if r["position"] and 0 < r["position"] <= len(r["masks"]) else 0
-    for i in [first, *(i for i in range(len(r["masks"])) if i != first)] if len(r["masks"]) else []:
-        mask = np.asarray(r["masks"][i], bool).reshape(-1, r["cols"]).copy()
-        rows, cols = mask.shape
-        if avoid:
-            x0, y0, x1, y1 = mask_cells(avoid, w, h, rows, cols)
-            if mask[y0:y1, x0:x1].any():
-                continue
-        for f in r["forbidden"]:
-            x0, y0, x1, y1 = mask_cells(f, w, h, rows, cols)
-            mask[y0:y1, x0:x1] = False
-        x, y, a, b = wide_rectangle(mask)
-        if a > 0 and b > 0:
-            found.append((x / cols * w, y / rows * h, (x + a) / cols * w, (y + b) / rows * h))
-    stages = [distance, *([max(w, h) / 3] if avoid and 0 < distance and max(w, h) / 3 < distance else [])]
-    for k, least in enumerate(stages):
-        for place in found:
-            for tw, th in r["sizes"]:
-                own = region(*place, tw, th)
-                if not any(meets(own, f) for f in r["forbidden"]) and not (avoid and gap(own, avoid) < least):
-                    return (*own, f"stage {k + 1}")
-    right, bottom = min(w - 8, max(40, int(w * 0.35))), min(h - 8, max(28, int(h * 0.18)))
-    right, bottom = (right if right > 8 else min(w, 72)), (bottom if bottom > 8 else min(h, 40))
-    x0, y0, x1, y1 = region(8, 8, right, bottom, *r["sizes"][0])
-    x0, y0 = max(0, min(w - 1, x0)), max(0, min(h - 1, y0))
-    return x0, y0, max(x0 + 1, min(w, x1)), max(y0 + 1, min(h, y1)), "force_top_left"
+def _region(p: Column, size: Column) -> Column:
+    """A text's region in a rectangle; one without a width is taken as it is."""
+    return F.coalesce(text_region(p, size[0], size[1]), rect(*[p[c].cast("int") for c in ("x0", "y0", "x1", "y1")]))
+
+
+def _wide_places(masks: Column, position: Column, cols: Column, w: Column, h: Column, forbidden: Column, avoid: Column) -> Column:
+    """The largest wide rectangle of each mask off the forbidden boxes, in pixels, the mask at ``position`` first; masks that meet what is to be avoided are left out."""
+    numbered = F.transform(masks, lambda m, i: F.struct(((i != F.when((position > 0) & (position <= F.size(masks)), position - 1).otherwise(0)).cast("int") * (i + 1)).alias("turn"), m.alias("m")))
+    usable = F.filter(F.array_sort(numbered), lambda n: avoid.isNull() | ~mask_meets_rect(n["m"], cols, avoid, w, h))
+    best = F.transform(usable, lambda n: F.struct(largest_wide_rectangle(without_rects(n["m"], cols, forbidden, w, h), cols).alias("r"), F.floor(F.size(n["m"]) / cols).alias("rows")))
+    pixels = lambda b: F.struct(
+        (b["r"]["x"] / cols * w).cast("double").alias("x0"), (b["r"]["y"] / b["rows"] * h).cast("double").alias("y0"), ((b["r"]["x"] + b["r"]["w"]) / cols * w).cast("double").alias("x1"), ((b["r"]["y"] + b["r"]["h"]) / b["rows"] * h).cast("double").alias("y1")
+    )
+    return F.transform(F.filter(best, lambda b: b["r"]["w"] > 0), pixels)
 
 
 def staged_places(df: DataFrame) -> DataFrame:
@@ -220,9 +188,26 @@ def staged_places(df: DataFrame) -> DataFrame:
     where that is less; at last the top left corner is forced. Images are independent rows.
     """
 
-    @F.pandas_udf(f"{_RECT[:-1]},reason:string>")
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_staged(r) for r in rows.to_dict("records")], columns=["x0", "y0", "x1", "y1", "reason"])
-
-    own = ["w", "h", "cols", "masks", "position", "preferred", "forbidden", "avoid", "distance", "sizes"]
-    return df.withColumn("place", search(F.struct(*own)))
+    w, h, avoid = F.col("w"), F.col("h"), F.col("avoid")
+    places = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    wanted = F.when(F.col("preferred").isNotNull(), F.array(F.struct(*[F.col(f"preferred.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))).otherwise(F.array().cast(places))
+    forbidden = F.coalesce("forbidden", F.array().cast(df.schema["forbidden"].dataType))
+    own = df.withColumn("_forbidden", forbidden)
+    # An array of a row's own, so that each mask's rectangle is sought once.
+    found = F.concat(wanted, F.coalesce(_wide_places(F.col("masks"), F.coalesce("position", F.lit(0)), F.col("cols"), w, h, F.col("_forbidden"), avoid), F.array().cast(places)))
+    own = own.withColumn("_regions", F.flatten(F.transform(found, lambda p: F.transform("sizes", lambda s: _region(p, s)))))
+    meets = lambda a, b: (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+    free = F.filter("_regions", lambda a: ~F.exists("_forbidden", lambda f: meets(a, f)))
+    far = lambda a: F.hypot(F.greatest(F.lit(0), avoid["x0"] - a["x1"], a["x0"] - avoid["x1"]), F.greatest(F.lit(0), avoid["y0"] - a["y1"], a["y0"] - avoid["y1"]))
+    own = own.withColumn("_free", F.transform(free, lambda a: F.struct(a.alias("r"), F.when(avoid.isNotNull(), far(a)).alias("far"))))
+    asked, third = F.coalesce(F.col("distance").cast("double"), F.lit(0.0)), F.greatest(w, h) / 3
+    first = lambda least: F.try_element_at(F.filter("_free", lambda a: a["far"].isNull() | ~(a["far"] < least)), F.lit(1))["r"]
+    own = own.withColumns({"_one": first(asked), "_two": F.when(avoid.isNotNull() & (asked > 0) & (third < asked), first(third))})
+    side = lambda full, share, least, small: F.when(F.least(full - 8, F.greatest(F.lit(least), (full * share).cast("int"))) > 8, F.least(full - 8, F.greatest(F.lit(least), (full * share).cast("int")))).otherwise(F.least(full, F.lit(small)))
+    corner = F.struct(F.lit(8.0).alias("x0"), F.lit(8.0).alias("y0"), side(w, F.lit(0.35), 40, 72).cast("double").alias("x1"), side(h, F.lit(0.18), 28, 40).cast("double").alias("y1"))
+    own = own.withColumn("_corner", _region(corner, F.try_element_at("sizes", F.lit(1))))
+    x0, y0 = [F.greatest(F.lit(0), F.least(full - 1, F.col(f"_corner.{c}"))) for full, c in ((w, "x0"), (h, "y0"))]
+    forced = F.struct(x0.alias("x0"), y0.alias("y0"), F.greatest(x0 + 1, F.least(w, F.col("_corner.x1"))).alias("x1"), F.greatest(y0 + 1, F.least(h, F.col("_corner.y1"))).alias("y1"))
+    told = lambda r, reason: F.struct(*[r[c].cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(reason).alias("reason"))
+    place = F.when(F.col("_one").isNotNull(), told(F.col("_one"), "stage 1")).when(F.col("_two").isNotNull(), told(F.col("_two"), "stage 2")).otherwise(told(forced, "force_top_left"))
+    return own.withColumn("place", place).drop("_forbidden", "_regions", "_free", "_one", "_two", "_corner")

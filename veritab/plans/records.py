@@ -18,6 +18,7 @@ from veritab.plans.placing import _BOX, _boxes
 from veritab.plans.scoring import _SIMS, _ranked
 from veritab.plans.tables import Registry, read
 from veritab.sources import readers, writers
+from veritab.sources.readers import dealt
 
 R = Registry()
 
@@ -180,7 +181,7 @@ def label_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 @R.query(_SIMS + " SELECT vec_id, c, round(sim, 6) AS sim, k FROM r")
 def class_similarities(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector against every class, a row for each rank."""
-    flat = _ranked(spark, sf).select("vec_id", F.posexplode("ranked").alias("k", "r"))
+    flat = _ranked(spark, sf, (1 << 31) - 1).select("vec_id", F.posexplode("top").alias("k", "r"))
     return flat.select("vec_id", F.col("r.label").alias("c"), F.round(-F.col("r.far"), 6).alias("sim"), (F.col("k") + 1).cast("long").alias("k"))
 
 
@@ -322,6 +323,33 @@ def mask_rectangles(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("k", "best.*", F.size(F.filter("left", lambda c: c)).cast("long").alias("n"), "meets")
 
 
+# Characters of documents as masks of 80 by 50 cells, 4,000 a mask, spaces and two letters unset; a box of each is cleared.
+@R.query(
+    """WITH i AS (SELECT doc_id, part, substring(text, CAST(4000 * part + 1 AS BIGINT), 4000) AS s, (doc_id * 13 + part * 7) % 200 AS bx, (doc_id * 5 + part) % 150 AS bv FROM documents, unnest(range(0, (length(text) + 3999) // 4000)) u(part)),
+c AS MATERIALIZED (SELECT doc_id, part, p % 80 AS x, p // 80 AS y, p < length(s) AND NOT contains(' en', substring(s, CAST(p + 1 AS BIGINT), 1)) AS on_,
+  x >= floor(bx * 0.25::DOUBLE) AND x < ceil((bx + 90) * 0.25::DOUBLE) AND y >= floor(bv * 0.25::DOUBLE) AND y < ceil((bv + 30) * 0.25::DOUBLE) AS box FROM i, unnest(range(0, 80 * ((length(s) + 79) // 80))) t(p)),
+gaps AS (SELECT *, sum(CAST(NOT (on_ AND NOT box) AS INTEGER)) OVER (PARTITION BY doc_id, part, x ORDER BY y) AS g FROM c),
+up AS (SELECT doc_id, part, x, y, row_number() OVER (PARTITION BY doc_id, part, x, g ORDER BY y) - CASE WHEN g = 0 THEN 0 ELSE 1 END AS up FROM gaps),
+lev AS (SELECT doc_id, part, x, y, k, x - row_number() OVER (PARTITION BY doc_id, part, y, k ORDER BY x) AS island FROM up, unnest(range(1, up + 1)) t(k)),
+run AS (SELECT doc_id, part, y, k, min(x) AS x, count(*) AS w FROM lev GROUP BY doc_id, part, y, k, island HAVING count(*) > k),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY w * k DESC, y, x + w, k) = 1),
+n AS (SELECT doc_id, part, count(*) FILTER (WHERE on_ AND NOT box) AS n, bool_or(on_ AND box) AS meets FROM c GROUP BY ALL)
+SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(coalesce(x, 0) AS INTEGER) AS x, CAST(coalesce(y - k + 1, 0) AS INTEGER) AS y, CAST(coalesce(w, 0) AS INTEGER) AS w, CAST(coalesce(k, 0) AS INTEGER) AS h, n, meets FROM n LEFT JOIN best USING (doc_id, part)"""
+)
+def text_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest wide rectangle of every document's masks, of up to 4,000 cells, without a box."""
+    d = dealt(read(spark, sf, "documents").select("doc_id", "text")).where(F.length("text") > 0)
+    d = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 4000).cast("int"))).alias("part"))
+    d = d.withColumn("s", F.substring(F.col("text"), F.col("part") * 4000 + 1, F.lit(4000))).withColumn("length", F.length("s"))
+    chars = F.split(F.rpad("s", F.ceil(F.col("length") / 80).cast("int") * 80, " "), "")
+    m = d.select("doc_id", "part", F.transform(chars, lambda c: ~c.isin(" ", "e", "n")).alias("mask"), F.lit(80).alias("cols"), (F.col("doc_id") * 13 + F.col("part") * 7).alias("bx"), (F.col("doc_id") * 5 + F.col("part")).alias("by"))
+    x, y = (F.col("bx") % 200).cast("int"), (F.col("by") % 150).cast("int")
+    m = m.withColumns({"box": G.rect(x, y, x + 90, y + 30), "w": F.lit(320), "h": (F.size("mask") / 80 * 4).cast("int")})
+    own = [F.col(c) for c in ("mask", "cols", "box", "w", "h")]
+    m = m.withColumns({"meets": masks.mask_meets_rect(*own), "left": masks.without_rects(own[0], own[1], F.array("box"), *own[3:])})
+    return m.select("doc_id", "part", masks.largest_wide_rectangle(F.col("left"), F.col("cols")).alias("best"), F.size(F.filter("left", lambda c: c)).cast("long").alias("n"), "meets").select("doc_id", "part", "best.*", "n", "meets")
+
+
 @R.query()
 def staged_placements(spark: SparkSession, sf: str) -> DataFrame:
     """Places by the staged search; tests hold them against its rules one by one."""

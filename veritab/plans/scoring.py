@@ -16,11 +16,11 @@ R = Registry()
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector's five nearest labels, as ``t``."""
+def _ranked(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """Each vector's k nearest labels: ``top`` with their similarities, ``t`` without."""
     e = read(spark, sf, "embeddings")
     classes = vectors.mean_vectors(e.where("label IS NOT NULL"), ["label"], "embedding")
-    return matching.nearest_classes(e, classes, "embedding", 5, class_vector="mean").select("vec_id", "label", F.transform("top", lambda t: t["label"]).alias("t"))
+    return matching.nearest_classes(e, classes, "embedding", k, class_vector="mean").select("vec_id", "label", "top", F.transform("top", lambda t: t["label"]).alias("t"))
 
 
 _SIMS = """
