@@ -28,9 +28,9 @@ def test_words_behind_the_fortieth_are_found(spark):
     tokens = lines_of_ten(spark, texts)
     got = {r.doc_id: r.match for r in grounding.exact_and_numeric(tokens).collect()}
     assert [(got[i].why, *got[i].rect) for i in (3, 4, 6)] == [("exact_token", 20, 0, 38, 132), ("exact_token", 40, 120, 48, 132), ("exact_token", 20, 0, 28, 12)]
-    every = {r.doc_id: r.match for r in grounding.grounded(tokens, ["doc_id"]).collect()}
+    every = {r.doc_id: r.match for r in grounding.grounded(tokens).collect()}
     assert (every[3].why, every[3].rect.y1) == ("exact_token", 132) and (every[4].why, every[4].rect.y0) == ("exact_token", 120)
-    late = {r.doc_id: r.match for r in grounding.grounded(tokens.withColumn("answer", F.lit("end gama")), ["doc_id"]).collect()}
+    late = {r.doc_id: r.match for r in grounding.grounded(tokens.withColumn("answer", F.lit("end gama"))).collect()}
     assert late[3].rect.y1 == 132
 
 
@@ -48,7 +48,7 @@ def test_largest_box_is_the_last_resort(spark):
     """Only where no phrase has letters and the answer has no keyword; else the first of the least like tokens is taken."""
     rows = [(1, "a b", [("!!", (0, 0, 5, 5)), ("--", (10, 0, 30, 30)), ("..", (40, 0, 60, 30))]), (4, "answer", [("!!", (0, 0, 5, 5)), ("--", (10, 0, 30, 30))]), (2, "answer", [("!!", (5, 5, 5, 5))]), (3, "answer", [])]
     df = spark.createDataFrame(rows, "doc_id long, answer string, tokens array<struct<word:string,rect:struct<x0:int,y0:int,x1:int,y1:int>>>")
-    got = {r.doc_id: r.match for r in grounding.grounded(df, ["doc_id"]).collect()}
+    got = {r.doc_id: r.match for r in grounding.grounded(df).collect()}
     assert got[1].why == "largest_box_fallback" and got[1].rect.x0 == 10 and got[2] is None and got[3] is None
     assert (got[4].why, got[4].score, got[4].rect.x0) == ("forced_best_token_fuzzy_best", 0.0, 0)
 

@@ -149,32 +149,22 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest substring that both have (N15); 0 for null. Rows are worked on together, those of like lengths in one matrix. The function travels with the plan."""
-
-    @F.pandas_udf(T.IntegerType())
-    def common(left: pd.Series, right: pd.Series) -> pd.Series:
-        import numpy as np
-
-        x, y = left.fillna("").to_numpy(str), right.fillna("").to_numpy(str)
-        sizes, widths = np.char.str_len(x), np.char.str_len(y)
-        out = np.zeros(len(x), np.int32)
-        order = np.lexsort((sizes, widths))
-        order = order[(sizes[order] > 0) & (widths[order] > 0)]
-        at = 0
-        while at < len(order):
-            # Rows come in the order of their widths: as many as fit a matrix of some two million letters.
-            to = min(len(order), at + max(1, (1 << 21) // int(widths[order[min(len(order) - 1, at + 4096)]])))
-            own = order[at:to]
-            u, v = (z[own].astype(f"U{m[own].max()}").view(np.uint32).reshape(len(own), -1) for z, m in ((x, sizes), (y, widths)))
-            run, best = np.zeros((len(own), v.shape[1] + 1), np.int32), np.zeros(len(own), np.int32)
-            for i in range(u.shape[1]):
-                letter = u[:, i : i + 1]
-                run[:, 1:] = np.where((v == letter) & (letter > 0), run[:, :-1] + 1, 0)
-                np.maximum(best, run.max(axis=1), out=best)
-            out[own], at = best, to
-        return pd.Series(out)
-
-    return common(a, b)
+    """Length of the longest substring that both have (N15); 0 for null.
+
+    A window slides over the shorter text and grows by a letter wherever the other text has it with one more, so there are at most as many steps as letters of the shorter text and of the result.
+    """
+
+    def found(own: Column, other: Column) -> Column:
+        n = F.length(own)
+
+        def step(s: Column, _: Column) -> Column:
+            grows = (s["at"] + s["best"] <= n) & F.contains(other, F.substring(own, s["at"], s["best"] + 1))
+            return F.when(grows, F.struct(s["at"].alias("at"), (s["best"] + 1).alias("best"))).otherwise(F.struct((s["at"] + 1).alias("at"), s["best"].alias("best")))
+
+        return F.aggregate(F.sequence(F.lit(1), 2 * n), F.struct(F.lit(1).alias("at"), F.lit(0).alias("best")), step, lambda s: s["best"])
+
+    some = (F.length(a) > 0) & (F.length(b) > 0)
+    return F.when(some, F.when(F.length(a) <= F.length(b), found(a, b)).otherwise(found(b, a))).otherwise(0)
 
 
 def seed_of(*parts: Column) -> Column:

@@ -79,13 +79,33 @@ def exact_and_numeric(df: DataFrame, answer: str = "answer", tokens: str = "toke
     return own.withColumn("match", match).drop("_box", "_norms", "_hits", "_first", "_last")
 
 
-def _by_similarity(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
-    """(keys, best): the phrase most like the answer; the first of equals. Longest common substrings are the one Python step, over exploded phrases."""
-    flat = df.where("match IS NULL").select(*keys, "_said", "_numbers", F.posexplode(_phrases()).alias("_p", "g")).where(F.length("g.norm") > 0)
-    common = longest_common(F.col("_said"), F.col("g.norm")) / F.length("_said")
-    score = COMMON_WEIGHT * common + (1 - COMMON_WEIGHT) * token_similarity(F.col("_said"), F.col("g.norm"))
-    score = F.least(F.lit(1.0), score + F.when(F.arrays_overlap("g.numbers", "_numbers"), F.lit(NUMBER_BONUS)).otherwise(0.0))
-    return flat.withColumn("_score", score).where(valid(F.col("g.rect"))).groupBy(*keys).agg(F.max(F.struct("_score", (-F.col("_p")).alias("p"), "g")).alias("_best"))
+def _most_alike(said: Column, numbers: Column, phrases: Column) -> Column:
+    """The phrase most like the answer, as a struct (_score, p, g); the first of equals.
+
+    A substring that both have is at most as long as the longest run of the answer's letters in the phrase. Only phrases whose score could reach
+    what another has without any such substring are searched for one.
+    """
+    usable = F.filter(F.transform(phrases, lambda g, p: F.struct((-p).alias("p"), g.alias("g"))), lambda x: (F.length(x["g"]["norm"]) > 0) & valid(x["g"]["rect"]))
+    others = F.concat(F.lit("[^"), said, F.lit("]+"))  # a normal form has letters, numbers and underscores only
+
+    def bounded(x: Column) -> Column:
+        norm = x["g"]["norm"]
+        rest = (1 - COMMON_WEIGHT) * token_similarity(said, norm) + F.when(F.arrays_overlap(x["g"]["numbers"], numbers), F.lit(NUMBER_BONUS)).otherwise(0.0)
+        run = F.array_max(F.transform(F.split(norm, others), lambda piece: F.length(piece)))
+        return F.struct(rest.alias("rest"), (COMMON_WEIGHT * (F.least(run, F.length(said)) / F.length(said))).alias("most"), x["p"].alias("p"), x["g"].alias("g"))
+
+    def best(known: Column) -> Column:
+        floor = F.array_max(F.transform(known, lambda x: F.least(F.lit(1.0), x["rest"])))
+        scored = lambda x: F.struct(F.least(F.lit(1.0), _score(x["g"]["norm"], x["g"]["numbers"], said, numbers)).alias("_score"), x["p"].alias("p"), x["g"].alias("g"))
+        # A sum in another order may differ in its last digit.
+        return F.element_at(F.transform(F.array(floor), lambda least: F.array_max(F.transform(F.filter(known, lambda x: F.least(F.lit(1.0), x["rest"] + x["most"]) >= least - 1e-9), scored))), 1)
+
+    return F.element_at(F.transform(F.array(F.transform(usable, bounded)), best), 1)  # computes the bounds once
+
+
+def _score(norm: Column, found: Column, said: Column, numbers: Column) -> Column:
+    score = COMMON_WEIGHT * (longest_common(said, norm) / F.length(said)) + (1 - COMMON_WEIGHT) * token_similarity(said, norm)
+    return score + F.when(F.arrays_overlap(found, numbers), F.lit(NUMBER_BONUS)).otherwise(0.0)
 
 
 def keyword_rects(tokens: Column, words: Column, least: float) -> Column:
@@ -114,13 +134,13 @@ def support_rects(tokens: Column, question: Column, least: float = LEAST_SUPPORT
     return keyword_rects(tokens, F.slice(keywords(question, LEAST_KEYWORD), 1, MOST_KEYWORDS), least)["rects"]
 
 
-def grounded(df: DataFrame, keys: list[str], answer: str = "answer", tokens: str = "tokens", question: str | None = None) -> DataFrame:
+def grounded(df: DataFrame, answer: str = "answer", tokens: str = "tokens", question: str | None = None) -> DataFrame:
     """``df`` without its tokens, with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
     what the question names; the most similar phrase or token whatever its score; the largest box; none."""
     # Else every use below would compute them anew. Phrases take many times the room of tokens, and only answers not found yet need those.
     own = exact_and_numeric(df, answer, tokens).withColumn("_tokens", F.when(F.col("match").isNull(), F.col("_tokens")))
     own = cut(own.drop(tokens, "_equal"))
-    own = own.join(_by_similarity(own, answer, keys), keys, "left")
+    own = own.withColumn("_best", F.when(F.col("match").isNull(), _most_alike(F.col("_said"), F.col("_numbers"), _phrases())))
     best = F.col("_best")
     similar = lambda why: _match(best["g"]["rect"], why, best["_score"], best["g"]["at"] - 1, best["g"]["n"])
     own = cut(own.withColumn("match", F.coalesce("match", F.when(best["_score"] >= LEAST_SCORE, similar("fuzzy_phrase")))))

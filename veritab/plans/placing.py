@@ -230,7 +230,7 @@ def ground_answer(spark: SparkSession, sf: str) -> DataFrame:
 @R.query(_ALL)
 def ground_answer_all(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cascade."""
-    g = grounding.grounded(_tokens(spark, sf).withColumn("question", F.lit(_QUESTION)), ["doc_id", "part"], question="question")
+    g = grounding.grounded(_tokens(spark, sf).withColumn("question", F.lit(_QUESTION)), question="question")
     return g.select("doc_id", "part", "match.why", F.round("match.score", 6).alias("score"), "match.rect.*")
 
 
