@@ -1,6 +1,7 @@
 """Operators of the records queries against plain Python, and functions on workers that lack this package."""
 
 import math
+import os
 import subprocess
 import sys
 import time
@@ -73,6 +74,39 @@ def test_models_that_hang_or_fail_say_why(spark):
     assert models.generated(df, slow, "p", batch=1).columns == ["p", "response"]
 
 
+def test_late_calls_are_killed(spark, tmp_path):
+    """A call over the limit leaves no process behind, one that ends its process says so, and calls within the limit answer."""
+    path = str(tmp_path / "pids")
+
+    def odd():
+        import os
+
+        def answer(asked):
+            with open(path, "a") as f:
+                f.write(f"{os.getpid()}\n")
+            if asked[0] == "wait":
+                time.sleep(600)
+            if asked[0] == "end":
+                os._exit(3)
+            if asked[0] == "raise":
+                raise KeyError("x")
+            return ["y" * 300_000] if asked[0] == "long" else asked
+
+        return answer
+
+    df = spark.createDataFrame([(p,) for p in ("go", "wait", "end", "raise", "long", "on")], "p string").coalesce(1)
+    start = time.time()
+    got = {r.p: (r.response, r.why) for r in models.generated(df, odd, "p", batch=1, retries=1, timeout=1.0, reason="why").collect()}
+    assert time.time() - start < 60
+    assert got.pop("long") == ("y" * 300_000, None)
+    assert got == {"go": ("go", None), "on": ("on", None), "wait": (None, "TimeoutError"), "end": (None, "ProcessEnded"), "raise": (None, "KeyError")}
+    pids = [int(p) for p in open(path).read().split()]
+    assert len(pids) == len(set(pids)) == 9
+    for pid in pids:
+        with pytest.raises(ProcessLookupError):
+            os.kill(pid, 0)
+
+
 def test_texts_are_encoded_in_chunks(spark):
     sizes = []
 

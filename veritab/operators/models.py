@@ -27,17 +27,51 @@ def adapter(name: str) -> Callable[[], Callable[[list], list]]:
     return ADAPTERS[fits[-1]]
 
 
+class Failed(Exception):
+    """What a model raised in its own process, or how that ended: ``kind`` is the error's name."""
+
+    def __init__(self, kind: str, text: str = ""):
+        super().__init__(text)
+        self.kind = kind
+
+
 def _called(model: Callable[[list], list], prompts: list, timeout: float | None) -> list:
-    """A model's answers; an error where they take longer than ``timeout`` seconds. The late call is left to end by itself."""
+    """A model's answers; an error where they take longer than ``timeout`` seconds.
+
+    With a limit each call runs in a process forked for it, which is killed when the limit is reached, so hung calls don't pile up in a worker. What such
+    a call changes in the model is lost with its process.
+    """
     if timeout is None:
         return list(model(prompts))
-    from concurrent.futures import ThreadPoolExecutor
-
-    pool = ThreadPoolExecutor(1)
+    import multiprocessing
+
+    context = multiprocessing.get_context("fork")
+    ours, theirs = context.Pipe(duplex=False)
+
+    def call() -> None:
+        ours.close()
+        try:
+            told = (list(model(prompts)), None, "")
+        except BaseException as e:  # whatever a model raises
+            told = (None, type(e).__name__, str(e))
+        theirs.send(told)
+
+    process = context.Process(target=call, daemon=True)
+    process.start()
+    theirs.close()
     try:
-        return list(pool.submit(model, prompts).result(timeout))
+        if not ours.poll(timeout):
+            raise TimeoutError(f"no answer within {timeout} seconds")
+        answers, kind, text = ours.recv()
+    except EOFError:
+        answers, kind, text = None, "ProcessEnded", "the call's process ended without an answer"
     finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+        process.kill()
+        process.join()
+        ours.close()
+    if kind is not None:
+        raise Failed(kind, text)
+    return answers
 
 
 def generated(df: DataFrame, factory: Callable, prompt: str, output: str = "response", batch: int = 64, retries: int = 0, timeout: float | None = None, reason: str | None = None) -> DataFrame:
@@ -64,7 +98,7 @@ def generated(df: DataFrame, factory: Callable, prompt: str, output: str = "resp
                         error = None
                         break
                     except Exception as e:  # whatever a model raises
-                        answers, error = [None] * len(own), type(e).__name__
+                        answers, error = [None] * len(own), getattr(e, "kind", type(e).__name__)
                 out += answers
                 why += [error] * len(own)
             pdf = pdf.assign(**{output: out})
