@@ -1,5 +1,6 @@
 """Operators of the records queries against plain Python, and functions on workers that lack this package."""
 
+import json
 import math
 import os
 import subprocess
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from veritab.functions import parsing, prompts, textnorm
 from veritab.operators import models, placement
 from veritab.plans import registry
-from veritab.sources import readers
+from veritab.sources import images, readers
 
 
 def test_staged_search_keeps_its_rules(spark):
@@ -156,3 +157,31 @@ def test_only_small_tables_of_few_files_are_dealt_out(spark, tables, monkeypatch
     assert readers.dealt(one).rdd.getNumPartitions() == cores
     monkeypatch.setattr(readers, "SMALL_BYTES", 10)
     assert readers.dealt(one) is one
+
+
+def test_one_file_per_image_with_its_records(spark, tmp_path):
+    """Rows without an image, without an id, of one id or of one file name; answers as they come; a second run gives the same files."""
+    rows = [
+        (0, b"a", "x", "q0", ["1", " ", None, " two "]), (1, b"b", "x", None, []), (2, None, "gone", "q2", None), (3, b"", None, "q3", None), (4, b"d", "x.jpg", "q4", ["d"]),
+        (5, b"e", "../up/p.PNG", "q5", ["e"]), (6, b"f", "", "q6", ["f"]), (7, b"g" * 100_000, "50% ünder.webp", "q7", ["g"]),
+    ]
+    df = spark.createDataFrame(rows, "row_no long, image binary, image_id string, question string, answers array<string>")
+    path = str(tmp_path / "out")
+    for part in (df.repartition(5), df.coalesce(1)):
+        images.export_images(part, path)
+        files = {f: (tmp_path / "out" / "images" / f).read_bytes() for f in os.listdir(f"{path}/images") if not f.startswith((".", "_"))}
+        assert files == {"x.jpg": b"a", "idx_3.jpg": b"", "%2E.%2Fup%2Fp.PNG": b"e", "idx_6.jpg": b"f", "50%25 ünder.webp": b"g" * 100_000}
+        assert json.loads((tmp_path / "out" / "images" / "_SUCCESS").read_text()) == {"files": 5, "bytes": 100_003}
+    got = {r.row_no: r for r in spark.read.json(f"{path}/records").collect()}
+    assert sorted(got) == [0, 1, 3, 4, 5, 6, 7]
+    assert [got[i].answer for i in (0, 1, 3, 4)] == ["1, two", "", "", "d"] and [got[i].image_id for i in (0, 3, 6)] == ["x", "idx_3", "idx_6"]
+    assert [got[i].image for i in (0, 1, 4)] == ["x.jpg"] * 3 and got[5].question_id == 5 and got[0].text == "q0" and got[1].text is None
+    images.export_images(df.limit(0), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none" / "images" / "_SUCCESS").read_text()) == {"files": 0, "bytes": 0}
+
+
+def test_export_keeps_given_answers(spark):
+    df = spark.createDataFrame([(0, b"a", "kept", 9)], "row_no long, image binary, answer string, question_id int")
+    assert images.image_records(df).select("image", "answer", "question_id", "text").first() == ("idx_0.jpg", "kept", 9, None)
+    assert images.image_records(df.drop("answer").withColumn("answers", F.lit("one"))).first().answer == "one"
+    assert images.image_records(df.drop("answer")).first().answer == ""

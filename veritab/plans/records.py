@@ -17,7 +17,7 @@ from veritab.plans.hierarchies import _CLOSURE, _EDGES, _edges
 from veritab.plans.placing import _BOX, _boxes
 from veritab.plans.scoring import _SIMS, _ranked
 from veritab.plans.tables import Registry, read
-from veritab.sources import readers, writers
+from veritab.sources import images, readers, writers
 from veritab.sources.readers import dealt
 
 R = Registry()
@@ -69,6 +69,24 @@ def result_sink(spark: SparkSession, sf: str) -> DataFrame:
     return records.unionByName(part("metrics", m, F.lit("accuracy"), F.col("accuracy"))).unionByName(part("metrics", m, F.lit("total_samples"), F.col("total_samples"))).unionByName(part("config", config, F.lit("seed"), F.col("seed")))
 
 
+@R.query(
+    """WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN 'idx_' || doc_id WHEN doc_id % 3 = 0 THEN 'img/' || (doc_id // 4) || '.PNG' ELSE 'img' || (doc_id // 4) END AS image_id FROM documents WHERE text IS NOT NULL),
+r AS (SELECT *, replace(CASE WHEN image_id LIKE '%.PNG' THEN image_id ELSE image_id || '.jpg' END, '/', '%2F') AS name, md5(text) AS h FROM d),
+f AS (SELECT name, arg_min(h, doc_id) AS file, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR) || ':' || image_id, ',' ORDER BY doc_id) AS records FROM r GROUP BY name) SELECT name, file, n, records FROM f"""
+)
+def exported_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The bytes of documents stand for images, up to four rows an image; files and records are written and read again."""
+    d = dealt(read(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), "text")).withColumn("k", F.floor(F.col("row_no") / 4).cast("string"))
+    name = F.when(F.col("row_no") % 11 == 0, F.lit(None)).when(F.col("row_no") % 3 == 0, F.concat(F.lit("img/"), "k", F.lit(".PNG"))).otherwise(F.concat(F.lit("img"), "k"))
+    path = folder(spark)
+    images.export_images(d.select("row_no", F.encode("text", "utf-8").alias("image"), name.alias("image_id")), path)
+    files = spark.read.format("binaryFile").load(f"{path}/images").where("NOT startswith(element_at(split(path, '/'), -1), '_')")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("_f"), F.md5("content").alias("file"))
+    records = spark.read.schema("image string, image_id string, row_no long").json(f"{path}/records")
+    listed = records.groupBy("image").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "image_id"))), lambda r: F.concat_ws(":", r["row_no"].cast("string"), r["image_id"])), ",").alias("records"))
+    return listed.join(files, F.col("image") == F.col("_f")).select(F.col("image").alias("name"), "file", "n", "records")
+
+
 @R.query("SELECT event_id % 500 AS sample_idx, max_by(event_type, event_id) AS response, count(*) AS n FROM events GROUP BY 1")
 def appended_log(spark: SparkSession, sf: str) -> DataFrame:
     """A log that two appends make; the last record of each sample counts."""

@@ -24,13 +24,6 @@ def results(records: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.withColumn("total_samples", F.lit(records.count())).write.mode("overwrite").json(f"{path}/metrics")
 
 
-def one_per_image(df: DataFrame, path: str, key: str = "image_id", order: str = "row_no") -> None:
-    """Metadata of the first row of each image as JSON."""
-    from veritab.operators.sampling import first_per_key
-
-    first_per_key(df, key, order).write.mode("overwrite").json(path)
-
-
 def tree_text(lines: DataFrame, path: str) -> None:
     """An indented tree as one text file, in its order."""
     lines.orderBy("path").select("line").coalesce(1).write.mode("overwrite").text(path)
