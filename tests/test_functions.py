@@ -147,6 +147,24 @@ def test_distractors_are_distinct_and_not_kin(spark):
     assert {r.y_true: r.hard for r in sampling.distractors(q, pools, "q").collect()}["x"] == "y"
 
 
+def test_compatibility_forms_of_all_characters(spark):
+    """Every code point alone and between others, marks in any order, syllables in parts, and words of an array."""
+    import random
+    import sys
+    from unicodedata import normalize
+
+    points = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    draw = random.Random(4)
+    odd = [c for c in points if normalize("NFKC", c) != c or normalize("NFKD", c) != c][::7] + ["\u0301", "\u0323", "\u1161", "\u11a8", "\u3099", "a", "o"] * 40
+    texts = [f"x{c}y" for c in points[:70_000]] + ["".join(points[i : i + 20]) for i in range(0, len(points), 20)] + ["".join(draw.choices(odd, k=8)) for _ in range(3000)] + ["", "plain", "ｗｉｄｅ １０"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, x string").repartition(8)
+    for r in df.select("i", textnorm.nfkc(F.col("x")).alias("y")).collect():
+        assert r.y == (normalize("NFKC", texts[r.i]) if r.i >= 0 else None), texts[r.i]
+    words = ["ｗ", None, "", "e\u0301", "ﬁ x", "a\nb"]
+    got = spark.createDataFrame([(words,), ([],), (None,)], "w array<string>").coalesce(1).select(textnorm.nfkc_words(F.col("w")).alias("f")).collect()
+    assert [r.f for r in got] == [["w", None, "", "é", "fi x", "a b"], [], None]
+
+
 def brute_rectangle(grid):
     best = 0
     for y in range(len(grid)):

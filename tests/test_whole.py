@@ -53,6 +53,12 @@ def test_largest_box_is_the_last_resort(spark):
     assert (got[4].why, got[4].score, got[4].rect.x0) == ("forced_best_token_fuzzy_best", 0.0, 0)
 
 
+def test_wide_letters_and_digits_are_found(spark):
+    tokens = lines_of_ten(spark, [(1, "Ｒｏｏｍ", "the room"), (2, "room", "the ＲＯＯＭ"), (3, "no ４２ here", "gate 42 b"), (4, "cafe\u0301", "the café")])
+    got = {r.doc_id: r.match for r in grounding.exact_and_numeric(tokens).collect()}
+    assert [(got[i].why, got[i].rect.x0) for i in (1, 2, 4)] == [("exact_token", 10)] * 3 and got[3].why == "numeric_phrase"
+
+
 def test_all_words_are_tokens(spark, tables):
     got = placing._tokens(spark, "/root/testdata/sf0.001").agg(F.sum(F.size("tokens"))).first()[0]
     assert got == sum(len(r.text.split()) for r in tables("documents").select("text").collect() if r.text)

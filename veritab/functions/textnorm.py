@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,16 +116,63 @@ def uses_exact_match(eval_metric: Column, *names: Column) -> Column:
     return F.coalesce(F.lower(eval_metric).isin("normalized_em", "nem"), F.lit(False)) | text.rlike("|".join(EXACT_MATCH_TAGS))
 
 
+@lru_cache(maxsize=1)
+def compatibility_tables() -> tuple[str, str, str, str]:
+    """Of Unicode's compatibility form, by the tables of Python's ``unicodedata``: a character class of what changes alone, into one character each, the characters and what they become, and a class of all else that can change.
+
+    The latter are characters that become several or none alike, combine with others, or become such.
+    """
+    import sys
+    from unicodedata import combining, decomposition, normalize
+
+    points = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    pairs = [d.split() for d in map(decomposition, points) if d and not d.startswith("<")]
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2} | {chr(i) for i in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    second |= {c for c in points if combining(c)}
+    plain, other = {}, []
+    for c in points:
+        form = normalize("NFKC", c)
+        if not second.isdisjoint(form) or c in second or (form != c and len(form) != 1):
+            other.append(c)
+        elif form != c:
+            plain[c] = form
+    return _class(list(plain)), "".join(plain), "".join(plain.values()), _class(other)
+
+
+def _class(chars: list[str]) -> str:
+    """A character class of a sorted list, as ranges."""
+    out: list[list[int]] = []
+    for i in map(ord, chars):
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def nfkc(x: Column) -> Column:
-    """Unicode's compatibility form, which Spark lacks. The function travels with the plan, so workers need no copy of this package."""
+    """Unicode's compatibility form, which Spark lacks.
+
+    Texts in which characters change one by one, as wide letters and digits do, are translated by a built-in expression, and most others stay as they are. Only texts with characters that become several
+    or combine go to Python, as nothing but those does; the function travels with the plan, so workers need no copy of this package.
+    """
+    alone, before, after, other = compatibility_tables()
 
     @F.pandas_udf(T.StringType())
-    def compatible(values: pd.Series) -> pd.Series:
+    def composed(values: pd.Series) -> pd.Series:
         from unicodedata import normalize
 
         return values.map(lambda s: None if s is None else normalize("NFKC", s))
 
-    return compatible(x)
+    hard = x.rlike(other)
+    return F.when(hard, composed(F.when(hard, x))).when(x.rlike(alone), F.translate(x, before, after)).otherwise(x)
+
+
+def nfkc_words(words: Column) -> Column:
+    """The compatibility forms of an array's words, null for null: one text of lines goes the way of ``nfkc``. A line feed in a word counts as a space."""
+    text = F.array_join(F.transform(words, lambda w: F.translate(F.coalesce(w, F.lit("")), "\n", " ")), "\n")
+    lines = F.split(nfkc(text), "\n")
+    return F.zip_with(words, F.slice(lines, 1, F.size(words)), lambda w, form: F.when(w.isNotNull(), form))
 
 
 def robust_norm(x: Column, compatibility: bool = True) -> Column:

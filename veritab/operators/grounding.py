@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.geometry import largest_rect, union_box, valid
-from veritab.functions.textnorm import keywords, longest_common, numbers_in, robust_norm, token_similarity
+from veritab.functions.textnorm import keywords, longest_common, nfkc, nfkc_words, numbers_in, robust_norm, token_similarity
 from veritab.operators.checkpoints import cut
 
 #: The cascade's defaults, then those of a question's support.
@@ -21,9 +21,10 @@ MOST_KEYWORDS, LEAST_KEYWORD, LEAST_SUPPORT = 6, 3, 0.75
 YES_NO = ["yes", "no", "true", "false"]
 
 
-def normalised_tokens(tokens: Column, compatibility: bool = False) -> Column:
-    """Tokens with their place, normal form and numbers. Spark has no function for Unicode's compatibility form in a lambda; normalise words before where it matters."""
-    return F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["word"].alias("word"), robust_norm(t["word"], False).alias("norm"), numbers_in(t["word"]).alias("numbers"), t["rect"].alias("rect")))
+def normalised_tokens(tokens: Column, forms: Column | None = None) -> Column:
+    """Tokens with their place, normal form and numbers, the latter two of their compatibility forms where those are given (an array as long)."""
+    form = (lambda t, i: F.get(forms, i)) if forms is not None else (lambda t, i: t["word"])
+    return F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["word"].alias("word"), robust_norm(form(t, i), False).alias("norm"), numbers_in(form(t, i)).alias("numbers"), t["rect"].alias("rect")))
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -57,8 +58,9 @@ def _runs(n: int, test: Callable[[Column, int], Column]) -> Column:
 
 def exact_and_numeric(df: DataFrame, answer: str = "answer", tokens: str = "tokens") -> DataFrame:
     """``df`` with ``match``: short answers are rejected; else all tokens equal to the answer, the first equal phrase from long to short, the last phrase that shares a number of two digits or more (M05, tiers 0 to 3)."""
-    said, numbers = robust_norm(F.col(answer), False), numbers_in(F.col(answer))
-    own = df.withColumn("_said", said).withColumn("_numbers", F.filter(numbers, lambda x: F.length(x) >= 2)).withColumn("_tokens", normalised_tokens(F.col(tokens)))
+    own = df.withColumns({"_answer": nfkc(F.col(answer)), "_forms": nfkc_words(F.transform(tokens, lambda t: t["word"]))})
+    numbers = F.filter(numbers_in(F.col("_answer")), lambda x: F.length(x) >= 2)
+    own = own.withColumns({"_said": robust_norm(F.col("_answer"), False), "_numbers": numbers, "_tokens": normalised_tokens(F.col(tokens), F.col("_forms"))}).drop("_forms")
     own = own.withColumn("_equal", F.filter("_tokens", lambda t: t["norm"] == F.col("_said")))
     own = own.withColumn("_box", union_box(F.transform("_equal", lambda t: t["rect"])))
     own = own.withColumn("_norms", F.transform("_tokens", lambda t: F.coalesce(t["norm"], F.lit("")))).withColumn("_hits", F.when(F.size("_numbers") > 0, F.transform("_tokens", lambda t: F.arrays_overlap(t["numbers"], F.col("_numbers")))))
@@ -138,6 +140,7 @@ def grounded(df: DataFrame, answer: str = "answer", tokens: str = "tokens", ques
     """``df`` without its tokens, with ``match`` (rect, why, score, at, n) by the whole cascade (M05): the tiers above; a phrase like the answer; its keywords one by one; for yes and no
     what the question names; the most similar phrase or token whatever its score; the largest box; none."""
     # Else every use below would compute them anew. Phrases take many times the room of tokens, and only answers not found yet need those.
+    df = df.withColumn("_question", nfkc(F.col(question)) if question else F.lit(None).cast("string"))
     own = exact_and_numeric(df, answer, tokens).withColumn("_tokens", F.when(F.col("match").isNull(), F.col("_tokens")))
     own = cut(own.drop(tokens, "_equal"))
     own = own.withColumn("_best", F.when(F.col("match").isNull(), _most_alike(F.col("_said"), F.col("_numbers"), _phrases())))
@@ -145,8 +148,8 @@ def grounded(df: DataFrame, answer: str = "answer", tokens: str = "tokens", ques
     similar = lambda why: _match(best["g"]["rect"], why, best["_score"], best["g"]["at"] - 1, best["g"]["n"])
     own = cut(own.withColumn("match", F.coalesce("match", F.when(best["_score"] >= LEAST_SCORE, similar("fuzzy_phrase")))))
     sought = F.col("match").isNull()
-    own = own.withColumn("_found", F.when(sought, keyword_rects(F.col("_tokens"), keywords(F.col(answer), LEAST_CHARS), LEAST_TOKEN)))
-    asked = support_rects(F.col("_tokens"), F.col(question)) if question else F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    own = own.withColumn("_found", F.when(sought, keyword_rects(F.col("_tokens"), keywords(F.col("_answer"), LEAST_CHARS), LEAST_TOKEN)))
+    asked = support_rects(F.col("_tokens"), F.col("_question")) if question else F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
     own = cut(own.withColumn("_asked", F.when(sought & F.col("_said").isin(YES_NO), asked)))
     by_word, by_question, token = union_box(F.col("_found")["rects"]), union_box(F.col("_asked")), F.col("_found")["best"]
     largest = largest_rect(F.transform("_tokens", lambda t: t["rect"]))
@@ -159,4 +162,4 @@ def grounded(df: DataFrame, answer: str = "answer", tokens: str = "tokens", ques
         .when(best.isNotNull(), similar("forced_best_fuzzy_phrase_best"))
         .when(largest.isNotNull(), _match(largest, "largest_box_fallback", F.lit(0.0), none, none))
     )
-    return own.withColumn("match", match).drop("_said", "_numbers", "_tokens", "_best", "_found", "_asked")
+    return own.withColumn("match", match).drop("_answer", "_question", "_said", "_numbers", "_tokens", "_best", "_found", "_asked")

@@ -261,8 +261,18 @@ def text_normalize_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(_TEXTS_SQL + r"n AS (SELECT id, kind, regexp_replace(lower(x), '[^\p{L}\p{N}_]+', '', 'g') AS y FROM t) " + _DIGEST_SQL)
 def text_normalize_robust(spark: SparkSession, sf: str) -> DataFrame:
-    """N02 without the compatibility form, over whole documents."""
-    return _digest(spark, sf, lambda x: textnorm.robust_norm(x, False))
+    """N02 over whole documents."""
+    return _digest(spark, sf, textnorm.robust_norm)
+
+
+# Texts with wide letters and digits, a ligature and letters apart from their accents: their normal forms are those of the plain texts.
+@R.query(_TEXTS_SQL + r"n AS (SELECT id, kind, regexp_replace(lower(replace(x, 'e', 'é')), '[^\p{L}\p{N}_]+', '', 'g') AS y FROM t) " + _DIGEST_SQL)
+def text_normalize_compatible(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written in compatibility characters, whole documents; those with an odd number are translated alone, the others hold letters that combine."""
+    wide = F.translate(F.regexp_replace("x", "fi", "ﬁ"), "abcdfgh0123456789", "ａｂｃｄｆｇｈ０１２３４５６７８９")
+    apart = F.when(F.col("id") % 2 == 0, "e\u0301").otherwise("é")
+    odd = _texts(spark, sf).select("id", "kind", F.replace(wide, F.lit("e"), apart).alias("x"))
+    return odd.select("id", "kind", textnorm.robust_norm(F.col("x")).alias("y")).select("id", "kind", F.char_length("y").alias("length"), F.md5("y").alias("md5"))
 
 
 @R.query(_TEXTS_SQL + r"n AS (SELECT id, kind, list_transform(regexp_extract_all(x, '[0-9]+(?:[.,][0-9]+)*'), lambda m: replace(m, ',', '')) AS y FROM t) SELECT id, kind, CAST(len(y) AS INTEGER) AS n, array_to_string(y, ' ') AS numbers FROM n")
